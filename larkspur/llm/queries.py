@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import exact_dedup, mixing, packing, quality, simhash
+from larkspur.llm import exact_dedup, html_text, mixing, packing, quality, secrets, simhash, suffix_dedup, url_rules, wavelet
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +21,22 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "block", "slot")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(_table(spark, sf_dir, "documents"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.content_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -33,6 +45,14 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.token_shards(_table(spark, sf_dir, "documents"))
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:2] == "op" and k[2].isdigit()}
 
@@ -133,5 +153,45 @@ FROM cut JOIN picks USING (s) WHERE nth = block % q AND block // q * {r} + pos <
 """
 
 
+def _url_sql() -> str:
+    u = url_rules
+    return f"""
+WITH flat AS (
+  SELECT page_id, url, list_sort(list_distinct(list_transform(
+    list_filter(regexp_split_to_array(regexp_replace(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://', ''), '[^a-z0-9\\-]+'), lambda t: t <> ''),
+    lambda t: CASE WHEN regexp_full_match(t, '[0-9]+') THEN '#' ELSE t END))) AS tokens
+  FROM pages
+),
+known AS (
+  SELECT row_number() OVER () AS rid, tokens, bad FROM flat
+  JOIN (SELECT doc_id, min(quality) = 0 AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) l ON l.doc_id = flat.page_id
+),
+bound AS (SELECT greatest(ceil({u.MIN_SUPPORT} * count(*)), {u.MIN_COUNT}) AS least FROM known),
+item AS (SELECT rid, bad, unnest(tokens) AS t FROM known),
+often AS (SELECT t FROM item GROUP BY t HAVING count(*) FILTER (bad) >= (SELECT least FROM bound)),
+kept AS (SELECT rid, bad, t FROM item SEMI JOIN often USING (t)),
+found AS (
+  SELECT [t] AS rule, count(*) AS seen, count(*) FILTER (bad) AS bad FROM kept GROUP BY ALL
+  UNION ALL SELECT [a.t, b.t], count(*), count(*) FILTER (a.bad) FROM kept a JOIN kept b ON a.rid = b.rid AND a.t < b.t GROUP BY a.t, b.t
+  UNION ALL SELECT [a.t, b.t, c.t], count(*), count(*) FILTER (a.bad) FROM kept a JOIN kept b ON a.rid = b.rid AND a.t < b.t
+    JOIN kept c ON b.rid = c.rid AND b.t < c.t GROUP BY a.t, b.t, c.t
+),
+rules AS (
+  SELECT rule, bad * 1000 // seen AS confidence FROM found WHERE bad >= (SELECT least FROM bound) AND bad * 1000 >= seen * {u.MIN_CONFIDENCE}
+),
+pruned AS (
+  SELECT * FROM rules m WHERE NOT EXISTS (
+    SELECT 1 FROM rules f WHERE len(f.rule) < len(m.rule) AND list_has_all(m.rule, f.rule) AND f.confidence >= m.confidence
+  )
+),
+hits AS (
+  SELECT url, count(*) AS n_rules, max(confidence) AS confidence
+  FROM (SELECT DISTINCT url, tokens FROM flat) f JOIN pruned p ON list_has_all(f.tokens, p.rule) GROUP BY url
+)
+SELECT page_id, url, coalesce(n_rules, 0) AS n_rules, coalesce(confidence, 0) AS confidence, n_rules IS NOT NULL AS drop
+FROM flat LEFT JOIN hits USING (url)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _quality_sql(), "op2_exact_dedup": _EXACT, "op4_source_mixing": _mixing_sql()}
+    return {"op1_quality_rules": _quality_sql(), "op2_exact_dedup": _EXACT, "op4_source_mixing": _mixing_sql(), "op10_url_rules": _url_sql()}
