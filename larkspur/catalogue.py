@@ -1,19 +1,694 @@
-"""All registered queries of the engine's own operators, with their SQL."""
+"""All registered queries of the engine's own operators over whole tables, with their SQL.
+
+Names begin with the operator's number in the survey. Queries without SQL are
+iterative or random and are tested by their invariants.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.functions import murmur, text, vectors
+from larkspur.operators import batches, decompose, evaluate, images, learn, ngrams, sparse
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def words(c: str = "text") -> Column:
+    return text.tokenize(text.lower(text.trim(F.col(c))))
+
+
+def docs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").withColumn("w", words())
+
+
+def talk(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "conversations").withColumn("w", words())
+
+
+def vecs(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").select("vec_id", "label", vectors.to_double(F.col("embedding")).alias("v"))
+
+
+def flat(df: DataFrame, v: Column, name: str = "x", digits: int = 6) -> DataFrame:
+    return df.select("vec_id", F.posexplode(v).alias("i", "y")).select("vec_id", "i", (F.round("y", digits) + 0.0).alias(name))
+
+
+def wide(spark: SparkSession, m: np.ndarray, *names: str) -> DataFrame:
+    """A small matrix as rows (row, col, value)."""
+    return spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1])], f"{names[0]} int, {names[1]} int, {names[2]} double")
+
+
+_SEP = r"[!-/:-@\[-`{-~ \t\n\x0B\f\r]+"
+_TRIM = r"^[\x00-\x20]+|[\x00-\x20]+$"
+
+
+def _tok(of: str, cols: str) -> str:
+    return f"""tok AS (
+  SELECT {cols}, CASE WHEN t = '' THEN [''] ELSE list_slice(a, 1, coalesce(list_max(list_filter(range(1, len(a) + 1), lambda i: a[i] <> '')), 0)) END AS w
+  FROM (SELECT {cols}, t, regexp_split_to_array(t, '{_SEP}') AS a FROM (SELECT {cols}, lower(regexp_replace(text, '{_TRIM}', '', 'g')) AS t FROM {of}))
+)"""
+
+
+_DOCS, _TALK = _tok("documents", "doc_id, lang"), _tok("conversations", "conv_id, turn")
+_EACH = "SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos, lang FROM tok"
+_VEC = "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+_FLAT = f"WITH {_VEC}, f AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM v)"
+
+# ---- text and n-grams
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, CAST(pos AS INT) AS pos, term AS token FROM ({_EACH})")
+def n1_n2_n3_tokens(s, d):
+    return docs(s, d).select("doc_id", F.posexplode("w").alias("pos", "token"))
+
+
+@query(f"""WITH {_DOCS}, g AS (
+  SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS ngram FROM tok, (SELECT unnest([1, 2]) AS n))
+SELECT doc_id, CAST(n AS INT) AS n, ngram, count(*) AS cnt FROM g GROUP BY doc_id, n, ngram""")
+def n4_ngrams(s, d):
+    g = docs(s, d).select("doc_id", F.explode(text.ngrams(F.col("w"), 1, 2)).alias("g"))
+    return g.groupBy("doc_id", F.size("g").alias("n"), F.array_join("g", " ").alias("ngram")).agg(F.count("*").alias("cnt"))
+
+
+@query(f"""WITH {_DOCS}, g AS (
+  SELECT unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) AS ngram FROM tok)
+SELECT ngram, count(*) AS cnt FROM g GROUP BY ngram ORDER BY cnt DESC, ngram LIMIT 100""")
+def n5_p16_ngram_counts_top(s, d):
+    c = ngrams.counts(docs(s, d), text.ngrams(F.col("w"), 2, 2))
+    return c.select(F.array_join("ngram", " ").alias("ngram"), F.col("count").alias("cnt")).orderBy(F.desc("cnt"), "ngram").limit(100)
+
+
+@query(f"""WITH {_DOCS} SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS weight, round(ln(1 + count(*)), 6) AS log_weight, CAST(1 AS DOUBLE) AS presence
+FROM ({_EACH}) GROUP BY doc_id, term""")
+def n7_term_frequency(s, d):
+    return sparse.term_frequency(docs(s, d), "doc_id", F.col("w")).select(
+        "doc_id", "term", "weight", F.round(F.log1p("weight"), 6).alias("log_weight"), F.lit(1.0).alias("presence")
+    )
+
+
+_RANKS = "r AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) - 1 AS idx FROM {} GROUP BY term)"
+
+
+@query(f"""WITH {_DOCS}, e AS ({_EACH}), {_RANKS.format("(SELECT term FROM e WHERE lang = 'en')")}
+SELECT doc_id, CAST(pos AS INT) AS pos, CAST(coalesce(idx, -1) AS INT) AS idx FROM e LEFT JOIN r USING (term)""")
+def n10_word_frequency_encode(s, d):
+    w = docs(s, d)
+    return ngrams.encode(w, "doc_id", F.col("w"), ngrams.word_ranks(w.where("lang = 'en'"), F.col("w")))
+
+
+_LM = f"""{_TALK}, uni AS (SELECT term, count(*) AS c FROM (SELECT unnest(w) AS term FROM tok) GROUP BY term),
+grams AS (SELECT g, count(*) AS c FROM (
+  SELECT unnest(list_transform(range(1, len(w) - n + 2), lambda i: w[i:i + n - 1])) AS g FROM tok, (SELECT unnest([2, 3]) AS n)) GROUP BY g),
+ctx AS (SELECT g, c FROM grams UNION ALL SELECT [term], c FROM uni),
+scores AS (SELECT grams.g AS g, grams.c / CAST(ctx.c AS DOUBLE) AS score FROM grams LEFT JOIN ctx ON ctx.g = grams.g[1:len(grams.g) - 1])"""
+
+
+def _model(s, d):
+    w = talk(s, d)
+    uni = w.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("count"))
+    return ngrams.backoff_scores(ngrams.counts(w, text.ngrams(F.col("w"), 2, 3)), uni), uni
+
+
+@query(f"WITH {_LM} SELECT array_to_string(g, ' ') AS ngram, round(score, 9) AS score FROM scores")
+def n15_stupid_backoff_scores(s, d):
+    return _model(s, d)[0].select(F.array_join("ngram", " ").alias("ngram"), F.round("score", 9).alias("score"))
+
+
+@query(f"""WITH {_LM}, {_tok("benchmark", "item_id").replace("tok AS", "b AS", 1)},
+q AS (SELECT DISTINCT g FROM (SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS g FROM b)),
+known AS (SELECT g, score FROM scores UNION ALL SELECT [term], c / CAST((SELECT sum(c) FROM uni) AS DOUBLE) FROM uni)
+SELECT array_to_string(q.g, ' ') AS ngram, round(coalesce(k3.score, k2.score * 0.4, k1.score * 0.4 * 0.4, 0), 9) AS score
+FROM q LEFT JOIN known k3 ON k3.g = q.g LEFT JOIN known k2 ON k2.g = q.g[2:3] LEFT JOIN known k1 ON k1.g = q.g[3:3]""")
+def n16_stupid_backoff_query(s, d):
+    scores, uni = _model(s, d)
+    asked = table(s, d, "benchmark").select(F.explode(text.ngrams(words(), 3, 3)).alias("ngram"))
+    return ngrams.backoff_query(asked, scores, uni, 3).select(F.array_join("ngram", " ").alias("ngram"), F.round("score", 9).alias("score"))
+
+
+@query(f"""WITH {_TALK}, {_RANKS.format("(SELECT unnest(w) AS term FROM tok)")},
+e AS (SELECT conv_id, turn, pos, idx FROM (SELECT conv_id, turn, unnest(w) AS term, generate_subscripts(w, 1) AS pos FROM tok) JOIN r USING (term)),
+g AS (SELECT idx AS a, lead(idx) OVER w AS b, lead(idx, 2) OVER w AS c FROM e WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos))
+SELECT (2::BIGINT << 60) | (a << 40) | (b << 20) | c AS packed, CAST(a AS INT) AS first_word, CAST(c AS INT) AS last_word, 3 AS n,
+  (1::BIGINT << 60) | (b << 40) | (c << 20) AS no_first, (1::BIGINT << 60) | (a << 40) | (b << 20) AS no_last, count(*) AS cnt
+FROM g WHERE c IS NOT NULL GROUP BY a, b, c""")
+def n12_bitpack_ngrams(s, d):
+    w = talk(s, d)
+    key = F.struct("conv_id", "turn")
+    coded = ngrams.encode(w.withColumn("k", key), "k", F.col("w"), ngrams.word_ranks(w, F.col("w")))
+    seq = coded.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("pos", "idx"))).alias("s")).select(F.transform("s", lambda p: p["idx"]).alias("s"))
+    packed = seq.select(F.explode(text.ngrams(F.col("s").cast("array<string>"), 3, 3)).alias("g")).groupBy(text.pack_ngram(F.col("g").cast("array<bigint>")).alias("packed")).agg(F.count("*").alias("cnt"))
+    p = F.col("packed")
+    return packed.select(
+        "packed", text.unpack_word(p, 0).alias("first_word"), text.unpack_word(p, 2).alias("last_word"), text.ngram_order(p).alias("n"),
+        text.remove_farthest_word(p).alias("no_first"), text.remove_current_word(p).alias("no_last"), "cnt",
+    )
+
+
+@query(f"""WITH {_DOCS}, e AS ({_EACH}), h AS (SELECT term, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, length(term) + 1),
+  lambda i: CAST(unicode(substr(term, i, 1)) AS BIGINT))), lambda a, b: (a * 31 + b) & 4294967295) AS h FROM (SELECT DISTINCT term FROM e)),
+b AS (SELECT term, CAST((((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 4096) + 4096) % 4096 AS INT) AS bucket FROM (SELECT term, CASE WHEN term = '' THEN 0 ELSE h END AS h FROM h))
+SELECT doc_id, bucket, count(*) AS cnt FROM e JOIN b USING (term) GROUP BY doc_id, bucket""")
+def n8_hashing_tf(s, d):
+    return docs(s, d).select("doc_id", F.explode("w").alias("term")).groupBy("doc_id", text.hash_bucket(F.col("term"), 4096).alias("bucket")).agg(F.count("*").alias("cnt"))
+
+
+@query()
+def n9_ngrams_hashing_tf(s, d):
+    hashed = docs(s, d).select("doc_id", F.transform("w", text.java_hash).alias("h"))
+    return sparse.hashing_counts(hashed, "doc_id", murmur.ngram_buckets(F.col("h"), 1, 3, 1 << 16)).withColumnRenamed("count", "cnt")
+
+
+# ---- sparse features
+
+_SEEN = f"e AS ({_EACH}), seen AS (SELECT term, count(*) AS c, min(doc_id * 1000000 + pos) AS first FROM e GROUP BY term)"
+
+
+@query(f"WITH {_DOCS}, {_SEEN} SELECT term, CAST(row_number() OVER (ORDER BY first, term) - 1 AS INT) AS idx FROM seen")
+def f1_all_sparse_features(s, d):
+    return sparse.all_features(docs(s, d), "doc_id", F.col("w"))
+
+
+_COMMON = f"WITH {_DOCS}, {_SEEN}, sp AS (SELECT term, CAST(row_number() OVER (ORDER BY c DESC, first DESC, term) - 1 AS INT) AS idx FROM seen)"
+
+
+@query(f"{_COMMON} SELECT term, idx FROM sp WHERE idx < 1000")
+def f2_common_sparse_features(s, d):
+    return sparse.common_features(docs(s, d), "doc_id", F.col("w"), 1000)
+
+
+@query(f"{_COMMON} SELECT doc_id, idx, CAST(count(*) AS DOUBLE) AS val FROM e JOIN sp USING (term) WHERE idx < 1000 GROUP BY doc_id, idx")
+def f3_sparse_vectorize(s, d):
+    w = docs(s, d)
+    space = sparse.common_features(w, "doc_id", F.col("w"), 1000)
+    return sparse.term_frequency(w, "doc_id", F.col("w")).join(space, "term").select("doc_id", "idx", F.col("weight").alias("val"))
+
+
+@query(f"{_FLAT} SELECT vec_id, CAST(i AS INT) AS i, round(x, 6) AS x FROM f WHERE x <> 0 AND i % 2 = 0")
+def f4_f5_sparsify_densify(s, d):
+    half = F.transform(F.col("v"), lambda x, i: F.when(i % 2 == 0, x).otherwise(0.0))
+    back = vectors.densify(vectors.sparsify(half))
+    return flat(vecs(s, d).withColumn("z", back), F.col("z")).where("x <> 0")
+
+
+# ---- vectors
+
+
+@query("SELECT vec_id, CAST(k AS INT) AS class, CAST(CASE WHEN k = label THEN 1 ELSE -1 END AS DOUBLE) AS x FROM embeddings, (SELECT unnest(range(0, 10)) AS k)")
+def v10_class_label_indicators(s, d):
+    return vecs(s, d).select("vec_id", F.posexplode(vectors.indicators(F.col("label"), 10)).alias("class", "x"))
+
+
+@query("""SELECT doc_id, CAST(k AS INT) AS class, CAST(CASE WHEN (k = 0 AND quality = 1) OR (k = 1 AND toxic = 1) THEN 1 ELSE -1 END AS DOUBLE) AS x
+FROM labels JOIN documents USING (doc_id), (SELECT unnest([0, 1]) AS k)""")
+def v11_multi_label_indicators(s, d):
+    both = table(s, d, "documents").join(table(s, d, "labels"), "doc_id")
+    held = F.array_compact(F.array(F.when(F.col("quality") == 1, 0), F.when(F.col("toxic") == 1, 1)))
+    return both.select("doc_id", F.posexplode(vectors.multi_indicators(held, 2)).alias("class", "x"))
+
+
+@query(f"{_FLAT} SELECT vec_id, CAST(i AS INT) AS i, round(greatest(0, x - 0.01::DOUBLE), 6) AS x FROM f")
+def v1_linear_rectifier(s, d):
+    return flat(vecs(s, d), vectors.linear_rectifier(F.col("v"), 0.0, 0.01))
+
+
+@query(f"{_FLAT} SELECT vec_id, CAST(i AS INT) AS i, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 2.2e-16), 6) AS x FROM f")
+def v2_normalize_rows(s, d):
+    return flat(vecs(s, d), vectors.normalize(F.col("v")))
+
+
+@query(f"{_FLAT} SELECT vec_id, CAST(i AS INT) AS i, round(sign(x) * sqrt(abs(x)), 6) AS x FROM f")
+def v3_v4_signed_hellinger(s, d):
+    return flat(vecs(s, d), vectors.signed_hellinger(F.col("v")))
+
+
+@query(f"{_FLAT} SELECT vec_id, CAST(i AS INT) AS i, round(x * CASE WHEN (i * 7 + 3) % 5 < 2 THEN -1 ELSE 1 END, 6) AS x FROM f")
+def v6_random_sign(s, d):
+    signs = vectors.array_of([-1 if (i * 7 + 3) % 5 < 2 else 1 for i in range(64)])
+    return flat(vecs(s, d), vectors.multiply(F.col("v"), signs))
+
+
+def padded_fft(m: np.ndarray) -> np.ndarray:
+    """Real part of the first half of the transform, padded to a power of two."""
+    size = 1 << max(m.shape[1] - 1, 0).bit_length()
+    return np.fft.fft(m, size, axis=1)[:, : max(size // 2, 1)].real
+
+
+@query(f"{_FLAT} SELECT vec_id, CAST(k AS INT) AS i, round(sum(x * cos(2 * pi() * i * k / 64)), 4) + 0 AS x FROM f, (SELECT unnest(range(0, 32)) AS k) GROUP BY vec_id, k")
+def v5_padded_fft(s, d):
+    return flat(vecs(s, d), batches.map_vectors(padded_fft, F.col("v")), digits=4)
+
+
+@query(f"""{_FLAT} SELECT vec_id, CAST(k AS INT) AS i, round(cos(sum(x * sin(CAST(i * 3 + k * 5 AS DOUBLE))) + k * 0.1::DOUBLE), 5) + 0 AS x
+FROM f, (SELECT unnest(range(0, 16)) AS k) GROUP BY vec_id, k""")
+def v7_cosine_random_features(s, d):
+    w = np.sin(np.arange(64)[:, None] * 3.0 + np.arange(16) * 5.0)
+    return flat(vecs(s, d), batches.map_vectors(lambda m: np.cos(m @ w + np.arange(16) * 0.1), F.col("v")), digits=5)
+
+
+@query(f"{_FLAT} SELECT vec_id, CAST(i // 10 AS INT) AS block, CAST(i % 10 AS INT) AS i, round(x, 6) AS x FROM f")
+def v12_vector_split(s, d):
+    b = vecs(s, d).select("vec_id", F.posexplode(vectors.split(F.col("v"), 10)).alias("block", "b"))
+    return b.select("vec_id", "block", F.posexplode("b").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(f"{_FLAT} SELECT vec_id, CAST(i AS INT) AS i, round(x, 6) AS x FROM f UNION ALL SELECT vec_id, CAST(i + 64 AS INT), round(-x, 6) FROM f")
+def v13_u8_vector_combine(s, d):
+    return flat(vecs(s, d), vectors.combine(F.col("v"), F.transform("v", lambda x: -x)))
+
+
+@query(f"{_FLAT} SELECT vec_id, CAST(rank - 1 AS INT) AS rank, CAST(i AS INT) AS class FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS rank FROM f WHERE i < 10) WHERE rank <= 3")
+def v8_v9_topk_classifier(s, d):
+    scores = F.slice("v", 1, 10)
+    top = vecs(s, d).select("vec_id", vectors.argmax(scores).alias("best"), vectors.top_k(scores, 3).alias("t"))
+    return top.where(F.col("best") == F.col("t")[0]).select("vec_id", F.posexplode("t").alias("rank", "class"))
+
+
+@query(f"""{_FLAT}, r AS (SELECT vec_id, label, i, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS rank FROM f WHERE i < 10)
+SELECT round(100 * (1 - sum(CASE WHEN i = label AND rank <= 3 THEN 1 ELSE 0 END) / CAST(count(DISTINCT vec_id) AS DOUBLE)), 6) AS error_pct FROM r""")
+def v23_topk_error(s, d):
+    e = evaluate.top_k_error(vecs(s, d), vectors.top_k(F.slice("v", 1, 10), 3), F.col("label"))
+    return e.select(F.round("error_pct", 6).alias("error_pct"))
+
+
+@query(f"{_FLAT} SELECT vec_id, CAST(i AS INT) AS i, round((x - avg(x) OVER w) / sqrt(var_samp(x) OVER w + 1), 6) + 0 AS x FROM f WINDOW w AS (PARTITION BY vec_id)")
+def v22_row_statistics(s, d):
+    return flat(vecs(s, d), vectors.row_statistics_normalize(F.col("v")))
+
+
+@query()
+def v18_sampler(s, d):
+    """The size rows of smallest hash: a sample that doesn't depend on partitions."""
+    return table(s, d, "orders").select("o_orderkey").orderBy(F.xxhash64("o_orderkey", F.lit(42)), "o_orderkey").limit(1000)
+
+
+@query("SELECT doc_id, quality, toxic FROM documents JOIN labels USING (doc_id)")
+def s5_p6_label_join(s, d):
+    return table(s, d, "documents").select("doc_id").join(table(s, d, "labels"), "doc_id")
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT 'documents' AS kind FROM documents UNION ALL SELECT 'benchmark' FROM benchmark UNION ALL SELECT 'conversations' FROM conversations) GROUP BY kind")
+def p18_union_sources(s, d):
+    parts = [table(s, d, t).select(F.lit(t).alias("kind")) for t in ("documents", "benchmark", "conversations")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# ---- scaling, reduction, clustering
+
+
+@query(f"""{_FLAT}, m AS (SELECT i, avg(x) AS mean, stddev_samp(x) AS sd FROM f GROUP BY i)
+SELECT vec_id, CAST(i AS INT) AS i, round((x - mean) / CASE WHEN sd < 1e-12 THEN 1 ELSE sd END, 5) + 0 AS x FROM f JOIN m USING (i)""")
+def r1_standard_scaler(s, d):
+    v = vecs(s, d)
+    return flat(v, learn.standard_scaler(v, F.col("v"), 64).apply(F.col("v")), digits=5)
+
+
+@query(f"""{_FLAT} SELECT CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(covar_samp(a.x, b.x), 8) + 0 AS cov FROM f a JOIN f b USING (vec_id) GROUP BY a.i, b.i""")
+def r6_pca_covariance(s, d):
+    cov, _ = decompose.covariance(vecs(s, d), F.col("v"), 64)
+    return wide(s, np.round(cov, 8) + 0.0, "i", "j", "cov")
+
+
+@query(f"{_FLAT} SELECT label AS class, CAST(i AS INT) AS i, round(avg(x), 6) + 0 AS mean FROM f GROUP BY label, i")
+def r12_class_means(s, d):
+    return vecs(s, d).select("label", F.posexplode("v").alias("i", "x")).groupBy(F.col("label").alias("class"), "i").agg((F.round(F.avg("x"), 6) + 0.0).alias("mean"))
+
+
+def _centers(k: int) -> np.ndarray:
+    return np.sin(np.arange(k)[:, None] * 7.0 + np.arange(64) * 0.3)
+
+
+@query(f"""{_FLAT}, dist AS (SELECT vec_id, k, sum(pow(x - sin(k * 7 + i * 0.3::DOUBLE), 2)) AS far FROM f, (SELECT unnest(range(0, 8)) AS k) GROUP BY vec_id, k)
+SELECT vec_id, CAST(arg_min(k, (far, k)) AS INT) AS cluster FROM dist GROUP BY vec_id""")
+def c2_kmeans_assign(s, d):
+    hot = vectors.one_hot_nearest(F.col("v"), _centers(8).tolist())
+    return vecs(s, d).select("vec_id", vectors.argmax(hot).alias("cluster"))
+
+
+@query(f"""WITH {_VEC}, p AS (SELECT vec_id, k, exp(-0.5 * (pow((v[1] - 0.1 * (k - 1)) / 0.2, 2) + pow((v[2] + 0.1 * (k - 1)) / 0.2, 2))) AS e FROM v, (SELECT unnest(range(0, 3)) AS k)),
+q AS (SELECT vec_id, k, e / sum(e) OVER (PARTITION BY vec_id) AS q FROM p), t AS (SELECT vec_id, k, CASE WHEN q < 1e-4 THEN 0 ELSE q END AS q FROM q)
+SELECT vec_id, CAST(k AS INT) AS i, round(q / sum(q) OVER (PARTITION BY vec_id), 6) AS x FROM t""")
+def c4_gmm_posterior(s, d):
+    m = decompose.Mixture(np.array([[-0.1, 0.1], [0, 0], [0.1, -0.1]]), np.full((3, 2), 0.04), np.full(3, 1 / 3))
+    return flat(vecs(s, d), m.apply(F.slice("v", 1, 2)))
+
+
+@query(f"""{_FLAT} SELECT vec_id, CAST(k AS INT) AS i, round(exp(-0.1::DOUBLE * sum(pow(x - sin(k * 7 + i * 0.3::DOUBLE), 2))), 6) AS x
+FROM f, (SELECT unnest(range(0, 20)) AS k) GROUP BY vec_id, k""")
+def l16_l17_rbf_kernel_block(s, d):
+    c = _centers(20)
+    return flat(vecs(s, d), batches.map_vectors(lambda m: learn.gaussian_kernel(m, c, 0.1), F.col("v")))
+
+
+@query(f"{_FLAT} SELECT vec_id, CAST(k AS INT) AS i, round(sum(x * cos(CAST(i + k AS DOUBLE))) + k, 5) + 0 AS x FROM f, (SELECT unnest(range(0, 4)) AS k) GROUP BY vec_id, k")
+def l1_linear_map(s, d):
+    m = learn.LinearMapper(np.cos(np.arange(64)[:, None] + np.arange(4) * 1.0), np.arange(4) * 1.0)
+    return flat(vecs(s, d), m.apply(F.col("v")), digits=5)
+
+
+@query(f"{_FLAT} SELECT vec_id, CAST(k AS INT) AS i, round(sum(x * cos(CAST(i + k AS DOUBLE))), 5) + 0 AS x FROM f, (SELECT unnest(range(0, 4)) AS k) WHERE x > 0 GROUP BY vec_id, k")
+def l2_sparse_linear_map(s, d):
+    entries = vecs(s, d).select(F.col("vec_id").alias("row"), F.posexplode("v").alias("idx", "value")).where("value > 0")
+    w = wide(s, np.cos(np.arange(64)[:, None] + np.arange(4) * 1.0), "idx", "k", "w")
+    return learn.sparse_linear(entries, w).select(F.col("row").alias("vec_id"), F.col("k").alias("i"), (F.round("y", 5) + 0.0).alias("x"))
+
+
+@query("SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept FROM lineitem")
+def l4_least_squares_line(s, d):
+    t = table(s, d, "lineitem")
+    m = learn.least_squares(t, F.array(F.col("l_quantity").cast("double")), F.array(F.col("l_extendedprice").cast("double")), 1, 1)
+    slope, mean = float(m.weights[0, 0]), float(m.scaler.mean[0])
+    return s.createDataFrame([(round(slope, 4), round(float(m.intercept[0]) - slope * mean, 3))], "slope double, intercept double")
+
+
+# ---- learners without SQL: training error and invariants
+
+
+def _targets(label: Column) -> Column:
+    return vectors.indicators(label, 10)
+
+
+def _error(df: DataFrame, scores: Column, name: str) -> DataFrame:
+    return df.select(vectors.argmax(scores).alias("p"), "label").agg(F.lit(name).alias("solver"), F.round(F.avg((F.col("p") != F.col("label")).cast("double")) * 100, 3).alias("error_pct"))
+
+
+@query()
+def l4_l6_l7_l8_l10_l14_solvers(s, d):
+    v = vecs(s, d)
+    x, y = F.col("v"), _targets(F.col("label"))
+    found = {
+        "exact": learn.least_squares(v, x, y, 64, 10, 0.1), "block": learn.block_least_squares(v, x, y, 64, 10, 16, 3, 0.1),
+        "weighted": learn.class_weighted_least_squares(v, x, F.col("label"), 64, 10, 1e-3, 0.5), "block_weighted": learn.class_weighted_least_squares(v, x, F.col("label"), 64, 10, 1e-3, 0.5, 16, 3),
+        "lbfgs": learn.lbfgs_least_squares(v, x, y, 64, 10, 1e-4, 20),
+    }
+    chosen = learn.choose_solver(v.count(), 64, 10, 1.0, 16)
+    found["chosen"] = found[{"dense_lbfgs": "lbfgs", "sparse_lbfgs": "lbfgs"}.get(chosen, chosen)]
+    out = None
+    for name, m in found.items():
+        e = _error(v, m.apply(x), name)
+        out = e if out is None else out.union(e)
+    return out
+
+
+@query()
+def l11_sparse_lbfgs(s, d):
+    w = docs(s, d).join(table(s, d, "labels"), "doc_id")
+    space = sparse.common_features(w, "doc_id", F.col("w"), 500).persist()
+    entries = sparse.term_frequency(w, "doc_id", F.col("w"), lambda n: F.lit(1.0)).join(space, "term").select(F.col("doc_id").alias("row"), "idx", F.col("weight").alias("value"))
+    targets = w.select(F.col("doc_id").alias("row"), (F.col("quality") * 2.0 - 1).alias("y"))
+    weights, b = learn.sparse_lbfgs_least_squares(entries, targets, 500, 1e-3, 20)
+    return s.createDataFrame([(int(i), float(round(x, 6))) for i, x in enumerate([*weights, b])], "idx int, weight double")
+
+
+@query()
+def l19_l20_kernel_ridge(s, d):
+    """Trained on Nystroem-like landmarks, the class means; applied to every row."""
+    v = vecs(s, d)
+    sums = batches.sum_batches(v, [F.col("v"), F.col("label")], lambda x, c: np.stack([np.append(x[c == k].sum(0), (c == k).sum()) for k in range(10)]), (10, 65))
+    means = sums[:, :64] / np.maximum(sums[:, 64:], 1)
+    m = learn.kernel_ridge(means, 2 * np.eye(10) - 1, 0.5, 1e-3, 4, 20)
+    return v.select("vec_id", vectors.argmax(m.apply(F.col("v"))).alias("class"))
+
+
+@query()
+def r2_r4_r6_pca_project(s, d):
+    v = vecs(s, d)
+    return flat(v, decompose.project(F.col("v"), decompose.pca_tall_skinny(v, F.col("v"), 64, 4)), digits=5)
+
+
+@query()
+def r12_lda_project(s, d):
+    v = vecs(s, d)
+    return flat(v, decompose.discriminants(v, F.col("v"), F.col("label"), 64, 10, 4).apply(F.col("v")), digits=5)
+
+
+@query()
+def c1_kmeans_fit(s, d):
+    v = vecs(s, d)
+    return wide(s, np.round(decompose.kmeans(v, F.col("v"), 64, _centers(8), 10), 6), "cluster", "i", "x")
+
+
+@query()
+def c3_c5_gmm_fit_fisher(s, d):
+    v = vecs(s, d).withColumn("v", F.slice("v", 1, 8))
+    m = decompose.gaussian_mixture(v, F.col("v"), 8, _centers(4)[:, :8] * 0.1, 20, 5)
+    return flat(v, batches.map_vectors(lambda x: np.stack([m.fisher(r[None]).T.ravel() for r in x]), F.col("v")))
+
+
+@query()
+def l21_logistic_regression(s, d):
+    from pyspark.ml.functions import array_to_vector
+
+    v = vecs(s, d).select("vec_id", array_to_vector("v").alias("features"), F.col("label").cast("double").alias("label"))
+    return learn.logistic_regression(v, "features", "label", 0.01, 20).transform(v).select("vec_id", F.col("prediction").cast("int").alias("class"))
+
+
+# ---- naive Bayes and whole applications
+
+_BAYES = f"""{_DOCS}, e AS ({_EACH}), t AS (SELECT doc_id, lang AS class, term, CAST(count(*) AS DOUBLE) AS n FROM e GROUP BY doc_id, lang, term),
+cls AS (SELECT lang AS class, count(*) AS n FROM documents GROUP BY lang), pi AS (SELECT class, ln(n + 1) - ln((SELECT sum(n) + count(*) FROM cls)) AS pi FROM cls),
+cs AS (SELECT class, term, sum(n) AS s FROM t GROUP BY class, term), vocab AS (SELECT count(DISTINCT term) AS v FROM t),
+norm AS (SELECT class, ln(sum(s) + (SELECT v FROM vocab)) AS norm FROM cs GROUP BY class)"""
+
+
+def _bayes(s, d):
+    w = docs(s, d)
+    entries = sparse.term_frequency(w, "doc_id", F.col("w")).select(F.col("doc_id").alias("row"), "term", F.col("weight").alias("value"))
+    labels = w.select(F.col("doc_id").alias("row"), F.col("lang").alias("class"))
+    return entries, labels, *learn.naive_bayes_fit(entries, labels)
+
+
+@query(f"WITH {_BAYES} SELECT class, term, round(ln(s + 1) - norm, 6) AS theta FROM cs JOIN norm USING (class) UNION ALL SELECT class, NULL, round(-norm, 6) FROM norm")
+def l22_naive_bayes_fit(s, d):
+    return _bayes(s, d)[3].select("class", "term", F.round("theta", 6).alias("theta"))
+
+
+_PREDICT = f"""{_BAYES}, sc AS (
+  SELECT r.doc_id, p.class, p.pi + coalesce(x.s, 0) AS score FROM documents r, pi p LEFT JOIN LATERAL (SELECT 0) ON true LEFT JOIN (
+    SELECT t.doc_id, norm.class, sum(t.n * (ln(coalesce(cs.s, 0) + 1) - norm.norm)) AS s FROM t CROSS JOIN norm LEFT JOIN cs ON cs.class = norm.class AND cs.term = t.term GROUP BY t.doc_id, norm.class
+  ) x ON x.doc_id = r.doc_id AND x.class = p.class),
+best AS (SELECT doc_id, arg_max(class, (score, class)) AS class FROM sc GROUP BY doc_id)""".replace(" LEFT JOIN LATERAL (SELECT 0) ON true", "")
+
+
+def _predicted(s, d):
+    entries, labels, pi, theta = _bayes(s, d)
+    scores = learn.naive_bayes_scores(entries, labels, pi, theta)
+    best = scores.groupBy("row").agg(F.max(F.struct("score", "class")).getField("class").alias("predicted"))
+    return best.join(labels, "row")
+
+
+@query(f"WITH {_PREDICT} SELECT doc_id, class FROM best")
+def l22_naive_bayes_predict(s, d):
+    return _predicted(s, d).select(F.col("row").alias("doc_id"), F.col("predicted").alias("class"))
+
+
+@query(f"WITH {_PREDICT} SELECT lang AS actual, class AS predicted, count(*) AS n FROM best JOIN documents USING (doc_id) GROUP BY lang, class")
+def a2_text_classes_pipeline(s, d):
+    return _predicted(s, d).groupBy(F.col("class").alias("actual"), "predicted").agg(F.count("*").alias("n"))
+
+
+@query()
+def a3_review_pipeline(s, d):
+    """Presence of common n-grams, logistic regression on the quality label, binary metrics."""
+    from pyspark.ml.linalg import Vectors, VectorUDT
+
+    w = docs(s, d).join(table(s, d, "labels"), "doc_id").withColumn("g", F.transform(text.ngrams(F.col("w"), 1, 2), lambda g: F.array_join(g, " ")))
+    space = sparse.common_features(w, "doc_id", F.col("g"), 1000)
+    entries = sparse.term_frequency(w, "doc_id", F.col("g"), lambda n: F.lit(1.0)).join(space, "term")
+    build = F.udf(lambda i: Vectors.sparse(1000, sorted(i or []), [1.0] * len(i or [])), VectorUDT())
+    rows = w.select("doc_id", F.col("quality").cast("double").alias("label")).join(entries.groupBy("doc_id").agg(F.collect_set("idx").alias("i")), "doc_id", "left").select("label", build("i").alias("features"))
+    p = learn.logistic_regression(rows, "features", "label", 1e-3, 20).transform(rows)
+    return evaluate.binary_metrics(evaluate.contingency(p, F.col("prediction") == 1, F.col("label") == 1))
+
+
+@query()
+def a1_a5_random_features_pipeline(s, d):
+    """Branches of random signs, padded FFT and rectifier, gathered; block least squares; confusion of the argmax."""
+    v = vecs(s, d)
+    rng = np.random.default_rng(0)
+    signs = [rng.integers(0, 2, 64) * 2.0 - 1 for _ in range(4)]
+    f = vectors.combine(*[vectors.linear_rectifier(batches.map_vectors(lambda m, z=z: padded_fft(m * z), F.col("v"))) for z in signs])
+    wide_v = v.select("vec_id", "label", f.alias("f")).persist()
+    m = learn.block_least_squares(wide_v, F.col("f"), _targets(F.col("label")), 128, 10, 64, 1, 1.0)
+    return evaluate.confusion(wide_v.withColumn("p", vectors.argmax(m.apply(F.col("f")))), F.col("p"), F.col("label"), 10)
+
+
+# ---- evaluation
+
+_RULE = "SELECT e.label AS actual, list_position(v[1:10], list_max(v[1:10])) - 1 AS predicted FROM v e"
+_MATRIX = f"WITH {_VEC}, p AS ({_RULE}), m AS (SELECT a AS actual, b AS predicted, count(p.actual) AS n FROM (SELECT unnest(range(0, 10)) AS a), (SELECT unnest(range(0, 10)) AS b) LEFT JOIN p ON p.actual = a AND p.predicted = b GROUP BY a, b)"
+
+
+def _matrix(s, d):
+    v = vecs(s, d).withColumn("p", vectors.argmax(F.slice("v", 1, 10)))
+    return evaluate.confusion(v, F.col("p"), F.col("label"), 10)
+
+
+@query(f"""WITH {_VEC}, p AS ({_RULE}) SELECT CAST(a AS INT) AS actual, CAST(b AS INT) AS predicted, (SELECT count(*) FROM p WHERE p.actual = a AND p.predicted = b) AS n
+FROM (SELECT unnest(range(0, 10)) AS a), (SELECT unnest(range(0, 10)) AS b)""")
+def e3_confusion_matrix(s, d):
+    return _matrix(s, d)
+
+
+@query(f"""WITH {_VEC}, p AS ({_RULE}), c AS (SELECT k, (SELECT count(*) FROM p WHERE actual = k AND predicted = k) AS tp, (SELECT count(*) FROM p WHERE actual = k) AS a,
+  (SELECT count(*) FROM p WHERE predicted = k) AS q, (SELECT count(*) FROM p) AS n FROM (SELECT unnest(range(0, 10)) AS k)),
+r AS (SELECT *, CASE WHEN q = 0 THEN 'nan'::DOUBLE ELSE tp / q::DOUBLE END AS pr, CASE WHEN a = 0 THEN 'nan'::DOUBLE ELSE tp / a::DOUBLE END AS re, CASE WHEN a + q = 0 THEN 'nan'::DOUBLE ELSE 2 * tp / (a + q)::DOUBLE END AS fs FROM c)
+SELECT round(avg((n - a - q + 2 * tp) / n::DOUBLE), 6) AS avg_accuracy, round(avg(pr), 6) AS macro_precision, round(avg(re), 6) AS macro_recall, round(avg(fs), 6) AS macro_f_score,
+  round(sum(tp) / max(n)::DOUBLE, 6) AS total_accuracy, round(sum(tp) / sum(q)::DOUBLE, 6) AS micro_precision FROM r""")
+def e4_multiclass_metrics(s, d):
+    m = evaluate.multiclass_metrics(_matrix(s, d))
+    return m.select(*[F.round(c, 6).alias(c) for c in ("avg_accuracy", "macro_precision", "macro_recall", "macro_f_score", "total_accuracy", "micro_precision")])
+
+
+@query("""WITH p AS (SELECT n_chars > 200 AS p, quality = 1 AS a FROM documents JOIN labels USING (doc_id)), c AS (
+  SELECT count(*) FILTER (p AND a) AS tp, count(*) FILTER (p AND NOT a) AS fp, count(*) FILTER (NOT p AND NOT a) AS tn, count(*) FILTER (NOT p AND a) AS fn FROM p)
+SELECT tp, fp, tn, fn, round((tp + tn) / (tp + fp + tn + fn)::DOUBLE, 6) AS accuracy, round(tp / (tp + fn)::DOUBLE, 6) AS recall, round(tp / (tp + fp)::DOUBLE, 6) AS precision,
+  round(tn / (tn + fp)::DOUBLE, 6) AS specificity, round(2 * tp / (2 * tp + fn + fp)::DOUBLE, 6) AS f_score FROM c""")
+def e2_binary_metrics(s, d):
+    both = table(s, d, "documents").join(table(s, d, "labels"), "doc_id")
+    m = evaluate.binary_metrics(evaluate.contingency(both, F.col("n_chars") > 200, F.col("quality") == 1))
+    return m.select("tp", "fp", "tn", "fn", *[F.round(c, 6).alias(c) for c in ("accuracy", "recall", "precision", "specificity", "f_score")])
+
+
+_POINTS = ", ".join(f"coalesce(max(CASE WHEN r10 >= {t} THEN p END), 0)" for t in range(11)).replace(", coalesce", " + coalesce")
+
+
+@query(f"""{_FLAT}, h AS (SELECT vec_id, i AS class, x, CASE WHEN label = i THEN 1 ELSE 0 END AS hit FROM f WHERE i < 10),
+r AS (SELECT class, sum(hit) OVER w AS tp, count(*) OVER w AS k, sum(hit) OVER (PARTITION BY class) AS n FROM h WINDOW w AS (PARTITION BY class ORDER BY x DESC, vec_id DESC ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT class, tp / k::DOUBLE AS p, tp * 10 / n::DOUBLE AS r10 FROM r)
+SELECT CAST(class AS INT) AS class, round(({_POINTS}) / 11, 6) AS ap FROM p GROUP BY class""")
+def e6_mean_average_precision(s, d):
+    ap = evaluate.average_precision(vecs(s, d), "vec_id", F.slice("v", 1, 10), F.array("label"))
+    return ap.select("class", F.round("ap", 6).alias("ap"))
+
+
+@query(f"""{_FLAT}, a AS (SELECT vec_id // 5 AS name, i, avg(x) AS s FROM f WHERE i < 10 GROUP BY name, i)
+SELECT name, CAST(arg_min(i, (-s, i)) AS INT) AS class FROM a GROUP BY name""")
+def e7_augmented_average(s, d):
+    v = vecs(s, d).withColumn("name", F.floor(F.col("vec_id") / 5))
+    return evaluate.augmented(v, "name", F.slice("v", 1, 10), 10)
+
+
+@query(f"""{_FLAT}, b AS (SELECT vec_id // 5 AS name, i, row_number() OVER (PARTITION BY vec_id ORDER BY x, i) - 1 AS r FROM f WHERE i < 10), a AS (SELECT name, i, sum(r) AS s FROM b GROUP BY name, i)
+SELECT name, CAST(arg_min(i, (-s, i)) AS INT) AS class FROM a GROUP BY name""")
+def e7_augmented_borda(s, d):
+    v = vecs(s, d).withColumn("name", F.floor(F.col("vec_id") / 5))
+    return evaluate.augmented(v, "name", F.slice("v", 1, 10), 10, "borda")
+
+
+# ---- images, 8 x 8 x 1 (or 4 x 4 x 4) from the embeddings
+
+
+def pictures(s, d, x: int = 8, y: int = 8, c: int = 1) -> DataFrame:
+    return vecs(s, d).select("vec_id", F.struct(F.lit(x).alias("x_dim"), F.lit(y).alias("y_dim"), F.lit(c).alias("num_channels"), F.col("v").alias("data")).alias("image"))
+
+
+@query(f"{_FLAT} SELECT vec_id, CAST(i // 4 AS INT) AS i, round(sqrt(sum(x * x) / 4), 6) AS x FROM f GROUP BY vec_id, i // 4")
+def i2_i3_gray(s, d):
+    return flat(pictures(s, d, 4, 4, 4), images.vectorize(images.grayscale(F.col("image"))))
+
+
+@query(f"{_FLAT} SELECT vec_id, CAST((i // 4) * 3 + i % 4 AS INT) AS i, round(x / 255, 9) AS x FROM f WHERE i < 64 AND i % 4 < 3")
+def i1_pixel_scaler(s, d):
+    three = vecs(s, d).withColumn("v", F.filter("v", lambda x, i: i % 4 < 3))
+    img = three.select("vec_id", F.struct(F.lit(4).alias("x_dim"), F.lit(4).alias("y_dim"), F.lit(3).alias("num_channels"), F.col("v").alias("data")).alias("image"))
+    return flat(img, images.vectorize(images.scale_pixels(F.col("image"))), digits=9)
+
+
+@query(f"""{_FLAT}, o AS (SELECT vec_id, i, x, unnest([0, 1]) AS neg FROM f) SELECT vec_id, CAST(i * 2 + neg AS INT) AS i,
+  round(greatest(0, CASE WHEN neg = 0 THEN x - 0.01::DOUBLE ELSE -x - 0.01::DOUBLE END), 6) AS x FROM o""")
+def i10_symmetric_rectifier(s, d):
+    return flat(pictures(s, d), images.vectorize(images.rectify(F.col("image"), 0.0, 0.01)))
+
+
+@query(f"""{_FLAT}, p AS (SELECT vec_id, x, i % 8 AS r, i // 8 AS c FROM f), w AS (SELECT unnest(range(0, 5, 2)) AS a), u AS (SELECT unnest(range(0, 5, 2)) AS b)
+SELECT vec_id, CAST((a // 2) * 3 + b // 2 AS INT) AS k, CAST((r - a) + (c - b) * 4 AS INT) AS i, round(x, 6) AS x FROM p, w, u WHERE r >= a AND r < a + 4 AND c >= b AND c < b + 4""")
+def i5_windower(s, d):
+    w = pictures(s, d).select("vec_id", F.posexplode(images.map_images(F.col("image"), lambda m: images.windows(m, 2, 4), many=True)).alias("k", "w"))
+    return w.select("vec_id", "k", F.posexplode("w.data").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query(f"""{_FLAT}, p AS (SELECT vec_id, x, i % 8 AS r, i // 8 AS c FROM f), a AS (SELECT unnest([2, 5]) AS a), b AS (SELECT unnest([2, 5]) AS b)
+SELECT vec_id, CAST((a // 3) + (b // 3) * 2 AS INT) AS i, round(sum(x), 5) + 0 AS x FROM p, a, b WHERE r >= a - 2 AND r < a + 2 AND c >= b - 2 AND c < b + 2 GROUP BY vec_id, a, b""")
+def i9_pooler(s, d):
+    return flat(pictures(s, d), images.vectorize(images.map_images(F.col("image"), lambda m: images.pool(m, 3, 4))), digits=5)
+
+
+@query(f"{_FLAT} SELECT vec_id, CAST((i % 8 - 1) + (i // 8 - 2) * 4 AS INT) AS i, round(x, 6) AS x FROM f WHERE i % 8 BETWEEN 1 AND 4 AND i // 8 BETWEEN 2 AND 6")
+def i4_cropper(s, d):
+    return flat(pictures(s, d), images.vectorize(images.map_images(F.col("image"), lambda m: images.crop(m, 1, 2, 5, 7))))
+
+
+@query(f"{_FLAT} SELECT vec_id, copy, CAST(i AS INT) AS i, round(x, 6) AS x FROM f, (SELECT CAST(unnest([0, 1, 2]) AS INT) AS copy)")
+def i20_augmenter(s, d):
+    return images.augment(vecs(s, d), 3).select("vec_id", "copy", F.posexplode("v").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query()
+def i11_a8_convolution_pipeline(s, d):
+    """Patches, their whitening, random filters, convolution, rectifier, pooling."""
+    img = pictures(s, d)
+    rng = np.random.default_rng(7)
+    f = images.normalize_rows(rng.normal(size=(6, 9)))
+    conv = images.map_images(F.col("image"), lambda m: images.convolve(m, f, 3))
+    both = img.select("vec_id", conv.alias("c")).select("vec_id", images.rectify(F.col("c"), 0.0, 0.1).alias("r"))
+    pooled = both.select("vec_id", images.map_images(F.col("r"), lambda m: images.pool(m, 3, 3)).alias("image"))
+    return flat(pooled, images.vectorize(F.col("image")), digits=5)
+
+
+@query()
+def i6_i7_i8_patches(s, d):
+    """Corners and center with flips, and seeded random crops, counted by row."""
+    img = pictures(s, d)
+    five = images.map_images(F.col("image"), lambda m: images.center_corner_patches(m, 4, 4, True) + images.random_patches(m, 3, 4, 4, 12334), many=True)
+    return img.select("vec_id", F.posexplode(five).alias("k", "p")).select("vec_id", "k", F.round(F.aggregate("p.data", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@query()
+def i12_i13_i14_i16_descriptors(s, d):
+    """Number and mean of the values of each kind of descriptor on enlarged pictures."""
+    img = pictures(s, d)
+    big = lambda m: np.kron(m[:, :, 0], np.ones((5, 5)))[:, :, None]
+    kinds = {
+        "hog": lambda m: images.hog(np.repeat(big(m), 3, 2), 8), "lcs": lambda m: images.local_color_statistics(big(m), 6, 8, 3),
+        "daisy": lambda m: images.daisy(big(m), stride=6), "sift": lambda m: images.dense_sift(big(m), 8, 4, 1),
+    }
+    out = None
+    for name, fn in kinds.items():
+        k = img.select("vec_id", F.explode(images.descriptors(F.col("image"), fn)).alias("v"))
+        k = k.groupBy("vec_id").agg(F.lit(name).alias("kind"), F.count("*").alias("n"), F.round(F.avg(F.aggregate("v", F.lit(0.0), lambda a, x: a + x)), 4).alias("mean"))
+        out = k if out is None else out.unionByName(k)
+    return out
+
+
+@query("SELECT event_type AS kind, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY event_type")
+def u1_u2_streamable_aggregate(s, d):
+    return table(s, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))

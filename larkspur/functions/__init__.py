@@ -1 +1 @@
-
+"""Column functions: text, n-grams, vectors."""

@@ -1 +1 @@
-
+"""The pipeline graph, its rules and session state."""

@@ -1 +1 @@
-
+"""Readers of the supported inputs as DataFrames."""

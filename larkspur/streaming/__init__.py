@@ -1 +1 @@
-
+"""Fitted transformers under Structured Streaming."""
