@@ -43,6 +43,8 @@ def quotas(weights: dict[str, int], resolution: int = RESOLUTION) -> dict[str, i
     """Whole parts of resolution in proportion to weights, one at least, by largest remainders."""
     if len(weights) > resolution:
         raise ValueError("more sources than slots in a period; raise resolution")
+    if not weights:
+        return {}
     rest, total = resolution - len(weights), max(1, sum(weights.values()))
     parts = {s: 1 + w * rest // total for s, w in weights.items()}
     order = sorted(weights, key=lambda s: (-(weights[s] * rest % total), s))

@@ -1,0 +1,343 @@
+"""The pipeline operators against brute force, and their edge cases: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
+
+import random
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from larkspur.llm import exact_dedup, html_text, mixing, packing, quality, secrets, simhash, suffix_dedup, url_rules, wavelet
+from larkspur.llm.common import raw_text
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Columns whose names the operators use themselves.
+CLASHES = "rk long, key long, bucket string, block string, slot int, radix_len int, mix_chars int, f0 string, fid string, q string, doc string, count int"
+
+
+def rows(pairs, source="a"):
+    return [(i, t, "en", source, None if t is None else len(t)) for i, t in pairs]
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, clashing columns."""
+    rng = random.Random(5)
+    long = prose(rng, 20_000)
+    base = [(None, None), (None, "x y"), (1, ""), (2, ""), (3, long), (4, long), (4, long), (5, prose(rng, 80)), (5, prose(rng, 80)), (6, "  \n\n "), (7, None), (None, long)]
+    data = [(*r, *([None] * 12)) for r in rows(base)]
+    data[3] = (2, "", None, None, None, *([None] * 12))
+    return spark.createDataFrame(data, f"{SCHEMA}, {CLASHES}")
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+PAGES = "page_id long, url string, html string, tokens string, id string"
+WHOLE = {
+    "quality": lambda d: quality.judge_lines(d), "quality_keep": lambda d: quality.keep_content(d), "exact": lambda d: exact_dedup.duplicate_groups(d),
+    "exact_drop": lambda d: exact_dedup.drop_exact_duplicates(d), "suffix": lambda d: suffix_dedup.repeated_passages(d), "mix": lambda d: mixing.mix(d),
+    "secrets": lambda d: secrets.secrets(d), "pack": lambda d: packing.pack(d), "near": lambda d: simhash.near_duplicate_groups(d),
+    "near_drop": lambda d: simhash.drop_near_duplicates(d), "wavelet": lambda d: wavelet.token_shards(d),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_odd_rows_and_empty_tables(odd, none, name):
+    out = WHOLE[name](odd)
+    out.collect()
+    if name in ("quality_keep", "exact_drop", "near_drop"):
+        assert out.columns == odd.columns
+    assert WHOLE[name](none).collect() == []
+
+
+def test_defined_results_of_odd_rows(odd):
+    text = [(r.doc_id, None if r.text is None else len(r.text)) for r in exact_dedup.drop_exact_duplicates(odd).select("doc_id", "text").collect()]
+    long = max(n for _, n in text if n)
+    assert len(text) == 8 and sorted(i for i, n in text if n == long) == [3]
+    assert sum(n is None for _, n in text) == 2 and [i for i, n in text if n == 0] == [1]
+    near = simhash.drop_near_duplicates(odd).select("doc_id", "text").collect()
+    assert [r.doc_id for r in near if r.text and len(r.text) == long] == [3]
+    assert sum(r.text is None for r in near) == 2 and sum(r.text == "" for r in near) == 2
+    judged = {(r.doc_id, r.chars): r.keep for r in quality.judge_lines(odd).collect()}
+    assert judged[(1, 0)] is False and judged[(7, 0)] is False and judged[(6, 0)] is False
+    spans = suffix_dedup.repeated_passages(odd).collect()
+    # The two rows of id 4, the one without an id and id 3 share the long text; 3 comes first.
+    assert sorted(((r.doc_id is None, r.doc_id, r.later) for r in spans), key=str) == sorted([(False, 3, False), (False, 4, True), (False, 4, True), (True, None, True)], key=str)
+    assert all(r.first_word == 0 and r.end_word == 20_000 and r.n_docs == 4 for r in spans)
+    packed = packing.pack(odd).groupBy("doc_id").sum("length").collect()
+    assert sum(r[1] for r in packed) == sum(1 + len((r.text or "").encode()) for r in odd.collect())
+
+
+def test_viterbi_is_best_of_all_sequences():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        sizes = rng.integers(1, 7, 3)
+        first = np.concatenate(([0], np.cumsum(sizes)))
+        score = rng.integers(-5, 6, first[-1])
+        got = quality.decode(score, first, 3, -1)
+
+        def value(states, s):
+            return sum(x * y for x, y in zip(states, s)) + 3 * sum(a == b for a, b in zip(states, states[1:])) - states[0]
+
+        for a, b in zip(first, first[1:]):
+            every = [[k >> j & 1 for j in range(b - a)] for k in range(1 << (b - a))]
+            assert value(got[a:b].tolist(), score[a:b]) == max(value(s, score[a:b]) for s in every)
+
+
+def test_quality_marks_boilerplate_and_learns(spark):
+    good = "The river runs along the old wall and turns to the sea.\nPeople come here in spring to look at the boats.\n"
+    bad = "home | about | login | $$$ | buy\nBUY!!! NOW!!! $$$ ###\n"
+    d = spark.createDataFrame(rows([(1, good * 3), (2, bad * 3), (3, good * 3 + bad), (4, good + "a a a a a a a a a a a a\n" * 9)]), SCHEMA)
+    assert {r.doc_id: r.keep for r in quality.judge_lines(d).collect()} == {1: True, 2: False, 3: True, 4: False}
+    rng = random.Random(1)
+
+    def sample(k):
+        clean = [(i, "\n".join(prose(rng, 12).capitalize() + "." for _ in range(4)), 1) for i in range(k)]
+        return clean + [(i, "\n".join(" | ".join(prose(rng, 1) for _ in range(8)) for _ in range(4)), 0) for i in range(k)]
+
+    w, stay, start = quality.fit(spark.createDataFrame(sample(80), "doc_id long, text string, quality int"), rounds=120)
+    held = spark.createDataFrame(sample(40), "doc_id long, text string, quality int")
+    j = quality.judge_lines(held.withColumn("doc_id", held.quality), weights=w, stay=stay, start=start).collect()
+    assert np.mean([r.keep == bool(r.doc_id) for r in j]) > 0.97
+
+
+def test_exact_groups_equal_brute_force(spark):
+    rng = random.Random(2)
+    common = prose(rng, 100)
+    texts = [common[: rng.randint(0, 400)] + rng.choice(["", "a", "b", "é"]) for _ in range(120)] + [rng.choice(["", "a", "ab", "a" * 5000]) for _ in range(60)]
+    d = spark.createDataFrame(rows(enumerate(texts)), SCHEMA)
+    by = defaultdict(list)
+    for i, t in enumerate(texts):
+        by[t].append(i)
+    want = sorted((i, min(g), len(g)) for g in by.values() if len(g) > 1 for i in g)
+    assert sorted(tuple(r) for r in exact_dedup.duplicate_groups(d).collect()) == want
+    assert sorted(r.doc_id for r in exact_dedup.drop_exact_duplicates(d).collect()) == sorted(min(g) for g in by.values())
+
+
+def test_suffix_array_and_passages(spark):
+    rng = np.random.default_rng(0)
+    for _ in range(150):
+        parts = [rng.integers(0, 3, rng.integers(1, 12)) for _ in range(rng.integers(1, 5))]
+        ends = np.cumsum([len(p) + 1 for p in parts]) - 1
+        t = np.concatenate([np.append(p + len(parts), k) for k, p in enumerate(parts)])
+        sa = suffix_dedup.suffix_array(t, ends, 100)
+        assert sa.tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        lcp = suffix_dedup.common_prefixes(t, sa, 100)
+        for k in range(1, len(sa)):
+            a, b = t[sa[k - 1] :].tolist(), t[sa[k] :].tolist()
+            assert lcp[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    r = random.Random(3)
+    passages = [prose(r, n) for n in (49, 50, 51, 130, 400)]
+    texts = [" ".join([prose(r, r.randint(0, 60)), r.choice(passages), prose(r, r.randint(0, 60)), r.choice(passages)]) for _ in range(40)]
+    texts += ["la " * 300, "la " * 120 + "end", prose(r, 49), passages[3]]
+    occ = defaultdict(set)
+    for i, t in enumerate(texts):
+        w = t.split()
+        for k in range(len(w) - 49):
+            occ[tuple(w[k : k + 50])].add(i)
+    want = defaultdict(set)
+    for i, t in enumerate(texts):
+        w = t.split()
+        for k in range(len(w) - 49):
+            o = occ[tuple(w[k : k + 50])]
+            if len(o) > 1:
+                want[i, min(o) < i].add(k)
+    got = defaultdict(set)
+    for x in suffix_dedup.repeated_passages(spark.createDataFrame(rows(enumerate(texts)), SCHEMA)).collect():
+        got[x.doc_id, x.later] |= set(range(x.first_word, x.end_word - 49))
+    assert got == want
+
+
+def test_pfair_deviates_by_less_than_one_block():
+    rng = random.Random(4)
+    for _ in range(40):
+        parts = mixing.quotas({f"s{k}": rng.randint(0, 100) for k in range(rng.randint(1, 12))}, 120)
+        assert sum(parts.values()) == 120
+        slots = mixing.period(parts)
+        assert sorted(t for s in slots.values() for t in s) == list(range(120))
+        for s, q in parts.items():
+            for t in range(121):
+                assert abs(sum(x < t for x in slots[s]) - Fraction(t * q, 120)) < 1
+
+
+def test_mix_follows_weights(spark):
+    rng = random.Random(6)
+    data = [(i, "x" * rng.randint(0, 900), "en", rng.choice(["a", "a", "a", "b", "c", None]), 0) for i in range(600)]
+    d = spark.createDataFrame(data, SCHEMA)
+    out = mixing.mix(d, {"a": 2, "b": 1, "c": 1, None: 1}, resolution=100, block_chars=2000)
+    assert out.columns == [*d.columns, "block", "slot"]
+    got = out.collect()
+    place = {}
+    for s in ("a", "b", "c", None):
+        before = 0
+        for i, t, _, src, _ in data:
+            if src == s:
+                place[i] = before // 2000
+                before += len(t)
+    assert all(place[r.doc_id] == r.block for r in got)
+    assert len({(r.source, r.block) for r in got}) == len({r.slot for r in got})
+    share = Counter(r.source for r in got if r.slot < 20)
+    assert share["a"] > share["b"]
+
+
+def naive_best_fit(sizes, capacity):
+    room, out = [], []
+    for s in sizes:
+        fit = [(r, b) for b, r in enumerate(room) if r >= s]
+        b = min(fit)[1] if fit else len(room)
+        if not fit:
+            room.append(capacity)
+        out.append((b, capacity - room[b]))
+        room[b] -= s
+    return out
+
+
+def test_best_fit_equals_brute_force(spark):
+    rng = np.random.default_rng(1)
+    for capacity in (1, 7, 64, 100):
+        sizes = np.sort(rng.integers(1, capacity + 1, 300))[::-1]
+        bins, offsets, n = packing.best_fit(sizes, capacity)
+        assert list(zip(bins.tolist(), offsets.tolist())) == naive_best_fit(sizes.tolist(), capacity) and n == bins.max() + 1
+    texts = ["y" * int(k) for k in rng.integers(0, 300, 200)]
+    out = packing.pack(spark.createDataFrame(rows(enumerate(texts)), SCHEMA), capacity=100, shard_tokens=5000).collect()
+    used = defaultdict(list)
+    for r in out:
+        used[r.shard, r.bin].append((r.offset, r.length))
+    for parts in used.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 100
+    total = defaultdict(int)
+    for r in sorted(out, key=lambda r: (r.doc_id, r.piece)):
+        assert r.start == total[r.doc_id]
+        total[r.doc_id] += r.length
+    assert total == {i: len(t) + 1 for i, t in enumerate(texts)}
+
+
+def test_anchors_cover_and_recall(spark):
+    for v in np.random.default_rng(2).integers(0, 1 << 31, 200).tolist():
+        s = sum((bin(v & m).count("1") & 1) << k for k, m in enumerate(simhash.CHECKS))
+        near = {v ^ x for x in simhash.OFFSETS[s]}
+        assert all(all(bin(c & m).count("1") % 2 == 0 for m in simhash.CHECKS) for c in near)
+        # A value one bit away has its home among the anchors.
+        for b in range(31):
+            u = v ^ (1 << b)
+            t = sum((bin(u & m).count("1") & 1) << k for k, m in enumerate(simhash.CHECKS))
+            assert u ^ simhash.OFFSETS[t][0] in near
+    rng = random.Random(7)
+    texts, origin = [], []
+    for k in range(60):
+        base = prose(rng, 300).split()
+        for _ in range(rng.randint(1, 4)):
+            w = list(base)
+            for _ in range(rng.randint(0, 6)):
+                w[rng.randrange(len(w))] = prose(rng, 1)
+            texts.append(" ".join(w))
+            origin.append(k)
+    d = spark.createDataFrame(rows(enumerate(texts)), SCHEMA)
+    prints = {r.doc: [r[c] for c in simhash.COLUMNS] for r in simhash.with_fingerprints(d).collect()}
+    far = lambda a, b: sum(bin(x ^ y).count("1") for x, y in zip(prints[a], prints[b]))
+    group = {r.doc_id: r.keep_id for r in simhash.near_duplicate_groups(d).collect()}
+    pairs = [(a, b) for a in prints for b in prints if a < b and far(a, b) <= simhash.MAX_BITS]
+    assert all(group.get(a) == group.get(b, -1) for a, b in pairs if far(a, b) < 2 * simhash.BLOCKS)
+    assert sum(group.get(a) == group.get(b, -1) for a, b in pairs) >= 0.9 * len(pairs)
+    assert all(origin[i] == origin[k] for i, k in group.items())
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(d).collect()}
+    assert kept == {i for i in range(len(texts)) if group.get(i, i) == i}
+
+
+def test_secrets_and_what_is_left_out(spark):
+    import hashlib
+
+    digest = hashlib.sha256(b"x").hexdigest()
+    text = f'key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMPLEKY" token="{digest[:40]}" sha256: {digest} id 123e4567-e89b-12d3-a456-426614174000 getElementsByClassNameAndMore some_snake_case_name_2024 Donaudampfschifffahrtsgesellschaft {"7" * 30}'
+    found = [v for _, v, _ in secrets.scan(text)]
+    assert found == ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMPLEKY", digest[:40]]
+    d = spark.createDataFrame(rows([(1, text), (2, "nothing here"), (3, None)]), SCHEMA)
+    got = secrets.secrets(d).collect()
+    assert sorted(r.value for r in got) == sorted(found) and all(text[r.start : r.start + len(r.value)] == r.value for r in got)
+    known = spark.createDataFrame([(digest[:40],)], "v string")
+    assert [r.value for r in secrets.secrets(d, known_digests=known).collect()] == [found[0]]
+
+
+def test_html_content_region(spark):
+    menu = "".join(f'<li><a href="/{k}">Link {k}</a></li>' for k in range(12))
+    body = "".join(f"<p>{prose(random.Random(k), 60)}.</p>" for k in range(5))
+    page = f"<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><ul>{menu}</ul></nav><article>{body}</article><footer><a>c</a></footer>"
+    text, n, content = html_text.extract(page)
+    assert all(" ".join(p.split()) in text for p in (prose(random.Random(k), 60) for k in range(5)))
+    assert "Link 3" not in text and "var a" not in text and 5 <= content < n
+    assert html_text.extract("") == ("", 0, 0)
+    d = spark.createDataFrame([(1, "u", page, None, None), (1, "u", None, None, None), (None, None, "<p" * 9, None, None), (2, "u", "plain " * 50_000, None, None)], PAGES)
+    got = {(r.page_id, r.n_lines): r.text for r in html_text.content_text(d).collect()}
+    assert got[(1, 0)] == "" and len(got[(2, 1)]) == 299_999 and got[(1, n)] == text
+    assert html_text.content_text(d.limit(0)).collect() == []
+    ratio = np.random.default_rng(0).random(20)
+    w = lambda i, j: np.exp(-0.5 * (i - j) ** 2)
+    want = [sum(w(i, j) * ratio[j] for j in range(max(0, i - 2), min(20, i + 3))) / sum(w(i, j) for j in range(max(0, i - 2), min(20, i + 3))) for i in range(20)]
+    assert np.allclose(html_text.smooth(ratio), want)
+
+
+def test_wavelet_round_trip(spark):
+    rng = np.random.default_rng(3)
+    for n, top in ((0, 1), (1, 1), (64, 2), (1000, 7), (5000, 50_000), (300, 100_000)):
+        ids = rng.integers(0, top, n)
+        m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids).to_bytes())
+        assert m.access(np.arange(n)).tolist() == ids.tolist()
+        for t in [*ids[:20].tolist(), top + 5]:
+            assert m.occurrences(t).tolist() == np.flatnonzero(ids == t).tolist()
+            assert m.count(t, n // 2) == int((ids[: n // 2] == t).sum())
+    texts = ["The river runs.", "", None, "Ünï çödé <|endoftext|> \n\n x"]
+    for shard in wavelet.token_shards(spark.createDataFrame(rows(enumerate(texts)), SCHEMA).coalesce(1), shard_tokens=8).collect():
+        m = wavelet.WaveletMatrix.from_bytes(shard["data"])
+        ids, a = m.access(np.arange(shard.n_tokens)), 0
+        for doc, b in zip(shard.doc_ids, shard.ends):
+            assert secrets.encoding().decode(ids[a:b].tolist()) == (texts[doc] or "")
+            a = b
+
+
+def test_url_rules_equal_brute_force(spark):
+    rng = random.Random(8)
+    pages, labels = [], []
+    for i in range(400):
+        host, path = rng.choice(["casino", "shop", "news"]), rng.choice(["win", "bet", "about"])
+        pages.append((i, f"https://{host}.example.com/{path}/{rng.randint(1, 99)}?a=b", "", None, None))
+        labels.append((i, 0 if host == "casino" and path != "about" or rng.random() < 0.1 else 1, 0))
+    pages += [(None, None, None, None, None), (400, "", None, None, None), (400, "", None, None, None), (401, "http://casino.example.com/win/3", None, None, None)]
+    labels.append((None, 0, 0))
+    p, lab = spark.createDataFrame(pages, PAGES), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in url_rules.judge_urls(p, lab).collect()}
+    assert got[401]["drop"] and not got[400]["drop"] and not got[None]["drop"]
+    # Rules against every set of up to three tokens.
+    from itertools import combinations
+
+    toks = {r.page_id: r.t for r in p.select("page_id", url_rules.tokens(p.url).alias("t")).collect()}
+    seen, bad = Counter(), Counter()
+    for i, q, _ in labels[:400]:
+        for k in (1, 2, 3):
+            for c in combinations(toks[i], k):
+                seen[c] += 1
+                bad[c] += q == 0
+    rules = {c: bad[c] * 1000 // seen[c] for c in seen if bad[c] >= 10 and bad[c] * 1000 >= seen[c] * 500}
+    rules = {c: x for c, x in rules.items() if not any(set(e) < set(c) and y >= x for e, y in rules.items())}
+    for i, *_ in pages[:400]:
+        hit = [x for c, x in rules.items() if set(c) <= set(toks[i])]
+        assert (got[i].n_rules, got[i].confidence) == (len(hit), max(hit, default=0))
+    assert url_rules.judge_urls(p.limit(0), lab).collect() == []
+    assert not any(r["drop"] for r in url_rules.judge_urls(p, lab.limit(0)).collect())
+
+
+def test_text_buffers_of_slices():
+    import pyarrow as pa
+
+    raw, off = raw_text(pa.array(["ab", None, "", "çd"]).slice(1))
+    assert raw.tobytes().decode() == "çd" and off.tolist() == [0, 0, 0, 3]
