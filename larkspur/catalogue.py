@@ -88,14 +88,14 @@ _FLAT = f"WITH {_VEC}, f AS (SELECT vec_id, label, unnest(v) AS x, generate_subs
 
 @query(f"WITH {_DOCS} SELECT doc_id, CAST(pos AS INT) AS pos, term AS token FROM ({_EACH})")
 def n1_n2_n3_tokens(s, d):
-    return docs(s, d).select("doc_id", F.posexplode("w").alias("pos", "token"))
+    return docs(s, d).select("doc_id", F.posexplode_outer("w").alias("pos", "token")).where("token IS NOT NULL")
 
 
 @query(f"""WITH {_DOCS}, g AS (
   SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS ngram FROM tok, (SELECT unnest([1, 2]) AS n))
 SELECT doc_id, CAST(n AS INT) AS n, ngram, count(*) AS cnt FROM g GROUP BY doc_id, n, ngram""")
 def n4_ngrams(s, d):
-    g = docs(s, d).select("doc_id", F.explode(text.ngrams(F.col("w"), 1, 2)).alias("g"))
+    g = docs(s, d).select("doc_id", F.explode_outer(text.ngrams(F.col("w"), 1, 2)).alias("g")).where("g IS NOT NULL")
     return g.groupBy("doc_id", F.size("g").alias("n"), F.array_join("g", " ").alias("ngram")).agg(F.count("*").alias("cnt"))
 
 
@@ -134,7 +134,7 @@ scores AS (SELECT grams.g AS g, grams.c / CAST(ctx.c AS DOUBLE) AS score FROM gr
 
 def _model(s, d):
     w = talk(s, d)
-    uni = w.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("count"))
+    uni = w.select(F.explode_outer("w").alias("word")).where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("count"))
     return ngrams.backoff_scores(ngrams.counts(w, text.ngrams(F.col("w"), 2, 3)), uni), uni
 
 
@@ -178,7 +178,7 @@ def n12_bitpack_ngrams(s, d):
 b AS (SELECT term, CAST((((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) % 4096) + 4096) % 4096 AS INT) AS bucket FROM (SELECT term, CASE WHEN term = '' THEN 0 ELSE h END AS h FROM h))
 SELECT doc_id, bucket, count(*) AS cnt FROM e JOIN b USING (term) GROUP BY doc_id, bucket""")
 def n8_hashing_tf(s, d):
-    return docs(s, d).select("doc_id", F.explode("w").alias("term")).groupBy("doc_id", text.hash_bucket(F.col("term"), 4096).alias("bucket")).agg(F.count("*").alias("cnt"))
+    return docs(s, d).select("doc_id", F.explode_outer("w").alias("term")).where("term IS NOT NULL").groupBy("doc_id", text.hash_bucket(F.col("term"), 4096).alias("bucket")).agg(F.count("*").alias("cnt"))
 
 
 @query()

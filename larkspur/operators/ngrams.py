@@ -1,4 +1,9 @@
-"""N-gram counts, word ranks and the stupid-backoff language model."""
+"""N-gram counts, word ranks and the stupid-backoff language model.
+
+Arrays are exploded as outer ones and empty ones dropped afterwards: for a plain
+explode the optimizer puts a filter on the array's size below it, which
+would compute the array, here whole tokenizations, once more. Null elements count for nothing.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +15,7 @@ from larkspur.operators.numbering import number
 
 def counts(df: DataFrame, grams: Column) -> DataFrame:
     """(ngram, count) of an array of n-grams."""
-    return df.select(F.explode(grams).alias("ngram")).groupBy("ngram").agg(F.count("*").alias("count"))
+    return df.select(F.explode_outer(grams).alias("ngram")).where("ngram IS NOT NULL").groupBy("ngram").agg(F.count("*").alias("count"))
 
 
 def word_ranks(df: DataFrame, words: Column) -> DataFrame:
@@ -18,13 +23,13 @@ def word_ranks(df: DataFrame, words: Column) -> DataFrame:
 
     Words are numbered by buckets of equal count and initial letters.
     """
-    count = df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
+    count = df.select(F.explode_outer(words).alias("word")).where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("count"))
     return number(count, [-F.col("count"), F.substring("word", 1, 2)], [F.col("word")]).select("word", "idx", "count")
 
 
 def encode(df: DataFrame, key: str, words: Column, ranks: DataFrame) -> DataFrame:
     """(key, pos, idx) of every word, -1 where it has no rank."""
-    flat = df.select(key, F.posexplode(words).alias("pos", "word"))
+    flat = df.select(key, F.posexplode_outer(words).alias("pos", "word")).where("word IS NOT NULL")
     return flat.join(ranks.select("word", "idx"), "word", "left").select(key, "pos", F.coalesce("idx", F.lit(-1)).alias("idx"))
 
 

@@ -11,12 +11,12 @@ from larkspur.operators.numbering import number
 
 def term_frequency(df: DataFrame, key: str, terms: Column, weight=lambda n: n) -> DataFrame:
     """(key, term, weight) of each row's distinct terms, the weight being a function of the count."""
-    flat = df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    flat = df.select(key, F.explode_outer(terms).alias("term")).where("term IS NOT NULL").groupBy(key, "term").agg(F.count("*").alias("n"))
     return flat.select(key, "term", weight(F.col("n")).cast("double").alias("weight"))
 
 
 def _seen(df: DataFrame, key: str, terms: Column) -> DataFrame:
-    flat = df.select(F.col(key).alias("row"), F.posexplode(terms).alias("pos", "term"))
+    flat = df.select(F.col(key).alias("row"), F.posexplode_outer(terms).alias("pos", "term")).where("term IS NOT NULL")
     return flat.groupBy("term").agg(F.count("*").alias("count"), F.min(F.struct("row", "pos")).alias("first"))
 
 
@@ -40,4 +40,4 @@ def vectorize(df: DataFrame, key: str, weighted: Column, space: DataFrame) -> Da
 
 def hashing_counts(df: DataFrame, key: str, buckets: Column) -> DataFrame:
     """(key, bucket, count) of an array of bucket numbers."""
-    return df.select(key, F.explode(buckets).alias("bucket")).groupBy(key, "bucket").agg(F.count("*").alias("count"))
+    return df.select(key, F.explode_outer(buckets).alias("bucket")).where("bucket IS NOT NULL").groupBy(key, "bucket").agg(F.count("*").alias("count"))
