@@ -11,8 +11,10 @@ less than one. The parts sum to R, so the schedule repeats every R slots: only
 one period, whose length is a parameter, is worked out on the driver, and
 a block's slot follows in closed form on the executors.
 
-The mix ends at the first slot whose source has no block left; what
-comes later is left out, since it couldn't keep to the weights.
+At the first slot whose source has no block left an epoch ends. The sources that
+still have blocks share the next epoch, their weights made whole parts anew, until
+every block has its slot; all rows stay. With whole=False the mix ends with the
+first epoch and the rest is left out, as in the SQL of op4.
 
 Weights are given or, else, in proportion to the square root of the sources'
 characters. Nulls: a null source is a source of its own; null and empty
@@ -23,6 +25,8 @@ content. An empty table gives an empty result. Columns pass through.
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
 from math import isqrt
 
 from pyspark.sql import DataFrame
@@ -53,17 +57,46 @@ def quotas(weights: dict[str, int], resolution: int = RESOLUTION) -> dict[str, i
     return parts
 
 
-def period(parts: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period, by earliest deadline first among released blocks."""
-    length, names = sum(parts.values()), sorted(parts)
-    slots: dict[str, list[int]] = {s: [] for s in names}
+def period(parts: dict[str, int], left: dict[str, int] | None = None) -> dict[str, list[int]]:
+    """Slots of each source's blocks in one period, by earliest deadline first among released blocks; up to the first slot whose source has none left."""
+    length = sum(parts.values())
+    slots: dict[str, list[int]] = {s: [] for s in parts}
+    coming, ready = [(0, -(-length // q), s) for s, q in parts.items()], []
+    heapq.heapify(coming)
     for t in range(length):
-        ready = [(-(-(len(slots[s]) + 1) * length // parts[s]), s) for s in names if len(slots[s]) < parts[s] and len(slots[s]) * length // parts[s] <= t]
-        slots[min(ready)[1]].append(t)
+        while coming and coming[0][0] <= t:
+            heapq.heappush(ready, heapq.heappop(coming)[1:])
+        s = heapq.heappop(ready)[1]
+        n = len(slots[s])
+        if left is not None and n == left[s]:
+            break
+        slots[s].append(t)
+        if n + 1 < parts[s]:
+            heapq.heappush(coming, ((n + 1) * length // parts[s], -(-(n + 2) * length // parts[s]), s))
     return slots
 
 
-def mix(docs: DataFrame, weights: dict[str, int] | None = None, resolution: int = RESOLUTION, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def epochs(blocks: dict[str, int], weights: dict[str, int], resolution: int = RESOLUTION, whole: bool = True) -> list[tuple[str, int, int, int, int, int, list[int]]]:
+    """(source, first block, last block, first slot, parts, parts of all, slots in a period) of every source in every epoch in which it has blocks."""
+    out, done, start = [], dict.fromkeys(blocks, 0), 0
+    while left := {s: n - done[s] for s, n in blocks.items() if n > done[s]}:
+        parts = quotas({s: weights[s] for s in left}, resolution)
+        length, plan = sum(parts.values()), period(parts, left)
+        planned = sum(map(len, plan.values()))
+        # A period broken off is the whole epoch; else the first slot that some source can't fill ends it.
+        end = planned if planned < length else min(n // parts[s] * length + plan[s][n % parts[s]] for s, n in left.items())
+        for s, q in parts.items():
+            n = end // length * q + bisect_left(plan[s], end % length)
+            if n:
+                out.append((s, done[s], done[s] + n - 1, start, q, length, plan[s][:n]))
+            done[s] += n
+        start += end
+        if not whole:
+            break
+    return out
+
+
+def mix(docs: DataFrame, weights: dict[str, int] | None = None, resolution: int = RESOLUTION, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = True) -> DataFrame:
     """docs in the mix, with the columns block and slot (with underscores before them where docs has such names)."""
     spark = docs.sparkSession
     name, size, chunk, before, tie, block, slot = (free_name(docs, c) for c in ("mix_source", "mix_chars", "mix_chunk", "mix_before", "mix_tie", "block", "slot"))
@@ -77,23 +110,23 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, resolution: int
     # A row per source reaches the driver; there are resolution of them at most.
     totals = {r[0]: r[1] for r in sums.groupBy(name).agg(F.sum("n")).limit(resolution + 1).collect()}
     wanted = {s: isqrt(n) for s, n in totals.items()} if weights is None else {s: int(weights[s[1:] if s[0] == "=" else None]) for s in totals}
-    parts = quotas(wanted, resolution)
-    plan = period(parts)
-    blocks = {s: max(1, -(-n // block_chars)) for s, n in totals.items()}
-    end = min((b // parts[s] * resolution + plan[s][b % parts[s]] for s, b in blocks.items()), default=0)
+    of, first, last_block, start, q, length, slots, many, nth = (free_name(docs, f"mix_{c}") for c in ("of", "first", "last", "start", "q", "length", "slots", "many", "nth"))
     table = spark.createDataFrame(
-        [(s, parts[s], plan[s], blocks[s]) for s in parts], f"`{name}` string, mix_q int, mix_slots array<int>, mix_blocks long"
+        epochs({s: max(1, -(-n // block_chars)) for s, n in totals.items()}, wanted, resolution, whole),
+        f"`{of}` string, `{first}` long, `{last_block}` long, `{start}` long, `{q}` int, `{length}` int, `{slots}` array<int>",
     )
     offsets = sums.withColumn(before, F.sum("n").over(W.partitionBy(name).orderBy(chunk).rowsBetween(W.unboundedPreceding, -1))).select(
-        name, chunk, F.coalesce(before, F.lit(0)).alias(before)
+        name, chunk, F.coalesce(before, F.lit(0)).alias(before), F.greatest(F.lit(1), F.ceil(F.sum("n").over(W.partitionBy(name)) / block_chars)).alias(many)
     )
     within = W.partitionBy(name, chunk).orderBy(F.col(id_col).asc_nulls_last(), tie).rowsBetween(W.unboundedPreceding, -1)
     placed = (
         flat.withColumn(chunk, last).withColumn(tie, row_key(id_col, text_col))
         .withColumn(size, F.coalesce(F.sum(size).over(within), F.lit(0)))
         .join(offsets, [name, chunk])
-        .join(F.broadcast(table), name)  # as many rows as a period has slots at most, by parameter
-        .withColumn(block, F.least(F.floor((F.col(before) + F.col(size)) / block_chars), F.col("mix_blocks") - 1).cast("long"))
-        .withColumn(slot, F.floor(F.col(block) / F.col("mix_q")) * resolution + F.element_at("mix_slots", (F.col(block) % F.col("mix_q") + 1).cast("int")))
+        .withColumn(block, F.least(F.floor((F.col(before) + F.col(size)) / block_chars), F.col(many) - 1).cast("long"))
+        # As many rows as sources have epochs and as many slots as there are blocks at most.
+        .join(F.broadcast(table), (F.col(name) == F.col(of)) & F.col(block).between(F.col(first), F.col(last_block)))
+        .withColumn(nth, F.col(block) - F.col(first))
+        .withColumn(slot, F.col(start) + F.floor(F.col(nth) / F.col(q)) * F.col(length) + F.element_at(slots, (F.col(nth) % F.col(q) + 1).cast("int")))
     )
-    return placed.where(F.col(slot) < end).select(*[F.col(f"`{c}`") for c in docs.columns], F.col(block), F.col(slot))
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(block), F.col(slot))

@@ -26,7 +26,7 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "block", "slot")
+    return mixing.mix(_table(spark, sf_dir, "documents"), whole=False).select("doc_id", "source", "block", "slot")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

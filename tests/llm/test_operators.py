@@ -187,6 +187,28 @@ def test_mix_follows_weights(spark):
     assert share["a"] > share["b"]
 
 
+def test_mix_places_every_block(spark):
+    rng = random.Random(11)
+    for _ in range(30):
+        blocks = {f"s{k}": rng.choice([1, 2, rng.randint(1, 400)]) for k in range(rng.randint(1, 8))}
+        weights = {s: rng.randint(0, 50) for s in blocks}
+        slot = {}
+        for s, first, last, start, q, length, slots in mixing.epochs(blocks, weights, 20):
+            for k in range(first, last + 1):
+                slot[s, k] = start + (k - first) // q * length + slots[(k - first) % q]
+        assert set(slot) == {(s, k) for s, n in blocks.items() for k in range(n)}
+        assert sorted(slot.values()) == list(range(sum(blocks.values())))
+        assert all(slot[s, k] < slot[s, k + 1] for s, n in blocks.items() for k in range(n - 1))
+        # The cut-off mix is the first epoch.
+        cut = mixing.epochs(blocks, weights, 20, whole=False)
+        assert cut == mixing.epochs(blocks, weights, 20)[: len(cut)]
+    # One short document without a source does not end the mix of the others.
+    data = [(i, "x" * 100, "en", rng.choice(["a", "b"]), 0) for i in range(500)] + [(500, "", "en", None, 0)]
+    got = mixing.mix(spark.createDataFrame(data, SCHEMA), resolution=10, block_chars=100).collect()
+    assert sorted(r.doc_id for r in got) == list(range(501))
+    assert sorted({r.slot for r in got}) == list(range(501))
+
+
 def naive_best_fit(sizes, capacity):
     room, out = [], []
     for s in sizes:
