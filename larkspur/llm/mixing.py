@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import free_name, row_key
 
-#: Slots in a period: weights are kept to one part in so many, and there can be as many sources.
+#: Slots in a period: weights are kept to one part in so many. With more sources than that, a period has PARTS slots for each.
 RESOLUTION = 1000
+PARTS = 4
 #: Characters in a block.
 BLOCK_CHARS = 16384
 #: Consecutive doc_ids in a chunk, the unit of the distributed running sum.
@@ -107,8 +108,10 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, resolution: int
     )
     last = F.coalesce(F.col(chunk), F.lit(2**62))
     sums = flat.groupBy(name, last.alias(chunk)).agg(F.sum(size).alias("n"))
-    # A row per source reaches the driver; there are resolution of them at most.
-    totals = {r[0]: r[1] for r in sums.groupBy(name).agg(F.sum("n")).limit(resolution + 1).collect()}
+    # A row per source reaches the driver.
+    totals = {r[0]: r[1] for r in sums.groupBy(name).agg(F.sum("n")).collect()}
+    if len(totals) > resolution:
+        resolution = PARTS * len(totals)
     wanted = {s: isqrt(n) for s, n in totals.items()} if weights is None else {s: int(weights[s[1:] if s[0] == "=" else None]) for s in totals}
     of, first, last_block, start, q, length, slots, many, nth = (free_name(docs, f"mix_{c}") for c in ("of", "first", "last", "start", "q", "length", "slots", "many", "nth"))
     table = spark.createDataFrame(

@@ -209,6 +209,13 @@ def test_mix_places_every_block(spark):
     assert sorted({r.slot for r in got}) == list(range(501))
 
 
+def test_mix_of_more_sources_than_slots(spark):
+    data = [(i, "x" * 50, "en", f"host{i % 1001}", 0) for i in range(2002)]
+    got = mixing.mix(spark.createDataFrame(data, SCHEMA), block_chars=50).collect()
+    assert sorted(r.doc_id for r in got) == list(range(2002)) and sorted(r.slot for r in got) == list(range(2002))
+    assert sorted(r.doc_id for r in mixing.mix(spark.createDataFrame(data, SCHEMA), {f"host{k}": k for k in range(1001)}, resolution=7).collect()) == list(range(2002))
+
+
 def naive_best_fit(sizes, capacity):
     room, out = [], []
     for s in sizes:
