@@ -6,18 +6,18 @@ square root of its count. Word order does not matter.
 
 Anchors: the codewords of the (31, 26) Hamming code in every block. The code
 is perfect: each block value is within the covering radius 1 of exactly one
-anchor, its home. With a threshold of one differing bit in a block, the
-second fingerprint of a pair lies within radius + threshold = 2 of the home
-of the first; so every fingerprint is replicated to all anchors within 2 (16
-of them, or 1 where the value is an anchor itself) and meets, per anchor, the
-fingerprints at home there. Two fingerprints that differ in at most
-2 * BLOCKS - 1 bits differ by at most one bit in some block, so all such pairs
-are found for certain. Pairs up to MAX_BITS are accepted where they meet;
-those between the two bounds are found with high probability, the more so as
-groups are closed transitively.
-
-Fingerprints that are equal are one node, so copies cost nothing. The
-bucket of an anchor is a plain equi-join; there is no cap on its size.
+anchor, its home. Two fingerprints that differ in MAX_BITS = 31 bits or fewer
+differ in NEAR = 3 or fewer in some of the 8 blocks, and there the
+second lies within radius + NEAR = 4 of the home of the first. So every
+fingerprint looks at all anchors within 4 (1136 or more of them) for those at home
+there, and all pairs up to MAX_BITS are found for certain.
+
+The anchors are looked up in memory and never written: a task has the fingerprints of
+two tiles of TILE or fewer, for one block. A pair is reported in the first block in which
+it is near, hence once.
+
+Fingerprints that are equal are one node, so copies cost nothing. There is no
+cap on the size of an anchor's bucket.
 
 Nulls: a null or wordless text has no fingerprint, belongs to no group and
 stays. A null doc_id orders after all others. Repeated rows are copies of each
@@ -27,6 +27,9 @@ other. Empty tables give empty results; other columns pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
+from operator import xor
 
 import numpy as np
 import pyarrow as pa
@@ -35,21 +38,24 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import WORD_BYTES, Scratch, mix64, raw_text, row_key, slices, span_hashes, words
 
-#: Blocks of 31 bits, two to a 64-bit column. More blocks, better recall beyond the guaranteed distance.
+#: Blocks of 31 bits, two to a 64-bit column.
 BLOCKS = 8
 #: Largest number of differing bits, of 31 * BLOCKS, at which two documents are near duplicates.
 MAX_BITS = 31
+#: Differing bits at most, in the block that has the fewest, of a pair with MAX_BITS.
+NEAR = MAX_BITS // BLOCKS
+#: Fingerprints on either side of a task that compares them.
+TILE = 2_000_000
 COLUMNS = [f"f{k}" for k in range(BLOCKS // 2)]
 _LOW = (1 << 31) - 1
 
 
 def _offsets() -> list[list[int]]:
-    """By syndrome, the patterns of weight 2 or less that lead to an anchor; the first is the one to the home."""
-    out = []
-    for s in range(32):
-        near = [0] if s == 0 else [1 << (s - 1)]
-        near += [(1 << (i - 1)) | (1 << (j - 1)) for i in range(1, 32) if s and i < (j := i ^ s) and j > 0]
-        out.append(near)
+    """By syndrome, the patterns of weight NEAR + 1 or less that lead to an anchor; the first is the one to the home."""
+    out: list[list[int]] = [[] for _ in range(32)]
+    for weight in range(NEAR + 2):
+        for at in combinations(range(1, 32), weight):
+            out[reduce(xor, at, 0)].append(sum(1 << (p - 1) for p in at))
     return out
 
 
@@ -107,37 +113,78 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ).mapInArrow(_fingerprint_batches, f"doc {kind}, rk long, " + ", ".join(f"{c} long" for c in COLUMNS))
 
 
-def _distance(a: str, b: str):
-    return sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in COLUMNS), F.lit(0))
+def _data_bits(x: np.ndarray) -> np.ndarray:
+    """The 26 bits of an anchor, or of a difference of anchors, that are no check bits (positions 1, 2, 4, 8, 16)."""
+    return x >> 2 & 1 | (x >> 4 & 7) << 1 | (x >> 8 & 127) << 4 | (x >> 16 & 32767) << 11
 
 
-def _anchored(nodes: DataFrame) -> DataFrame:
-    """A row per node and block: the node, its home's key, and the keys of all anchors within 2."""
-    table = F.array(*[F.array(*[F.lit(x).cast("long") for x in row]) for row in OFFSETS])
-    blocks = F.array(*[
-        F.struct(F.lit(k).alias("k"), F.shiftright(F.col(COLUMNS[k // 2]), 31 * (k % 2)).bitwiseAND(F.lit(_LOW).cast("long")).alias("v"))
-        for k in range(BLOCKS)
-    ])
-    syndrome = sum((F.shiftleft(F.bit_count(F.col("b.v").bitwiseAND(F.lit(m).cast("long"))) % 2, k) for k, m in enumerate(CHECKS)), F.lit(0))
-    return (
-        nodes.select("fid", F.explode(blocks).alias("b"))
-        .select("fid", "b", F.element_at(table, syndrome + 1).alias("near"))
-        .select("fid", F.shiftleft(F.col("b.k").cast("long"), 32).bitwiseOR(F.col("b.v")).alias("at"), "near")
-    )
+def _syndrome(v: np.ndarray) -> np.ndarray:
+    return sum((np.bitwise_count(v & m).astype(np.int64) & 1) << k for k, m in enumerate(CHECKS))
 
 
-def near_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b, of the nodes (fid, f0...) that meet at an anchor and differ in MAX_BITS bits at most; may repeat a pair."""
-    at = _anchored(nodes)
-    home = at.select(F.col("fid").alias("a"), F.col("at").bitwiseXOR(F.col("near")[0]).alias("anchor"))
-    copies = at.select(F.col("fid").alias("b"), F.explode("near").alias("x"), "at").select("b", F.col("at").bitwiseXOR(F.col("x")).alias("anchor"))
-    met = home.join(copies, "anchor").where("a < b").select("a", "b")
-    return (
-        met.join(nodes.alias("l"), F.col("a") == F.col("l.fid"))
-        .join(nodes.alias("r"), F.col("b") == F.col("r.fid"))
-        .where(_distance("l", "r") <= MAX_BITS)
-        .select("a", "b")
+def _block(prints: np.ndarray, k: int) -> np.ndarray:
+    return prints[:, k // 2] >> 31 * (k % 2) & _LOW
+
+
+def close_pairs(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i of left and j of right that differ in MAX_BITS or fewer, in NEAR or fewer in block k and in more in those before it."""
+    a, b, found = _block(left, k), _block(right, k), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    if not len(a) or not len(b):
+        return found[0]
+    homes = _data_bits(a ^ np.array([x[0] for x in OFFSETS])[_syndrome(a)])
+    # Homes in the order of their low bits, where each begins, and a sparser table that tells most anchors without homes.
+    low, wide = ((1 << min(26, len(a).bit_length() + n)) - 1 for n in (1, 5))
+    order = np.argsort(homes & low, kind="stable")
+    begin = np.searchsorted((homes & low)[order], np.arange(low + 2)).astype(np.int64)
+    taken = np.zeros(wide + 1, bool)
+    taken[homes & wide] = True
+    kinds = _syndrome(b)
+    for s in range(32):
+        rows, steps = np.flatnonzero(kinds == s), np.array(OFFSETS[s])
+        starts, moves = _data_bits(b[rows] ^ steps[0]), _data_bits(steps ^ steps[0])
+        for i in range(0, len(rows), 128):
+            part = starts[i : i + 128]
+            hit = np.flatnonzero(taken[((part & wide).astype(np.int32)[:, None] ^ (moves & wide).astype(np.int32)).ravel()])
+            at = part[hit // len(moves)] ^ moves[hit % len(moves)]
+            first = begin[at & low]
+            n = begin[(at & low) + 1] - first
+            # A long bucket is gone through in parts.
+            for x, y in slices(np.concatenate(([0], np.cumsum(n))), 1 << 20, len(n)):
+                m = n[x:y]
+                near = order[np.repeat(first[x:y] - np.cumsum(m) + m, m) + np.arange(m.sum())]
+                j = np.repeat(rows[i + hit[x:y] // len(moves)], m)
+                keep = (homes[near] == np.repeat(at[x:y], m)) & (np.bitwise_count(a[near] ^ b[j]) <= NEAR)
+                near, j = near[keep], j[keep]
+                keep = np.bitwise_count(left[near] ^ right[j]).sum(1, dtype=np.int64) <= MAX_BITS
+                for e in range(k):
+                    keep &= np.bitwise_count(_block(left[near], e) ^ _block(right[j], e)) > NEAR
+                found.append((near[keep], j[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def near_pairs(nodes: DataFrame, tile: int = TILE) -> DataFrame:
+    """(a, b), a < b, of all nodes (fid, f0...) that differ in MAX_BITS bits at most, each pair once."""
+    tiles = max(1, -(-nodes.count() // tile))
+
+    def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        k, one, two = (x.as_py() for x in key)
+        fid = rows.column("fid").to_numpy()
+        prints = np.stack([rows.column(c).to_numpy() for c in COLUMNS], axis=1)
+        left, right = (np.flatnonzero(fid % tiles == g) for g in (one, two))
+        i, j = close_pairs(prints[left], prints[right], k)
+        a, b = fid[left[i]], fid[right[j]]
+        if one == two:  # met from both sides
+            a, b = a[a < b], b[a < b]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    own, other = F.pmod("fid", F.lit(tiles)).cast("int"), F.col("other")
+    spread = (
+        nodes.select("fid", *COLUMNS, F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("other"))
+        .select("fid", *COLUMNS, F.least(own, other).alias("one"), F.greatest(own, other).alias("two"))
+        .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
     )
+    tasks = BLOCKS * tiles * (tiles + 1) // 2
+    return spread.repartition(4 * tasks, "k", "one", "two").groupBy("k", "one", "two").applyInArrow(compare, "a long, b long")
 
 
 def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:

@@ -284,6 +284,26 @@ def test_anchors_cover_and_recall(spark):
     assert kept == {i for i in range(len(texts)) if group.get(i, i) == i}
 
 
+def test_pairs_are_found_at_every_distance(spark):
+    rng = np.random.default_rng(12)
+    nodes, want = [], set()
+    for k in range(320):
+        # Groups of two, 0 to 33 differing bits, as evenly as can be over the blocks, or anywhere.
+        bits, d = rng.integers(0, 2, 31 * simhash.BLOCKS), k % 34
+        other, order = bits.copy(), rng.permutation(31 * simhash.BLOCKS)
+        if k % 2:
+            order = np.array([31 * b + (r * 7 + k) % 31 for r in range(31) for b in range(simhash.BLOCKS)])
+        other[order[:d]] ^= 1
+        for side, x in enumerate((bits, other)):
+            nodes.append((2 * k + side, *(int(sum(int(v) << i for i, v in enumerate(x[62 * c : 62 * c + 62]))) for c in range(simhash.BLOCKS // 2))))
+        if d <= simhash.MAX_BITS:
+            want.add((2 * k, 2 * k + 1))
+    df = spark.createDataFrame(nodes, "fid long, " + ", ".join(f"{c} long" for c in simhash.COLUMNS))
+    for bounds in ({}, {"tile": 200}):
+        got = [tuple(r) for r in simhash.near_pairs(df, **bounds).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_secrets_and_what_is_left_out(spark):
     import hashlib
 
