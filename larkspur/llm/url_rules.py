@@ -21,12 +21,12 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import Scratch
+
 #: Share of the labelled pages, and number, that must have a rule's tokens and be bad.
 MIN_SUPPORT, MIN_COUNT = 0.002, 10
 #: In thousandths, of the labelled pages with a rule's tokens those that must be bad.
 MIN_CONFIDENCE = 500
-#: Tokens of a rule at most.
-MAX_TOKENS = 3
 BAD = "\0bad"
 
 
@@ -37,7 +37,7 @@ def tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(parts, lambda t: t != "")))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: int = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = MIN_COUNT, min_confidence: int = MIN_CONFIDENCE) -> DataFrame:
     """(rule, seen, bad, confidence) from (tokens, bad): rules' tokens, labelled pages with them, bad ones, thousandths."""
     n = labelled.count()
     floor = max(ceil(min_support * n), min_count)
@@ -45,23 +45,25 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int =
     if n < floor:
         return items.select(F.col("items").alias("rule"), F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("bad"), F.lit(0).cast("long").alias("confidence")).limit(0)
     model = FPGrowth(itemsCol="items", minSupport=(floor - 0.5) / n, minConfidence=1.0).fit(items)
-    # Sets with the label and without it, by size: longer ones are no rules.
-    sets = model.freqItemsets.select(F.array_sort(F.array_remove("items", BAD)).alias("rule"), F.array_contains("items", BAD).alias("is_bad"), "freq").where(
-        F.size("rule").between(1, max_tokens)
-    )
+    # Sets with the label and without it; a rule's parts are all among those that are bad often enough.
+    sets = model.freqItemsets.select(F.array_sort(F.array_remove("items", BAD)).alias("rule"), F.array_contains("items", BAD).alias("is_bad"), "freq").where(F.size("rule") > 0)
     counted = sets.groupBy("rule").agg(F.max(F.when(~F.col("is_bad"), F.col("freq"))).alias("seen"), F.max(F.when(F.col("is_bad"), F.col("freq"))).alias("bad"))
-    rules = counted.where((F.col("bad") >= floor) & (F.col("bad") * 1000 >= F.col("seen") * min_confidence)).withColumn(
-        "confidence", F.floor(F.col("bad") * 1000 / F.col("seen"))
-    )
-    # A rule is redundant if a part of it is a rule with as much confidence.
-    few, many = rules.alias("few"), rules.alias("many")
-    part = (
-        many.withColumn("token", F.explode("many.rule"))
-        .join(few.withColumn("first", F.col("few.rule")[0]), F.col("token") == F.col("first"))
-        .where((F.size("few.rule") < F.size("many.rule")) & (F.size(F.array_except("few.rule", "many.rule")) == 0) & (F.col("few.confidence") >= F.col("many.confidence")))
-        .select(F.col("many.rule").alias("rule")).distinct()
+    scratch = Scratch(labelled.sparkSession, "urls")
+    often = scratch.write(
+        counted.where(F.col("bad") >= floor)
+        .withColumn("confidence", F.floor(F.col("bad") * 1000 / F.col("seen"))).withColumn("is_rule", F.col("bad") * 1000 >= F.col("seen") * min_confidence)
     )
-    return rules.join(part, "rule", "left_anti").select("rule", "seen", "bad", "confidence")
+    # A rule is redundant if a part of it is a rule with as much confidence: the best of the parts follows, size by size, from those without one token.
+    longest = often.where("is_rule").agg(F.max(F.size("rule"))).first()[0] or 0
+    level = often.where(F.size("rule") == 1).withColumn("best", F.lit(-1).cast("long"))
+    rules = level
+    for size in range(2, longest + 1):
+        known = level.select(F.col("rule").alias("part"), F.greatest("best", F.when(F.col("is_rule"), F.col("confidence"))).alias("upto"))
+        more = often.where(F.size("rule") == size)
+        parts = more.select("rule", F.explode(F.transform("rule", lambda t: F.array_remove("rule", t))).alias("part"))
+        level = scratch.write(more.join(parts.join(known, "part").groupBy("rule").agg(F.max("upto").alias("best")), "rule"))
+        rules = rules.unionByName(level)
+    return rules.where(F.col("is_rule") & (F.col("best") < F.col("confidence"))).select("rule", "seen", "bad", "confidence")
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality", **bounds) -> DataFrame:

@@ -385,6 +385,37 @@ def test_url_rules_equal_brute_force(spark):
     assert not any(r["drop"] for r in url_rules.judge_urls(p, lab.limit(0)).collect())
 
 
+def test_url_rules_of_many_tokens(spark):
+    from itertools import combinations, product
+
+    # Bad only where five tokens meet; any four of them are good as often as bad or more.
+    pages, labels = [], []
+    for bits in product((0, 1), repeat=5):
+        for _ in range(12):
+            pages.append((len(pages), "https://" + "/".join(f"{'xy'[b]}{'abcde'[k]}" for k, b in enumerate(bits)), None, None, None))
+            labels.append((len(labels), 0 if all(bits) else 1, 0))
+    for k in range(5):  # subsets of four come to less than half
+        for _ in range(4):
+            pages.append((len(pages), "https://" + "/".join(f"{'xy'[j != k]}{'abcde'[j]}" for j in range(5)), None, None, None))
+            labels.append((len(labels), 1, 0))
+    p, lab = spark.createDataFrame(pages, PAGES), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in url_rules.judge_urls(p, lab).collect()}
+    toks = {r.page_id: r.t for r in p.select("page_id", url_rules.tokens(p.url).alias("t")).collect()}
+    seen, bad = Counter(), Counter()
+    for i, q, _ in labels:
+        for k in range(1, 6):
+            for c in combinations(toks[i], k):
+                seen[c] += 1
+                bad[c] += q == 0
+    rules = {c: bad[c] * 1000 // seen[c] for c in seen if bad[c] >= 10 and bad[c] * 1000 >= seen[c] * 500}
+    rules = {c: x for c, x in rules.items() if not any(set(e) < set(c) and y >= x for e, y in rules.items())}
+    assert [len(c) for c in rules] == [5]
+    for i, *_ in pages:
+        hit = [x for c, x in rules.items() if set(c) <= set(toks[i])]
+        assert (got[i].n_rules, got[i].confidence) == (len(hit), max(hit, default=0))
+    assert sum(r["drop"] for r in got.values()) == 12
+
+
 def test_text_buffers_of_slices():
     import pyarrow as pa
 
