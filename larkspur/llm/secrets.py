@@ -5,7 +5,7 @@ candidates. A byte-pair vocabulary compresses words and names into few tokens an
 random strings hardly at all, so a candidate with few characters per token is
 reported, unless it is a known digest (it stands after the name of a digest,
 or is among those given) or an identifier (UUIDs, numbers, names made of
-words and small numbers).
+words and small numbers; letters count as words if the vocabulary has few tokens for them).
 
 Texts without a candidate never leave the JVM. Nulls and empty texts have no
 candidates; texts are scanned whole; every occurrence in every row is reported, so
@@ -48,11 +48,14 @@ def encoding(path: str = VOCABULARY):
     return tiktoken.Encoding("scan", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def identifier(s: str) -> bool:
-    """A UUID, a number, or parts between separators that are all words or numbers, at most one in four being a single letter."""
+def identifier(s: str, path: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> bool:
+    """A UUID, a number, or parts between separators that are all words or numbers, at most one in four being a single letter.
+
+    The letters of the parts must have max_ratio characters per token or more, or they are no words.
+    """
     if _UUID.fullmatch(s) or not re.search("[A-Za-z]", s):
         return True
-    parts, singles = 0, 0
+    parts, singles, letters = 0, 0, []
     for piece in re.split("[-+/=_]+", s.strip("-+/=_")):
         found = _PART.findall(piece)
         if "".join(found) != piece:
@@ -61,7 +64,13 @@ def identifier(s: str) -> bool:
         if sum(x.isdigit() for x in found) > 1:
             return False
         parts, singles = parts + len(found), singles + sum(len(x) == 1 and x.isalpha() for x in found)
-    return singles * 4 <= parts
+        letters += [x for x in found if x.isalpha()]
+    if singles * 4 > parts:
+        return False
+    encode = encoding(path).encode_ordinary
+    # A word has its token after a space and in lower case, as a rule.
+    n = sum(min(len(encode(x)), len(encode(" " + x.lower()))) for x in letters)
+    return sum(map(len, letters)) >= max_ratio * n
 
 
 def scan(text: str, path: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> list[tuple[int, str, int]]:
@@ -76,7 +85,7 @@ def scan(text: str, path: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> lis
             start, s = start + len(name) + 1, value
         if _DIGEST.fullmatch(s) and _DIGEST_NAME.search(text, max(0, start - 24), start):
             continue
-        if identifier(s):
+        if identifier(s, path, max_ratio):
             continue
         n = len(encoding(path).encode_ordinary(s))
         if len(s) < max_ratio * n:

@@ -318,6 +318,17 @@ def test_secrets_and_what_is_left_out(spark):
     assert [r.value for r in secrets.secrets(d, known_digests=known).collect()] == [found[0]]
 
 
+def test_secrets_of_letters_only():
+    import string
+
+    rng = random.Random(13)
+    for letters, n in ((string.ascii_lowercase, 24), (string.ascii_uppercase, 24), (string.ascii_letters, 24), (string.ascii_letters, 40)):
+        keys = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(300)]
+        assert sum([v for _, v, _ in secrets.scan(f"key {k} end")] == [k] for k in keys) >= 295
+    for name in ("getElementsByClassNameAndMore", "some_snake_case_name_2024", "MAX_RETRY_COUNT_DEFAULT", "java/util/concurrent/atomic/AtomicInteger", "Rindfleischetikettierungsgesetz"):
+        assert secrets.scan(name) == []
+
+
 def test_html_content_region(spark):
     menu = "".join(f'<li><a href="/{k}">Link {k}</a></li>' for k in range(12))
     body = "".join(f"<p>{prose(random.Random(k), 60)}.</p>" for k in range(5))
