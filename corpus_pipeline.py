@@ -7,6 +7,7 @@ last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larkspur.llm import exact_dedup, mixing, packing, quality, simhash
 from larkspur.llm.common import Scratch
@@ -25,11 +26,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).drop("block", "slot")
+    mixed = mixing.mix(docs)
+    # The last two columns are those that mix adds; the files are in the order of the slots.
+    return mixed.orderBy(mixed.columns[-1], F.col("doc_id").asc_nulls_last()).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    return packing.pack(docs, in_order=True)
 
 
 STAGES = [

@@ -2,8 +2,8 @@
 
 Documents are counted in byte tokens, one for each UTF-8 byte and an end mark.
 Those longer than a sequence give full sequences and a remainder. Rows are
-dealt by a content hash to shards of about shard_tokens, a size that
-is independent of the corpus; in a shard, pieces go from long to short (ties by
+dealt by a content hash, or as they follow each other in their files (in_order), to
+shards of about shard_tokens, a size that is independent of the corpus; in a shard, pieces go from long to short (ties by
 doc_id, then content) into the open bin that they fill most tightly (of equally
 tight ones the oldest), which a segment tree over the remaining capacities
 finds in logarithmic time.
@@ -20,6 +20,7 @@ import heapq
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import row_key
@@ -78,11 +79,22 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, n
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, shard, bin, offset): where each piece of each row's tokens lies."""
-    sized = docs.select(F.col(id_col).alias("doc"), row_key(id_col, text_col).alias("rk"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("n"))
-    total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_tokens))
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TOKENS, id_col: str = "doc_id", text_col: str = "text", in_order: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, shard, bin, offset): where each piece of each row's tokens lies.
+
+    in_order: docs are read from files, whose names and rows give the order of the shards.
+    """
+    meta = docs.metadataColumn("_metadata") if in_order else None
+    place = [meta["file_path"].alias("file"), meta["row_index"].alias("at")] if in_order else []
+    sized = docs.select(*place, F.col(id_col).alias("doc"), row_key(id_col, text_col).alias("rk"), (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("n"))
+    if in_order:
+        # A row per file is numbered in one task; the rows of a file are summed in theirs.
+        files = sized.groupBy("file").agg(F.sum("n").alias("all")).withColumn("before", F.sum("all").over(W.orderBy("file")) - F.col("all"))
+        row = F.sum("n").over(W.partitionBy("file").orderBy("at")) - F.col("n")
+        dealt = sized.withColumn("row", row).join(files.drop("all"), "file").withColumn("shard", F.floor((F.col("before") + F.col("row")) / shard_tokens).cast("long")).select("doc", "rk", "n", "shard")
+    else:
+        total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        dealt = sized.withColumn("shard", F.pmod("rk", F.lit(max(1, -(-total // shard_tokens)))).cast("long"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def fill(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -104,7 +116,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_tokens: int = SHARD_TO
         return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, pa.int64()) for c in cols], names=["doc", "piece", "start", "length", "shard", "bin", "offset"])
 
     packed = (
-        sized.withColumn("shard", F.pmod("rk", F.lit(shards)).cast("long")).groupBy("shard")
+        dealt.groupBy("shard")
         .applyInArrow(fill, f"doc {kind}, piece long, start long, length long, shard long, bin long, offset long")
     )
     return packed.withColumnRenamed("doc", id_col)

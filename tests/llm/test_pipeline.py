@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from larkspur.llm import quality, simhash
+from larkspur.llm import mixing, packing, quality, simhash
 from tests.llm.test_operators import SCHEMA, prose
 
 
@@ -51,3 +51,17 @@ def test_run_equals_stages(spark, folder):
     out = corpus_pipeline.run(spark, path).collect()
     assert {r.doc_id for r in out} <= set(range(n)) and len(out) > n / 2
     assert simhash.MAX_BITS < 31 * simhash.BLOCKS
+
+
+def test_mix_reaches_the_shards(spark, tmp_path):
+    rng = random.Random(10)
+    docs = spark.createDataFrame([(i, prose(rng, 2000), "en", f"s{rng.randrange(3)}", 0, "kept") for i in range(60)], SCHEMA + ", slot string")
+    out = corpus_pipeline.source_mixing(spark, docs, "")
+    assert out.columns == docs.columns
+    out.write.parquet(f"{tmp_path}/mixed")
+    slot = {r.doc_id: r["_slot"] for r in mixing.mix(docs).collect()}
+    packed = packing.pack(spark.read.parquet(f"{tmp_path}/mixed"), shard_tokens=50_000, in_order=True).collect()
+    shard = {r.doc_id: r.shard for r in packed}
+    assert set(shard) == set(range(60)) and max(shard.values()) > 5
+    along = [shard[i] for i in sorted(shard, key=lambda i: (slot[i], i))]
+    assert along == sorted(along)
