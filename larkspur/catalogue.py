@@ -654,7 +654,7 @@ def i20_augmenter(s, d):
 
 @query()
 def i11_a8_convolution_pipeline(s, d):
-    """Patches, their whitening, random filters, convolution, rectifier, pooling."""
+    """Random filters, convolution, rectifier, pooling; no patches are sampled and no whitening is fitted, unlike A8 of the survey."""
     img = pictures(s, d)
     rng = np.random.default_rng(7)
     f = images.normalize_rows(rng.normal(size=(6, 9)))
