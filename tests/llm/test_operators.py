@@ -347,9 +347,9 @@ def test_html_content_region(spark):
     assert np.allclose(html_text.smooth(ratio), want)
 
 
-def test_wavelet_round_trip(spark):
+def test_wavelet_round_trip(spark, tmp_path):
     rng = np.random.default_rng(3)
-    for n, top in ((0, 1), (1, 1), (64, 2), (1000, 7), (5000, 50_000), (300, 100_000)):
+    for n, top in ((0, 1), (1, 1), (64, 2), (512, 3), (1024, 2), (1000, 7), (5000, 50_000), (300, 100_000)):
         ids = rng.integers(0, top, n)
         m = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids).to_bytes())
         assert m.access(np.arange(n)).tolist() == ids.tolist()
@@ -357,12 +357,40 @@ def test_wavelet_round_trip(spark):
             assert m.occurrences(t).tolist() == np.flatnonzero(ids == t).tolist()
             assert m.count(t, n // 2) == int((ids[: n // 2] == t).sum())
     texts = ["The river runs.", "", None, "Ünï çödé <|endoftext|> \n\n x"]
-    for shard in wavelet.token_shards(spark.createDataFrame(rows(enumerate(texts)), SCHEMA).coalesce(1), shard_tokens=8).collect():
+    d = spark.createDataFrame(rows(enumerate(texts)), SCHEMA).coalesce(1)
+    shards = wavelet.token_shards(d, shard_tokens=8).collect()
+    for shard in shards:
         m = wavelet.WaveletMatrix.from_bytes(shard["data"])
         ids, a = m.access(np.arange(shard.n_tokens)), 0
         for doc, b in zip(shard.doc_ids, shard.ends):
             assert secrets.encoding().decode(ids[a:b].tolist()) == (texts[doc] or "")
             a = b
+    # As files: the same bytes, and only the planes that a question needs are unpacked.
+    saved = wavelet.save_shards(d, f"file://{tmp_path}/shards", shard_tokens=8).orderBy("shard").collect()
+    assert [(r.shard, r.n_tokens, r.doc_ids, r.n_bytes) for r in saved] == [(r.shard, r.n_tokens, r.doc_ids, len(r["data"])) for r in sorted(shards, key=lambda r: r.shard)]
+    m = wavelet.WaveletMatrix.open(saved[0].path)
+    assert m.unpacked == {} and m.count(1 << m.depth) == 0 and m.unpacked == {}
+    absent = ((1 << m.depth) - 1) ^ int(m.access([0])[0])
+    m = wavelet.WaveletMatrix.open(saved[0].path)
+    assert m.count(absent) == 0 and len(m.unpacked) < m.depth
+    assert sorted(p.name for p in (tmp_path / "shards").iterdir()) == sorted(r.path.split("/")[-1] for r in saved)
+    token = secrets.encoding().encode(" river")[0]
+    found = wavelet.find_token(wavelet.token_shards(d, shard_tokens=8), token).collect()
+    assert [(r.doc_id, r.place) for r in found] == [(0, 1)]
+
+
+def test_tokens_of_long_white_space(spark):
+    enc, rng = secrets.encoding(), random.Random(14)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "don't", " ", "  ", "\n", "\n\n\n", "\t", "\u3000", "\x1c", "7", "!?", " \r\n "]) * rng.randint(1, 4) for _ in range(rng.randint(0, 12)))
+        for least in (2, 3, 5):
+            assert wavelet.token_ids(text, long_space=least).tolist() == enc.encode_ordinary(text)
+    texts = ["a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "x\t" + "\t" * 700_000, " " * 600_000 + "."]
+    for shard in wavelet.token_shards(spark.createDataFrame(rows(enumerate(texts)), SCHEMA)).collect():
+        ids, a = wavelet.WaveletMatrix.from_bytes(shard["data"]).access(np.arange(shard.n_tokens)), 0
+        for doc, b in zip(shard.doc_ids, shard.ends):
+            assert enc.decode(ids[a:b].tolist()) == texts[doc]
+            a = b
 
 
 def test_url_rules_equal_brute_force(spark):
