@@ -347,6 +347,70 @@ def test_html_content_region(spark):
     assert np.allclose(html_text.smooth(ratio), want)
 
 
+def brute_extract(parts):
+    """Content of a page given as lines of (text, tags): every step by its definition, in plain loops."""
+    from math import exp, log
+
+    ratio = [len(t) / max(k, 1) for t, k in parts]
+    smoothed = []
+    for i in range(len(ratio)):
+        near = [(j, exp(-((i - j) ** 2) / 2)) for j in range(i - 2, i + 3) if 0 <= j < len(ratio)]
+        smoothed.append(sum(w * ratio[j] for j, w in near) / sum(w for _, w in near))
+    x = [log(1 + v) for v in smoothed]
+    low, high = min(x), max(x)
+    while True:
+        small, large = [v for v in x if v < (low + high) / 2], [v for v in x if v >= (low + high) / 2]
+        if not small:
+            bound = low
+            break
+        new = (sum(small) / len(small), sum(large) / len(large))
+        if max(abs(new[0] - low), abs(new[1] - high)) < 1e-12:
+            bound = sum(new) / 2
+            break
+        low, high = new
+    kept = [v >= bound - 1e-9 for v in x]
+    return "\n".join(t for (t, _), k in zip(parts, kept) if k and t), len(parts), sum(kept)
+
+
+def test_html_equals_brute_force(spark):
+    rng, pages, want = random.Random(15), [], []
+    for _ in range(250):
+        parts, html = [], []
+        for _ in range(rng.randint(1, 30)):
+            text, links = prose(rng, rng.choice([0, 1, 3, 40, 90])), rng.randint(0, 3)
+            # A line by a block (a start and an end tag, which closes the line) or by a line feed.
+            inner = text + "".join(f"<a href='/{k}'>x</a>" for k in range(links))
+            shown = " ".join((text + "x" * links).split())
+            if rng.random() < 0.6:
+                html.append(f"<{'div'}>{inner}</div>")
+                parts.append((shown, 2 + 2 * links))
+            elif shown:
+                html.append(inner + "\n")
+                parts.append((shown, 2 * links))
+            if rng.random() < 0.1:
+                html.append("<p></p>")
+                parts.append(("", 2))
+        if not parts:
+            continue
+        pages.append("".join(html))
+        want.append(brute_extract(parts))
+    assert [html_text.extract(p) for p in pages] == want
+    d = spark.createDataFrame([(k, "u", p, None, None) for k, p in enumerate(pages)], PAGES)
+    assert [(r.text, r.n_lines, r.content_lines) for r in html_text.content_text(d).orderBy("page_id").collect()] == want
+
+
+def test_html_of_tags_left_out():
+    text = " ".join(prose(random.Random(k), 60) for k in range(3))
+    for page in (
+        f"<html><head><title>t</title><p>{text}</p></html>", f"<head><meta a=b><link c=d>\n<title>t</title>{text}", f"<title>t</title><p>{text}",
+        f"<head><style>p {{}}</style><script>if (a<b) c()</script><div>{text}</div>", f"<body><svg><path d=1><p>{text}</p>", f"<body><noscript><img src=x><p>{text}</p>",
+        f"<body><template><p>{text}</p>", f"<body><svg><title>s</title><template><noscript>{text}", f"<head>{text}", f"<p>{text}<noscript><p>js</p>",
+    ):
+        assert text in html_text.extract(page)[0], page
+    # What is closed stays hidden.
+    assert "no" not in html_text.extract(f"<head><title>no</title></head><body><svg><text>no</text></svg><template><p>no</p></template><p>{text}</p><noscript>no</noscript>")[0].replace(text, "")
+
+
 def test_wavelet_round_trip(spark, tmp_path):
     rng = np.random.default_rng(3)
     for n, top in ((0, 1), (1, 1), (64, 2), (512, 3), (1024, 2), (1000, 7), (5000, 50_000), (300, 100_000)):
