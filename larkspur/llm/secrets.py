@@ -8,7 +8,7 @@ or is among those given) or an identifier (UUIDs, numbers, names made of
 words and small numbers; letters count as words if the vocabulary has few tokens for them).
 
 Texts without a candidate never leave the JVM. Nulls and empty texts have no
-candidates; texts are scanned whole; every occurrence in every row is reported, so
+candidates; texts are scanned whole, very long ones and very long strings too; every occurrence in every row is reported, so
 repeated rows repeat. An empty table gives an empty result; other columns are ignored.
 """
 
@@ -51,7 +51,8 @@ def encoding(path: str = VOCABULARY):
 def identifier(s: str, path: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> bool:
     """A UUID, a number, or parts between separators that are all words or numbers, at most one in four being a single letter.
 
-    The letters of the parts must have max_ratio characters per token or more, or they are no words.
+    The ratio decides what a word is: a part is one if it is one token or has max_ratio characters per token
+    or more. At most a quarter of the letters may be in parts that are none, and all letters together must reach max_ratio.
     """
     if _UUID.fullmatch(s) or not re.search("[A-Za-z]", s):
         return True
@@ -69,8 +70,10 @@ def identifier(s: str, path: str = VOCABULARY, max_ratio: float = MAX_RATIO) ->
         return False
     encode = encoding(path).encode_ordinary
     # A word has its token after a space and in lower case, as a rule.
-    n = sum(min(len(encode(x)), len(encode(" " + x.lower()))) for x in letters)
-    return sum(map(len, letters)) >= max_ratio * n
+    n = [min(len(encode(x)), len(encode(" " + x.lower()))) for x in letters]
+    total = sum(map(len, letters))
+    odd = sum(len(x) for x, k in zip(letters, n) if k > 1 and len(x) < max_ratio * k)
+    return odd * 4 <= total and total >= max_ratio * sum(n)
 
 
 def scan(text: str, path: str = VOCABULARY, max_ratio: float = MAX_RATIO) -> list[tuple[int, str, int]]:
