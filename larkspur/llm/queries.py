@@ -26,7 +26,7 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents"), whole=False).select("doc_id", "source", "block", "slot")
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "block", "slot")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,33 +123,38 @@ WITH RECURSIVE flat AS (
   SELECT doc_id, source, coalesce('=' || source, 'null') AS s, coalesce(length(text), 0) AS n FROM documents
 ),
 totals AS (
-  SELECT s, sum(n) AS n, CAST(floor(sqrt(sum(n))) AS HUGEINT) AS w, count(*) OVER () AS k, CAST(sum(floor(sqrt(sum(n)))) OVER () AS HUGEINT) AS total
-  FROM flat GROUP BY s
+  SELECT s, CAST(floor(sqrt(sum(n))) AS BIGINT) AS w, CAST(greatest(1, (sum(n) + {size - 1}) // {size}) AS BIGINT) AS many FROM flat GROUP BY s
 ),
-shares AS (SELECT s, n, 1 + w * ({r} - k) // total AS q, w * ({r} - k) % total AS rest FROM totals),
-parts AS (
-  SELECT s, n, CAST(q + CASE WHEN row_number() OVER (ORDER BY rest DESC, s) <= {r} - sum(q) OVER () THEN 1 ELSE 0 END AS BIGINT) AS q FROM shares
-),
-listed AS (SELECT list(s ORDER BY s) AS names, list(q ORDER BY s) AS qs, list(0::BIGINT ORDER BY s) AS none FROM parts),
+listed AS (SELECT list(s ORDER BY s) AS names, list(w ORDER BY s) AS ws, list(many ORDER BY s) AS many, list(0::BIGINT ORDER BY s) AS zero FROM totals),
+-- One row a slot, and one where an epoch begins (pick 0): parts of the sources with blocks left, then the earliest deadline of the released blocks.
 slots AS (
-  SELECT 0 AS t, names, qs, none AS had, 0::BIGINT AS pick FROM listed
+  SELECT 0::BIGINT AS slot, 0::BIGINT AS t, names, ws, many, zero, many AS rest, zero AS qs, zero AS had, 0::BIGINT AS pick, true AS fresh FROM listed
   UNION ALL
-  SELECT t + 1, names, qs, list_transform(range(1, len(qs) + 1), lambda j: had[j] + CASE WHEN j = p THEN 1 ELSE 0 END), p
+  SELECT CASE WHEN go THEN slot + 1 ELSE slot END, CASE WHEN fresh THEN 0 WHEN go THEN t + 1 ELSE t END, names, ws, many, zero,
+    CASE WHEN go THEN list_transform(range(1, k + 1), lambda j: rest[j] - CASE WHEN j = p THEN 1 ELSE 0 END) ELSE rest END,
+    CASE WHEN fresh THEN list_transform(range(1, k + 1), lambda j: CASE WHEN rest[j] = 0 THEN 0
+      ELSE base[j] + more // act + CASE WHEN len(list_filter(range(1, k + 1), lambda i: rest[i] > 0 AND (over[i] > over[j] OR over[i] = over[j] AND i < j))) < more % act THEN 1 ELSE 0 END END) ELSE qs END,
+    CASE WHEN fresh THEN zero WHEN go THEN list_transform(range(1, k + 1), lambda j: had[j] + CASE WHEN j = p THEN 1 ELSE 0 END) ELSE had END,
+    CASE WHEN go THEN p ELSE 0 END, NOT fresh AND NOT go
   FROM (
-    SELECT *, list_min(list_transform(list_filter(range(1, len(qs) + 1), lambda j: had[j] < qs[j] AND had[j] * {r} // qs[j] <= t),
-      lambda j: ((had[j] + 1) * {r} + qs[j] - 1) // qs[j] * 1000000 + j)) % 1000000 AS p
-    FROM slots WHERE t < {r}
+    SELECT *, {r} - list_sum(base) AS more, NOT fresh AND rest[p] > 0 AS go FROM (
+      SELECT *, list_transform(range(1, k + 1), lambda j: CASE WHEN rest[j] = 0 THEN 0 ELSE 1 + ws[j] * ({r} - act) // total END) AS base,
+        list_transform(range(1, k + 1), lambda j: CASE WHEN rest[j] = 0 THEN 0 ELSE ws[j] * ({r} - act) % total END) AS over FROM (
+        SELECT *, CAST(len(names) AS BIGINT) AS k, len(list_filter(rest, lambda x: x > 0)) AS act,
+          CAST(greatest(1, list_sum(list_transform(range(1, len(names) + 1), lambda j: CASE WHEN rest[j] > 0 THEN ws[j] ELSE 0 END))) AS BIGINT) AS total,
+          list_min(list_transform(list_filter(range(1, len(names) + 1), lambda j: qs[j] > 0 AND had[j] * {r} // greatest(qs[j], 1) <= t),
+            lambda j: ((had[j] + 1) * {r} + qs[j] - 1) // qs[j] * 1000000 + j)) % 1000000 AS p
+        FROM slots WHERE list_sum(rest) > 0
+      )
+    )
   )
 ),
-picks AS (SELECT names[pick] AS s, t - 1 AS pos, had[pick] - 1 AS nth FROM slots WHERE t > 0),
-blocks AS (SELECT s, q, greatest(1, (n + {size - 1}) // {size}) AS many FROM parts),
-stop AS (SELECT min(many // q * {r} + pos) AS t FROM blocks JOIN picks USING (s) WHERE nth = many % q),
+picks AS (SELECT names[pick] AS s, slot - 1 AS slot, many[pick] - rest[pick] - 1 AS block FROM slots WHERE pick > 0),
 placed AS (
   SELECT doc_id, source, s, coalesce(sum(n) OVER (PARTITION BY s ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM flat
 ),
-cut AS (SELECT doc_id, source, s, q, least(before // {size}, many - 1) AS block FROM placed JOIN blocks USING (s))
-SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(block // q * {r} + pos AS BIGINT) AS slot
-FROM cut JOIN picks USING (s) WHERE nth = block % q AND block // q * {r} + pos < (SELECT t FROM stop)
+cut AS (SELECT doc_id, source, s, CAST(least(before // {size}, many - 1) AS BIGINT) AS block FROM placed JOIN totals USING (s))
+SELECT doc_id, source, block, slot FROM cut JOIN picks USING (s, block)
 """
 
 

@@ -199,9 +199,6 @@ def test_mix_places_every_block(spark):
         assert set(slot) == {(s, k) for s, n in blocks.items() for k in range(n)}
         assert sorted(slot.values()) == list(range(sum(blocks.values())))
         assert all(slot[s, k] < slot[s, k + 1] for s, n in blocks.items() for k in range(n - 1))
-        # The cut-off mix is the first epoch.
-        cut = mixing.epochs(blocks, weights, 20, whole=False)
-        assert cut == mixing.epochs(blocks, weights, 20)[: len(cut)]
     # One short document without a source does not end the mix of the others.
     data = [(i, "x" * 100, "en", rng.choice(["a", "b"]), 0) for i in range(500)] + [(500, "", "en", None, 0)]
     got = mixing.mix(spark.createDataFrame(data, SCHEMA), resolution=10, block_chars=100).collect()
@@ -216,6 +213,65 @@ def test_mix_of_more_sources_than_slots(spark):
     assert sorted(r.doc_id for r in mixing.mix(spark.createDataFrame(data, SCHEMA), {f"host{k}": k for k in range(1001)}, resolution=7).collect()) == list(range(2002))
 
 
+def mixed_by_hand(data, weights, resolution, block_chars):
+    """(row, block, slot) of (id, text, source) rows, by earliest deadlines worked out slot by slot."""
+    by = defaultdict(list)
+    for row in sorted(data, key=lambda r: (r[0] is None, str(r[0]) if isinstance(r[0], str) else r[0] or 0)):
+        by["null" if row[2] is None else "=" + row[2]].append(row)
+    chars = {s: sum(len(r[1] or "") for r in rs) for s, rs in by.items()}
+    left = {s: max(1, -(-n // block_chars)) for s, n in chars.items()}
+    many, slots, t = dict(left), {}, 0
+    while any(left.values()):
+        parts = mixing.quotas({s: weights[s] for s in left if left[s]}, resolution)
+        had, u = dict.fromkeys(parts, 0), 0
+        while True:
+            free = [(-(-(had[s] + 1) * resolution // q), s) for s, q in parts.items() if had[s] * resolution // q <= u]
+            s = min(free)[1]
+            if not left[s]:
+                break
+            slots[s, many[s] - left[s]] = t
+            left[s], had[s], u, t = left[s] - 1, had[s] + 1, u + 1, t + 1
+    out = []
+    for s, rs in by.items():
+        before = 0
+        for r in rs:
+            block = min(before // block_chars, many[s] - 1)
+            out.append((r[0], block, slots[s, block]))
+            before += len(r[1] or "")
+    return out
+
+
+def test_mix_of_any_ids(spark):
+    rng = random.Random(17)
+    weights = {"a": 0.7, "b": 0.2, "c": 0.1}
+    parts = mixing.quotas(mixing.whole_weights(["=a", "=b", "=c", "=d", "null"], weights), 1000)
+    assert parts == {"=a": 697, "=b": 200, "=c": 101, "=d": 1, "null": 1}
+    with pytest.raises(ValueError):
+        mixing.whole_weights(["=a"], {"a": -1})
+    for make, kind in (
+        (lambda k: f"doc-{rng.randrange(10**6)}-{k}", "string"), (lambda k: rng.randrange(-(2**63), 2**63), "long"), (lambda k: k << 33 if k % 2 else k, "long"), (lambda k: rng.random() * 10**9, "double"),
+    ):
+        data = [(make(k), "x" * rng.choice([0, 3, 50, 400]), rng.choice(["a", "a", "b", "c", "d", None])) for k in range(300)]
+        names = {"null" if r[2] is None else "=" + r[2] for r in data}
+        want = mixed_by_hand(data, mixing.whole_weights(names, weights), 60, 500)
+        d = spark.createDataFrame(data, f"doc_id {kind}, text string, source string")
+        got = mixing.mix(d, weights, resolution=60, block_chars=500).collect()
+        assert sorted((r.doc_id, r.block, r.slot) for r in got) == sorted(want)
+
+
+def test_mix_of_odd_rows(odd, none):
+    got = mixing.mix(odd, block_chars=1000)
+    assert got.columns == [*odd.columns, "_block", "_slot"]
+    rs = got.collect()
+    assert sorted(str((r.doc_id, r.text)) for r in rs) == sorted(str((r.doc_id, r.text)) for r in odd.collect())
+    # Of source a: ids 1, 2 are in the first block, the two long rows of id 4 in later ones, and rows without id come last.
+    at = {(r.doc_id, len(r.text or "")): r["_block"] for r in rs if r.source == "a"}
+    long = max(len(r.text or "") for r in rs)
+    assert at[1, 0] == at[3, long] == 0 and at[4, long] >= long // 1000 and at[None, 3] >= at[7, 0] > at[4, long] - 1
+    assert [r["_block"] for r in rs if r.source is None] == [0]
+    assert mixing.mix(none).collect() == []
+
+
 def naive_best_fit(sizes, capacity):
     room, out = [], []
     for s in sizes:
