@@ -9,19 +9,24 @@ is perfect: each block value is within the covering radius 1 of exactly one
 anchor, its home. Two fingerprints that differ in MAX_BITS = 31 bits or fewer
 differ in NEAR = 3 or fewer in some of the 8 blocks, and there the
 second lies within radius + NEAR = 4 of the home of the first. So every
-fingerprint looks at all anchors within 4 (1136 or more of them) for those at home
+fingerprint visits all anchors within 4 (1136 or more of them) and meets those at home
 there, and all pairs up to MAX_BITS are found for certain.
 
-The anchors are looked up in memory and never written: a task has the fingerprints of
-two tiles of TILE or fewer, for one block. A pair is reported in the first block in which
-it is near, hence once.
+Anchors whose numbers end in the same bits make a cell; there are as many cells as keep the homes of one
+below TILE. A fingerprint is sent to its home's cell and to the cells that it visits, at most to all of them and never to more than it
+has anchors, and the anchors themselves are looked up in memory, so the lookups grow with the fingerprints and
+not with their square. Cells that are fuller are split by salts on both sides.
+
+Of a group of near duplicates not all pairs are made: in a task, fingerprints of one home are first linked to the first of
+them (a star), and stars are compared by their centers; members are compared only where the centers are too far for a link and
+too near to rule one out. Every near pair ends up in one class, by links that are near pairs themselves.
 
 Fingerprints that are equal are one node, so copies cost nothing. There is no
-cap on the size of an anchor's bucket.
+cap on the size of an anchor's bucket or of a class.
 
 Nulls: a null or wordless text has no fingerprint, belongs to no group and
-stays. A null doc_id orders after all others. Repeated rows are copies of each
-other. Empty tables give empty results; other columns pass through.
+stays. A null doc_id orders after all others. Very long texts are read whole, their votes in parts. Repeated rows are copies of each
+other. Empty tables give empty results; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,6 +51,8 @@ MAX_BITS = 31
 NEAR = MAX_BITS // BLOCKS
 #: Fingerprints on either side of a task that compares them.
 TILE = 2_000_000
+#: Rounds of stars in a task.
+STARS = 4
 COLUMNS = [f"f{k}" for k in range(BLOCKS // 2)]
 _LOW = (1 << 31) - 1
 
@@ -126,65 +133,196 @@ def _block(prints: np.ndarray, k: int) -> np.ndarray:
     return prints[:, k // 2] >> 31 * (k % 2) & _LOW
 
 
-def close_pairs(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows i of left and j of right that differ in MAX_BITS or fewer, in NEAR or fewer in block k and in more in those before it."""
-    a, b, found = _block(left, k), _block(right, k), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    if not len(a) or not len(b):
-        return found[0]
-    homes = _data_bits(a ^ np.array([x[0] for x in OFFSETS])[_syndrome(a)])
-    # Homes in the order of their low bits, where each begins, and a sparser table that tells most anchors without homes.
-    low, wide = ((1 << min(26, len(a).bit_length() + n)) - 1 for n in (1, 5))
-    order = np.argsort(homes & low, kind="stable")
-    begin = np.searchsorted((homes & low)[order], np.arange(low + 2)).astype(np.int64)
+_HOME = np.array([x[0] for x in OFFSETS])
+#: By syndrome, the way to the home in the data bits of anchors, and from there to every anchor within NEAR + 1.
+_MOVES = [_data_bits(np.array(x) ^ x[0]) for x in OFFSETS]
+
+
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+
+
+class Classes:
+    """Which nodes are known to be linked: a forest, each root the smallest node."""
+
+    def __init__(self, of: np.ndarray):
+        self.parent = of
+
+    def roots(self, nodes: np.ndarray) -> np.ndarray:
+        up = self.parent[nodes]
+        while len(up) and (more := self.parent[up]).tolist() != up.tolist():
+            up = more
+        self.parent[nodes] = up
+        return up
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Links pairs of nodes; which of them joined two classes."""
+        x, y = self.roots(a), self.roots(b)
+        _, one = np.unique(np.minimum(x, y) * len(self.parent) + np.maximum(x, y), return_index=True)
+        one = one[x[one] != y[one]]
+        parent, used = self.parent, []
+        for k, i, j in zip(one.tolist(), x[one].tolist(), y[one].tolist()):
+            while parent[i] != i:
+                i = parent[i]
+            while parent[j] != j:
+                j = parent[j]
+            if i != j:
+                parent[max(i, j)] = min(i, j)
+                used.append(k)
+        return np.array(used, np.int64)
+
+
+def _stars(prints: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Center of every node, within MAX_BITS of it and in its bucket; and the distance to it."""
+    center, dist = np.arange(len(prints)), np.zeros(len(prints), np.int64)
+    rest = np.argsort(bucket, kind="stable")
+    for _ in range(STARS):
+        if not len(rest):
+            break
+        new = np.concatenate(([True], bucket[rest][1:] != bucket[rest][:-1]))
+        lead = rest[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        d = _far(prints[rest], prints[lead])
+        near = d <= MAX_BITS
+        center[rest[near]], dist[rest[near]] = lead[near], d[near]
+        rest = rest[~near]
+    return center, dist
+
+
+def _expand(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of n items from first: the range of each item, and the item."""
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
+
+
+def close_links(left: np.ndarray, right: np.ndarray | None, k: int, mask: int = 0, cell: int = 0, stars: tuple[bool, bool] = (True, True)) -> tuple[np.ndarray, np.ndarray]:
+    """Links (rows i, j of left, then right) that join all rows of left and right which differ in MAX_BITS or fewer, NEAR or fewer of them in block k.
+
+    right None: left against itself. Only anchors whose bits under mask are cell are looked at; homes of left are such.
+    stars: whether links within left, and within right, that are found before the two meet are told.
+    """
+    prints = left if right is None else np.concatenate((left, right))
+    n, none = len(prints), np.zeros(0, np.int64)
+    if not len(left) or n < 2:
+        return none, none
+    value = _block(prints, k)
+    kind = _syndrome(value)
+    home = _data_bits(value ^ _HOME[kind])
+    side = (np.arange(n) >= len(left)).astype(np.int64)
+    center, dist = _stars(prints, home * 2 + side)
+    reach = np.zeros(n, np.int64)
+    np.maximum.at(reach, center, dist)
+    classes = Classes(center.copy())
+    # Stars are the same wherever their members go together, so they are told in their home's cell alone, and there once.
+    own = np.flatnonzero((center != np.arange(n)) & (home & mask == cell) & np.array(stars)[side])
+    found = [(own, center[own])]
+    # Homes by the low bits of their anchor; in a bucket, runs of one anchor and center.
+    m = len(left)
+    low, wide = ((1 << min(26, m.bit_length() + x)) - 1 for x in (1, 5))
+    order = np.lexsort((center[:m], home[:m], home[:m] & low))
+    h, c = home[order], center[order]
+    lead = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]))))
+    size, h, c = np.diff(np.append(lead, m)), h[lead], c[lead]
+    begin = np.searchsorted(h & low, np.arange(low + 2)).astype(np.int64)
     taken = np.zeros(wide + 1, bool)
-    taken[homes & wide] = True
-    kinds = _syndrome(b)
-    for s in range(32):
-        rows, steps = np.flatnonzero(kinds == s), np.array(OFFSETS[s])
-        starts, moves = _data_bits(b[rows] ^ steps[0]), _data_bits(steps ^ steps[0])
+    taken[h & wide] = True
+    # Visitors of one value and center go together.
+    seen = np.arange(n) if right is None else np.arange(m, n)
+    seen = seen[np.lexsort((center[seen], value[seen]))]
+    visit = np.flatnonzero(np.concatenate(([True], (value[seen][1:] != value[seen][:-1]) | (center[seen][1:] != center[seen][:-1]))))
+    many, head = np.diff(np.append(visit, len(seen))), seen[visit]
+    turn = (home[head] ^ cell) & mask
+    for s, t in sorted(set(zip(kind[head].tolist(), turn.tolist()))):
+        rows, moves = np.flatnonzero((kind[head] == s) & (turn == t)), _MOVES[s][(_MOVES[s] & mask) == t]
+        if not len(moves):
+            continue
         for i in range(0, len(rows), 128):
-            part = starts[i : i + 128]
+            part = home[head[rows[i : i + 128]]]
             hit = np.flatnonzero(taken[((part & wide).astype(np.int32)[:, None] ^ (moves & wide).astype(np.int32)).ravel()])
             at = part[hit // len(moves)] ^ moves[hit % len(moves)]
-            first = begin[at & low]
-            n = begin[(at & low) + 1] - first
-            # A long bucket is gone through in parts.
-            for x, y in slices(np.concatenate(([0], np.cumsum(n))), 1 << 20, len(n)):
-                m = n[x:y]
-                near = order[np.repeat(first[x:y] - np.cumsum(m) + m, m) + np.arange(m.sum())]
-                j = np.repeat(rows[i + hit[x:y] // len(moves)], m)
-                keep = (homes[near] == np.repeat(at[x:y], m)) & (np.bitwise_count(a[near] ^ b[j]) <= NEAR)
-                near, j = near[keep], j[keep]
-                keep = np.bitwise_count(left[near] ^ right[j]).sum(1, dtype=np.int64) <= MAX_BITS
-                for e in range(k):
-                    keep &= np.bitwise_count(_block(left[near], e) ^ _block(right[j], e)) > NEAR
-                found.append((near[keep], j[keep]))
+            row, run = _expand(begin[at & low], begin[(at & low) + 1] - begin[at & low])
+            good = h[run] == at[row]
+            row, run = rows[i + hit[row[good]] // len(moves)], run[good]
+            a, b = center[head[row]], c[run]
+            good = a < b if right is None else a != b
+            a, b, row, run = a[good], b[good], row[good], run[good]
+            d = _far(prints[a], prints[b])
+            near = d <= MAX_BITS
+            used = classes.link(a[near], b[near])
+            found.append((a[near][used], b[near][used]))
+            # Centers that are farther: members may be near as long as the triangle allows it.
+            open_ = ~near & (d <= MAX_BITS + reach[a] + reach[b])
+            row, run = row[open_], run[open_]
+            for x, y in slices(np.concatenate(([0], np.cumsum(many[row] * size[run]))), 1 << 20, 1 << 20):
+                r, q = row[x:y], run[x:y]
+                apart = classes.roots(center[head[r]]) != classes.roots(c[q])
+                r, q = r[apart], q[apart]
+                of, member = _expand(visit[r], many[r])
+                # A run that is long is gone through in parts too.
+                for u, v in slices(np.concatenate(([0], np.cumsum(size[q][of]))), 1 << 20, 1 << 20):
+                    pair, other = _expand(lead[q[of[u:v]]], size[q[of[u:v]]])
+                    one, two = seen[member[u:v]][pair], order[other]
+                    near = _far(prints[one], prints[two]) <= MAX_BITS
+                    used = classes.link(one[near], two[near])
+                    found.append((one[near][used], two[near][used]))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def near_pairs(nodes: DataFrame, tile: int = TILE) -> DataFrame:
-    """(a, b), a < b, of all nodes (fid, f0...) that differ in MAX_BITS bits at most, each pair once."""
-    tiles = max(1, -(-nodes.count() // tile))
+def _spread(mask: int):
+    """Rows (k, cell, visits, fid, f0...) of every fingerprint: at home in one cell of each block, and visiting all in reach."""
+    reach = [np.unique(m & mask) for m in _MOVES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.stack([batch.column(c).to_numpy() for c in COLUMNS], axis=1)
+            for k in range(BLOCKS):
+                value = _block(prints, k)
+                kind = _syndrome(value)
+                home = _data_bits(value ^ _HOME[kind]) & mask
+                rows, cells = [np.arange(len(home))], [home]
+                for s in range(32):
+                    of = np.flatnonzero(kind == s)
+                    rows.append(np.repeat(of, len(reach[s])))
+                    cells.append((home[of][:, None] ^ reach[s]).ravel())
+                at, cell = np.concatenate(rows), np.concatenate(cells)
+                own = batch.take(pa.array(at))
+                visits = np.arange(len(at)) >= len(home)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k, np.int32)), pa.array(cell), pa.array(visits), *own.columns], names=["k", "cell", "visits", "fid", *COLUMNS])
+
+    return run
+
+
+def near_links(nodes: DataFrame, tile: int = TILE) -> DataFrame:
+    """(a, b), a < b, of nodes (fid, f0...) that differ in MAX_BITS bits at most: links that join every such pair, a link once for each task in which its ends meet at most."""
+    n = nodes.count()
+    bits = min(20, max(0, -(-n // tile) - 1).bit_length())
+    mask = (1 << bits) - 1
+    slim = nodes.select("fid", *COLUMNS)
 
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        k, one, two = (x.as_py() for x in key)
+        k, cell = key[0].as_py(), key[1].as_py()
         fid = rows.column("fid").to_numpy()
         prints = np.stack([rows.column(c).to_numpy() for c in COLUMNS], axis=1)
-        left, right = (np.flatnonzero(fid % tiles == g) for g in (one, two))
-        i, j = close_pairs(prints[left], prints[right], k)
-        a, b = fid[left[i]], fid[right[j]]
-        if one == two:  # met from both sides
-            a, b = a[a < b], b[a < b]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    own, other = F.pmod("fid", F.lit(tiles)).cast("int"), F.col("other")
-    spread = (
-        nodes.select("fid", *COLUMNS, F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("other"))
-        .select("fid", *COLUMNS, F.least(own, other).alias("one"), F.greatest(own, other).alias("two"))
-        .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    )
-    tasks = BLOCKS * tiles * (tiles + 1) // 2
-    return spread.repartition(4 * tasks, "k", "one", "two").groupBy("k", "one", "two").applyInArrow(compare, "a long, b long")
+        if bits:
+            visits = rows.column("visits").to_numpy()
+            order = np.argsort(visits, kind="stable")
+            fid, prints, m = fid[order], prints[order], int((~visits).sum())
+            i, j = close_links(prints[:m], prints[m:], k, mask, cell, (key[3].as_py() == 0, key[2].as_py() == 0))
+        else:
+            i, j = close_links(prints, None, k)
+        a, b = np.minimum(fid[i], fid[j]), np.maximum(fid[i], fid[j])
+        return pa.table({"a": a[a != b], "b": b[a != b]})
+
+    if not bits:
+        spread = slim.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn("cell", F.lit(0).cast("long"))
+        return spread.repartition(4 * BLOCKS, "k").groupBy("k", "cell").applyInArrow(compare, "a long, b long")
+    spread = slim.mapInArrow(_spread(mask), "k int, cell long, visits boolean, fid long, " + ", ".join(f"{c} long" for c in COLUMNS))
+    # A row for each block and cell.
+    full = spread.groupBy("k", "cell").agg(F.ceil(F.sum((~F.col("visits")).cast("long")) / tile).cast("int").alias("homes"), F.ceil(F.sum(F.col("visits").cast("long")) / tile).cast("int").alias("guests")).where("homes > 0 and guests > 0")
+    split = spread.join(full, ["k", "cell"])
+    to = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    own = lambda c: F.array(F.pmod("fid", F.col(c)).cast("int"))
+    split = split.withColumn("i", F.explode(F.when(F.col("visits"), to("homes")).otherwise(own("homes")))).withColumn("j", F.explode(F.when(F.col("visits"), own("guests")).otherwise(to("guests"))))
+    return split.drop("homes", "guests").repartition(8 * BLOCKS << bits, "k", "cell", "i", "j").groupBy("k", "cell", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -209,25 +347,33 @@ def components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, rk, root) of every row in a group of two rows or more."""
+    """(doc, rk, node, root) of every row in a group of two rows or more."""
     scratch = Scratch(docs.sparkSession, "simhash")
     prints = scratch.write(with_fingerprints(docs, id_col, text_col).withColumn("fid", F.xxhash64(*COLUMNS)))
     nodes = scratch.write(prints.groupBy("fid").agg(*[F.min(c).alias(c) for c in COLUMNS], F.count("*").alias("n")))
-    labels = components(near_pairs(nodes.drop("n")), scratch)
+    labels = components(near_links(nodes.drop("n")), scratch)
     several = nodes.where("n > 1").select(F.col("fid").alias("node"))
     roots = labels.join(several, "node", "full").select("node", F.coalesce("root", "node").alias("root"))
-    return prints.select("doc", "rk", F.col("fid").alias("node")).join(roots, "node").select("doc", "rk", "root")
+    return prints.select("doc", "rk", F.col("fid").alias("node")).join(roots, "node").select("doc", "rk", "node", "root")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keep_id, members) of every row in a group of near duplicates; keep_id is the smallest doc_id of the group."""
+    """(doc_id, keep_id, members, links) of every row in a group of near duplicates.
+
+    keep_id is the smallest doc_id of the group, members its rows, links the near pairs of different fingerprints that hold it together.
+    """
     members = _members(docs, id_col, text_col)
-    groups = members.groupBy("root").agg(F.min("doc").alias("keep_id"), F.count("*").alias("members"))
-    return members.join(groups, "root").select(F.col("doc").alias(id_col), "keep_id", "members")
+    # First by node, since a third of all rows may be copies of one text.
+    nodes = members.groupBy("root", "node").agg(F.min("doc").alias("least"), F.count("*").alias("n"))
+    groups = nodes.groupBy("root").agg(F.min("least").alias("keep_id"), F.sum("n").alias("members"), (F.count("*") - 1).alias("links"))
+    return members.join(groups, "root").select(F.col("doc").alias(id_col), "keep_id", "members", "links")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group: that of the smallest doc_id, of rows that share it the one of the smallest content key."""
+    """docs with one row of each group: that of the smallest doc_id, of rows that share it the one of the smallest content key.
+
+    Rows of the same doc_id and text have one content key; of those the one that is smallest by its other columns stays.
+    """
     scratch = Scratch(docs.sparkSession, "neardrop")
     members = scratch.write(_members(docs, id_col, text_col))
     kept = members.groupBy("root").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "rk")).getField("rk").alias("rk"))
@@ -235,7 +381,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lost = members.select("rk").distinct().join(kept.select("rk").distinct(), "rk", "left_anti")
     repeated = members.groupBy("rk").count().where("count > 1").join(kept, "rk", "left_semi").select("rk")
     gone = scratch.write(lost.select("rk", F.lit(True).alias("lost")).union(repeated.select("rk", F.lit(False))))
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(id_col, text_col).alias("rk"))
-    rest = keyed.join(gone, "rk", "left_anti").select("doc.*")
-    one = keyed.join(gone.where("not lost"), "rk", "left_semi").groupBy("rk").agg(F.first("doc").alias("doc")).select("doc.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), row_key(id_col, text_col).alias("rk"))
+    rest = rows.join(gone, "rk", "left_anti").select("doc.*")
+    # As text, since not every type has an order; a partial minimum first, so that a hot key is no hot task.
+    one = rows.join(gone.where("not lost"), "rk", "left_semi").groupBy("rk").agg(F.min_by("doc", F.to_json("doc")).alias("doc")).select("doc.*")
     return rest.union(one)

@@ -355,9 +355,47 @@ def test_pairs_are_found_at_every_distance(spark):
         if d <= simhash.MAX_BITS:
             want.add((2 * k, 2 * k + 1))
     df = spark.createDataFrame(nodes, "fid long, " + ", ".join(f"{c} long" for c in simhash.COLUMNS))
-    for bounds in ({}, {"tile": 200}):
-        got = [tuple(r) for r in simhash.near_pairs(df, **bounds).collect()]
-        assert set(got) == want and len(got) == len(want)
+    for bounds in ({}, {"tile": 250}):
+        got = [tuple(r) for r in simhash.near_links(df, **bounds).collect()]
+        assert set(got) == want
+        assert len(got) <= (1 if not bounds else 4) * simhash.BLOCKS * len(want)
+
+
+def test_classes_of_large_groups_equal_brute_force(spark):
+    rng, width = np.random.default_rng(18), 31 * simhash.BLOCKS
+    bits = []
+    for size, step in ((300, 6), (200, 14), (120, 1), (1, 0), (60, 40)):
+        # Copies of one text, steps from it or, in the last groups, from the one before: chains without a center.
+        base = rng.integers(0, 2, width)
+        for k in range(size):
+            x = base.copy()
+            x[rng.permutation(width)[: rng.integers(0, step + 1)]] ^= 1
+            bits.append(x)
+            if step in (1, 14):
+                base = x
+    bits = np.unique(np.array(bits), axis=0)
+    cols = [np.array([sum(int(v) << i for i, v in enumerate(x[62 * c : 62 * c + 62])) for x in bits]) for c in range(simhash.BLOCKS // 2)]
+    far = (bits[:, None] != bits[None]).sum(2)
+    label = np.arange(len(bits))
+    while True:
+        new = np.where(far <= simhash.MAX_BITS, label[None], len(bits)).min(1)
+        if (new == label).all():
+            break
+        label = new
+    df = spark.createDataFrame([(i, *(int(c[i]) for c in cols)) for i in range(len(bits))], "fid long, " + ", ".join(f"{c} long" for c in simhash.COLUMNS))
+    for tile in (10**6, 200):
+        got = {tuple(r) for r in simhash.near_links(df, tile).collect()}
+        assert all(far[a, b] <= simhash.MAX_BITS for a, b in got)
+        mine = np.arange(len(bits))
+        while True:
+            new = mine.copy()
+            for a, b in got:
+                new[a] = new[b] = min(new[a], new[b])
+            if (new == mine).all():
+                break
+            mine = new
+        assert mine.tolist() == label.tolist()
+    assert len({tuple(r) for r in simhash.near_links(df).collect()}) < simhash.BLOCKS * len(bits) < (far <= simhash.MAX_BITS).sum() // 2
 
 
 def test_secrets_and_what_is_left_out(spark):
