@@ -7,13 +7,20 @@ iterative or random and are tested by their invariants.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import murmur, text, vectors
-from larkspur.operators import batches, decompose, evaluate, images, learn, ngrams, sparse
+from larkspur.operators import batches, decompose, evaluate, images, learn, ngrams, numbering, sparse
+from larkspur.operators.lineage import cut, scratch_path
+from larkspur import apps
+from larkspur.plans import nodes
+from larkspur.plans import pipeline as P
+from larkspur.plans.nodes import padded_fft
+from larkspur.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -95,8 +102,9 @@ def n1_n2_n3_tokens(s, d):
   SELECT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS ngram FROM tok, (SELECT unnest([1, 2]) AS n))
 SELECT doc_id, CAST(n AS INT) AS n, ngram, count(*) AS cnt FROM g GROUP BY doc_id, n, ngram""")
 def n4_ngrams(s, d):
-    g = docs(s, d).select("doc_id", F.explode_outer(text.ngrams(F.col("w"), 1, 2)).alias("g")).where("g IS NOT NULL")
-    return g.groupBy("doc_id", F.size("g").alias("n"), F.array_join("g", " ").alias("ngram")).agg(F.count("*").alias("cnt"))
+    w = nodes.computed(docs(s, d).select("doc_id", "w"), "w", F.col("w"))  # tokenized once
+    g = w.select("doc_id", F.posexplode(text.ngram_strings(F.col("w"), 1, 2)).alias("k", "g")).select("doc_id", (F.col("k") + 1).alias("n"), F.explode("g").alias("ngram"))
+    return g.groupBy("doc_id", "n", "ngram").agg(F.count("*").alias("cnt"))
 
 
 @query(f"""WITH {_DOCS}, g AS (
@@ -126,10 +134,11 @@ def n10_word_frequency_encode(s, d):
 
 
 _LM = f"""{_TALK}, uni AS (SELECT term, count(*) AS c FROM (SELECT unnest(w) AS term FROM tok) GROUP BY term),
-grams AS (SELECT g, count(*) AS c FROM (
-  SELECT unnest(list_transform(range(1, len(w) - n + 2), lambda i: w[i:i + n - 1])) AS g FROM tok, (SELECT unnest([2, 3]) AS n)) GROUP BY g),
-ctx AS (SELECT g, c FROM grams UNION ALL SELECT [term], c FROM uni),
-scores AS (SELECT grams.g AS g, grams.c / CAST(ctx.c AS DOUBLE) AS score FROM grams LEFT JOIN ctx ON ctx.g = grams.g[1:len(grams.g) - 1])"""
+spots AS (SELECT w, unnest(range(1, len(w) + 1)) AS i FROM tok),
+many AS (SELECT n, CASE n WHEN 1 THEN w[i] WHEN 2 THEN w[i] || ' ' || w[i + 1] ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS g,
+  CASE n WHEN 2 THEN w[i] WHEN 3 THEN w[i] || ' ' || w[i + 1] END AS ctx FROM spots, (SELECT unnest([1, 2, 3]) AS n) WHERE i + n - 1 <= len(w)),
+grams AS (SELECT n, g, ctx, count(*) AS c FROM many GROUP BY n, g, ctx),
+scores AS (SELECT a.n, a.g, a.c / CAST(b.c AS DOUBLE) AS score FROM grams a JOIN grams b ON b.n = a.n - 1 AND b.g = a.ctx WHERE a.n > 1)"""
 
 
 def _model(s, d):
@@ -138,16 +147,16 @@ def _model(s, d):
     return ngrams.backoff_scores(ngrams.counts(w, text.ngrams(F.col("w"), 2, 3)), uni), uni
 
 
-@query(f"WITH {_LM} SELECT array_to_string(g, ' ') AS ngram, round(score, 9) AS score FROM scores")
+@query(f"WITH {_LM} SELECT g AS ngram, round(score, 9) AS score FROM scores")
 def n15_stupid_backoff_scores(s, d):
     return _model(s, d)[0].select(F.array_join("ngram", " ").alias("ngram"), F.round("score", 9).alias("score"))
 
 
 @query(f"""WITH {_LM}, {_tok("benchmark", "item_id").replace("tok AS", "b AS", 1)},
-q AS (SELECT DISTINCT g FROM (SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: w[i:i + 2])) AS g FROM b)),
-known AS (SELECT g, score FROM scores UNION ALL SELECT [term], c / CAST((SELECT sum(c) FROM uni) AS DOUBLE) FROM uni)
-SELECT array_to_string(q.g, ' ') AS ngram, round(coalesce(k3.score, k2.score * 0.4, k1.score * 0.4 * 0.4, 0), 9) AS score
-FROM q LEFT JOIN known k3 ON k3.g = q.g LEFT JOIN known k2 ON k2.g = q.g[2:3] LEFT JOIN known k1 ON k1.g = q.g[3:3]""")
+q AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g3, w[i + 1] || ' ' || w[i + 2] AS g2, w[i + 2] AS g1 FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM b)),
+known AS (SELECT n, g, score FROM scores UNION ALL SELECT 1, term, c / CAST((SELECT sum(c) FROM uni) AS DOUBLE) FROM uni)
+SELECT q.g3 AS ngram, round(coalesce(k3.score, k2.score * 0.4, k1.score * 0.4 * 0.4, 0), 9) AS score
+FROM q LEFT JOIN known k3 ON k3.n = 3 AND k3.g = q.g3 LEFT JOIN known k2 ON k2.n = 2 AND k2.g = q.g2 LEFT JOIN known k1 ON k1.n = 1 AND k1.g = q.g1""")
 def n16_stupid_backoff_query(s, d):
     scores, uni = _model(s, d)
     asked = table(s, d, "benchmark").select(F.explode(text.ngrams(words(), 3, 3)).alias("ngram"))
@@ -181,12 +190,51 @@ def n8_hashing_tf(s, d):
     return docs(s, d).select("doc_id", F.explode_outer("w").alias("term")).where("term IS NOT NULL").groupBy("doc_id", text.hash_bucket(F.col("term"), 4096).alias("bucket")).agg(F.count("*").alias("cnt"))
 
 
-@query()
+_M = 4294967295
+
+
+def _rot(x: str, r: int) -> str:
+    return f"((({x}) << {r}) & {_M} | (({x}) >> {32 - r}))"
+
+
+def _step(h: str, k: str) -> str:
+    """A round of 32-bit murmur in unsigned whole numbers."""
+    return f"({_rot(f'xor({h}, {k})', 13)} * 5 + 3864292196) & {_M}"
+
+
+_N9 = f"""WITH {_DOCS}, e AS ({_EACH}), h AS (SELECT term, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(1, length(term) + 1),
+  lambda i: CAST(unicode(substr(term, i, 1)) AS BIGINT))), lambda a, b: (a * 31 + b) & {_M}) AS h FROM (SELECT DISTINCT term FROM e)),
+k AS (SELECT term, CAST(({_rot(f"(x * 3432918353) & {_M}", 15)} * 461845907) & {_M} AS UBIGINT) AS k FROM (SELECT term, CAST(CASE WHEN term = '' THEN 0 ELSE h END AS UBIGINT) AS x FROM h)),
+t AS (SELECT doc_id, k AS ka, lead(k) OVER w AS kb, lead(k, 2) OVER w AS kc FROM e JOIN k USING (term) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+h1 AS (SELECT *, CAST({_step("83007::UBIGINT", "ka")} AS UBIGINT) AS h1 FROM t), h2 AS (SELECT *, CAST({_step("h1", "kb")} AS UBIGINT) AS h2 FROM h1),
+h3 AS (SELECT *, CAST({_step("h2", "kc")} AS UBIGINT) AS h3 FROM h2),
+o AS (SELECT doc_id, xor(h1, 1::UBIGINT) AS f FROM h3 UNION ALL SELECT doc_id, xor(h2, 2::UBIGINT) FROM h3 WHERE h2 IS NOT NULL UNION ALL SELECT doc_id, xor(h3, 3::UBIGINT) FROM h3 WHERE h3 IS NOT NULL),
+a AS (SELECT doc_id, (xor(f, f >> 16) * 2246822507) & {_M} AS f FROM o), b AS (SELECT doc_id, (xor(f, f >> 13) * 3266489909) & {_M} AS f FROM a)
+SELECT doc_id, CAST(xor(f, f >> 16) & 65535 AS INT) AS bucket, count(*) AS cnt FROM b GROUP BY ALL"""
+
+
+@query(_N9)
 def n9_ngrams_hashing_tf(s, d):
     hashed = docs(s, d).select("doc_id", F.transform("w", text.java_hash).alias("h"))
     return sparse.hashing_counts(hashed, "doc_id", murmur.ngram_buckets(F.col("h"), 1, 3, 1 << 16)).withColumnRenamed("count", "cnt")
 
 
+@query(f"""WITH {_TALK}, spots AS (SELECT w, unnest(range(1, len(w))) AS i FROM tok) SELECT w[i] || ' ' || w[i + 1] AS ngram, count(*) AS cnt FROM spots GROUP BY ALL""")
+def n5_n14_counts_by_partition(s, d):
+    """Counts of each partition alone, laid together by their first two words and added."""
+    c = ngrams.counts(talk(s, d), text.ngrams(F.col("w"), 2, 2), add=False)
+    c = numbering.partition_by(c, ngrams.initial_bigram_partition(F.col("ngram"), 8), 8)
+    return c.groupBy(F.array_join("ngram", " ").alias("ngram")).agg(F.sum("count").alias("cnt"))
+
+
+@query(f"""WITH {_TALK}, spots AS (SELECT DISTINCT w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM tok))
+SELECT a || ' ' || b || ' ' || c AS ngram, c AS last, a || ' ' || b AS context, b || ' ' || c AS backoff FROM spots""")
+def n13_ngram_indexer(s, d):
+    g = talk(s, d).select(F.explode_outer(text.ngrams(F.col("w"), 3, 3)).alias("g")).where("g IS NOT NULL").distinct()
+    g = F.col("g"), g
+    return g[1].select(F.array_join(g[0], " ").alias("ngram"), ngrams.word_at(g[0], 2).alias("last"), F.array_join(ngrams.context(g[0]), " ").alias("context"), F.array_join(ngrams.backoff(g[0]), " ").alias("backoff"))
+
+
 # ---- sparse features
 
 _SEEN = f"e AS ({_EACH}), seen AS (SELECT term, count(*) AS c, min(doc_id * 1000000 + pos) AS first FROM e GROUP BY term)"
@@ -207,9 +255,9 @@ def f2_common_sparse_features(s, d):
 
 @query(f"{_COMMON} SELECT doc_id, idx, CAST(count(*) AS DOUBLE) AS val FROM e JOIN sp USING (term) WHERE idx < 1000 GROUP BY doc_id, idx")
 def f3_sparse_vectorize(s, d):
-    w = docs(s, d)
-    space = sparse.common_features(w, "doc_id", F.col("w"), 1000)
-    return sparse.term_frequency(w, "doc_id", F.col("w")).join(space, "term").select("doc_id", "idx", F.col("weight").alias("val"))
+    found = sparse.occurrences(docs(s, d), "doc_id", F.col("w"))
+    space = sparse.common_among(found, "doc_id", 1000)
+    return sparse.in_space(found, space, 1000).select("doc_id", "idx", F.col("n").cast("double").alias("val"))
 
 
 @query(f"{_FLAT} SELECT vec_id, CAST(i AS INT) AS i, round(x, 6) AS x FROM f WHERE x <> 0 AND i % 2 = 0")
@@ -256,12 +304,6 @@ def v6_random_sign(s, d):
     return flat(vecs(s, d), vectors.multiply(F.col("v"), signs))
 
 
-def padded_fft(m: np.ndarray) -> np.ndarray:
-    """Real part of the first half of the transform, padded to a power of two."""
-    size = 1 << max(m.shape[1] - 1, 0).bit_length()
-    return np.fft.fft(m, size, axis=1)[:, : max(size // 2, 1)].real
-
-
 @query(f"{_FLAT} SELECT vec_id, CAST(k AS INT) AS i, round(sum(x * cos(2 * pi() * i * k / 64)), 4) + 0 AS x FROM f, (SELECT unnest(range(0, 32)) AS k) GROUP BY vec_id, k")
 def v5_padded_fft(s, d):
     return flat(vecs(s, d), batches.map_vectors(padded_fft, F.col("v")), digits=4)
@@ -304,14 +346,14 @@ def v22_row_statistics(s, d):
     return flat(vecs(s, d), vectors.row_statistics_normalize(F.col("v")))
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 1000")
 def v18_sampler(s, d):
-    """The size rows of smallest hash: a sample that doesn't depend on partitions."""
-    return table(s, d, "orders").select("o_orderkey").orderBy(F.xxhash64("o_orderkey", F.lit(42)), "o_orderkey").limit(1000)
+    """The size rows of smallest digest: a sample that doesn't depend on partitions."""
+    return table(s, d, "orders").select("o_orderkey").orderBy(F.md5(F.concat(F.lit("42:"), F.col("o_orderkey").cast("string"))), "o_orderkey").limit(1000)
 
 
 @query("SELECT doc_id, quality, toxic FROM documents JOIN labels USING (doc_id)")
-def s5_p6_label_join(s, d):
+def p6_label_join(s, d):
     return table(s, d, "documents").select("doc_id").join(table(s, d, "labels"), "doc_id")
 
 
@@ -332,7 +374,7 @@ def r1_standard_scaler(s, d):
 
 
 @query(f"""{_FLAT} SELECT CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(covar_samp(a.x, b.x), 8) + 0 AS cov FROM f a JOIN f b USING (vec_id) GROUP BY a.i, b.i""")
-def r6_pca_covariance(s, d):
+def r6_covariance(s, d):
     cov, _ = decompose.covariance(vecs(s, d), F.col("v"), 64)
     return wide(s, np.round(cov, 8) + 0.0, "i", "j", "cov")
 
@@ -389,6 +431,50 @@ def l4_least_squares_line(s, d):
     return s.createDataFrame([(round(slope, 4), round(float(m.intercept[0]) - slope * mean, 3))], "slope double, intercept double")
 
 
+def _det(m: list[list[str]]) -> str:
+    """Determinant as an SQL expression."""
+    terms = []
+    for p in permutations(range(len(m))):
+        sign = "-" if sum(p[i] > p[j] for i in range(len(p)) for j in range(i + 1, len(p))) % 2 else "+"
+        terms.append(f"{sign} " + " * ".join(m[i][p[i]] for i in range(len(p))))
+    return "(" + " ".join(terms) + ")"
+
+
+_XS = ["l_quantity / 50", "l_discount * 10", "l_tax * 10", "(l_quantity - 25) * (l_discount * 10 - 0.5) / 5"]
+_YS = ["l_extendedprice / 10000", "CAST(l_linenumber AS DOUBLE)"]
+_XX = [[f"xx{min(i, j)}{max(i, j)}" for j in range(4)] for i in range(4)]
+_CRAMER = ", ".join(f"{_det([[f'xy{i}{k}' if j == c else _XX[i][j] for j in range(4)] for i in range(4)])} / det AS w{c}{k}" for c in range(4) for k in range(2))
+_SUMS = ", ".join([f"covar_samp({_XS[i]}, {_XS[j]}) AS xx{i}{j}" for i in range(4) for j in range(i, 4)] + [f"covar_samp({_XS[i]}, {_YS[k]}) AS xy{i}{k}" for i in range(4) for k in range(2)])
+_MEANS = ", ".join([f"avg({x}) AS mx{i}" for i, x in enumerate(_XS)] + [f"avg({y}) AS my{k}" for k, y in enumerate(_YS)])
+_ROWS = " UNION ALL ".join([f"SELECT {c} AS feature, {k} AS target, round(w{c}{k}, 4) AS weight FROM w" for c in range(4) for k in range(2)] + [f"SELECT 4, {k}, round(my{k} - ({' + '.join(f'w{c}{k} * mx{c}' for c in range(4))}), 4) FROM w" for k in range(2)])
+
+
+def _by_solver(s, d, solve):
+    t = table(s, d, "lineitem").select(F.array(*[F.expr(x).cast("double") for x in _XS]).alias("x"), F.array(*[F.expr(y).cast("double") for y in _YS]).alias("y"))
+    m = solve(t, F.col("x"), F.col("y"))
+    rows = np.vstack([m.weights, m.intercept - m.scaler.mean @ m.weights])
+    return s.createDataFrame([(i, k, float(round(rows[i, k], 4))) for i in range(5) for k in range(2)], "feature int, target int, weight double")
+
+
+_L4 = f"WITH s AS (SELECT {_SUMS}, {_MEANS} FROM lineitem), d AS (SELECT *, {_det(_XX)} AS det FROM s), w AS (SELECT *, {_CRAMER} FROM d) {_ROWS}"
+
+
+@query(_L4)
+def l4_normal_equations(s, d):
+    return _by_solver(s, d, lambda t, x, y: learn.least_squares(t, x, y, 4, 2))
+
+
+@query(_L4)
+def l6_block_coordinate_descent(s, d):
+    """Blocks of two features; the product of all of them is never made."""
+    return _by_solver(s, d, lambda t, x, y: learn.block_least_squares(t, x, y, 4, 2, 2, 25, gram_bytes=0))
+
+
+@query(_L4)
+def l10_l12_dense_lbfgs(s, d):
+    return _by_solver(s, d, lambda t, x, y: learn.lbfgs_least_squares(t, x, y, 4, 2, rounds=60, tolerance=1e-15))
+
+
 # ---- learners without SQL: training error and invariants
 
 
@@ -430,12 +516,10 @@ def l11_sparse_lbfgs(s, d):
 
 @query()
 def l19_l20_kernel_ridge(s, d):
-    """Trained on Nystroem-like landmarks, the class means; applied to every row."""
+    """Trained on all rows, a block of them at a time; applied to every row."""
     v = vecs(s, d)
-    sums = batches.sum_batches(v, [F.col("v"), F.col("label")], lambda x, c: np.stack([np.append(x[c == k].sum(0), (c == k).sum()) for k in range(10)]), (10, 65))
-    means = sums[:, :64] / np.maximum(sums[:, 64:], 1)
-    m = learn.kernel_ridge(means, 2 * np.eye(10) - 1, 0.5, 1e-3, 4, 20)
-    return v.select("vec_id", vectors.argmax(m.apply(F.col("v"))).alias("class"))
+    m = learn.kernel_ridge(v, F.col("v"), _targets(F.col("label")), 64, 10, 0.5, 1e-2, 512, 1)
+    return m.scores(v, F.col("v")).select("vec_id", vectors.argmax(F.col("scores")).alias("class"))
 
 
 @query()
@@ -450,17 +534,87 @@ def r12_lda_project(s, d):
     return flat(v, decompose.discriminants(v, F.col("v"), F.col("label"), 64, 10, 4).apply(F.col("v")), digits=5)
 
 
+_NEAR = f"""{_FLAT}, c AS (SELECT k, i, sin(k * 7 + i * 0.3::DOUBLE) AS c FROM (SELECT unnest(range(0, 8)) AS k), (SELECT unnest(range(0, 64)) AS i)),
+dist AS (SELECT vec_id, k, sum(pow(x - c, 2)) AS far FROM f JOIN c USING (i) GROUP BY vec_id, k), own AS (SELECT vec_id, arg_min(k, (far, k)) AS k FROM dist GROUP BY vec_id)"""
+
+
+@query(f"""{_NEAR}, m AS (SELECT k, i, avg(x) AS m FROM f JOIN own USING (vec_id) GROUP BY k, i)
+SELECT CAST(k AS INT) AS cluster, CAST(i AS INT) AS i, round(coalesce(m, c), 6) + 0 AS x FROM c LEFT JOIN m USING (k, i)""")
+def c1_lloyd_round(s, d):
+    v = vecs(s, d)
+    return wide(s, np.round(decompose.kmeans(v, F.col("v"), 64, _centers(8), 1), 6) + 0.0, "cluster", "i", "x")
+
+
 @query()
 def c1_kmeans_fit(s, d):
+    """k-means++ seeds and Lloyd's rounds, all over the rows."""
     v = vecs(s, d)
-    return wide(s, np.round(decompose.kmeans(v, F.col("v"), 64, _centers(8), 10), 6), "cluster", "i", "x")
+    return wide(s, np.round(decompose.kmeans(v, F.col("v"), 64, decompose.kmeans_seeds(v, F.col("v"), 64, 8), 10), 6), "cluster", "i", "x")
+
+
+_EM = f"""{_FLAT}, c AS (SELECT k, i, 0.1 * sin(k * 7 + i * 0.3::DOUBLE) AS c FROM (SELECT unnest(range(0, 4)) AS k), (SELECT unnest(range(0, 64)) AS i)), var AS (SELECT i, var_samp(x) AS v FROM f GROUP BY i),
+e AS (SELECT vec_id, k, -0.5 * sum(pow(x - c, 2) / v) AS e FROM f JOIN c USING (i) JOIN var USING (i) GROUP BY vec_id, k),
+p AS (SELECT vec_id, k, exp(e - max(e) OVER w) / sum(exp(e - m)) OVER w AS p FROM (SELECT *, max(e) OVER (PARTITION BY vec_id) AS m FROM e) WINDOW w AS (PARTITION BY vec_id)),
+q AS (SELECT vec_id, k, q / sum(q) OVER (PARTITION BY vec_id) AS q FROM (SELECT vec_id, k, CASE WHEN p < 1e-4 THEN 0 ELSE p END AS q FROM p)),
+s AS (SELECT k, i, sum(q) AS n, sum(q * x) / sum(q) AS mean, sum(q * x * x) / sum(q) AS sq FROM q JOIN f USING (vec_id) GROUP BY k, i)
+SELECT CAST(k AS INT) AS k, CAST(i AS INT) AS i, round(mean, 5) + 0 AS mean, round(greatest(sq - mean * mean, 0.01 * v, 1e-9), 5) AS var, round(n / (SELECT count(DISTINCT vec_id) FROM f), 5) AS weight FROM s JOIN var USING (i)"""
+
+
+@query(_EM)
+def c3_em_round(s, d):
+    v = vecs(s, d)
+    m = decompose.gaussian_mixture(v, F.col("v"), 64, _centers(4) * 0.1, 1, 0)
+    return s.createDataFrame(
+        [(k, i, float(round(m.means[k, i], 5)) + 0.0, float(round(m.variances[k, i], 5)), float(round(m.weights[k], 5))) for k in range(4) for i in range(64)], "k int, i int, mean double, var double, weight double"
+    )
+
+
+def _cells(s, d) -> DataFrame:
+    """Each vector as a matrix of eight descriptors of eight values."""
+    return vecs(s, d).select("vec_id", "label", vectors.split(F.col("v"), 8).alias("v"))
+
+
+@query(f"""{_FLAT}, g AS (SELECT vec_id, i // 8 AS n, i % 8 AS j, x FROM f), c AS (SELECT k, j, 0.1 * sin(k * 7 + j * 0.3::DOUBLE) AS c FROM (SELECT unnest(range(0, 3)) AS k), (SELECT unnest(range(0, 8)) AS j)),
+e AS (SELECT vec_id, n, k, exp(-0.5 * sum(pow(x - c, 2) / 0.04::DOUBLE)) AS e FROM g JOIN c USING (j) GROUP BY vec_id, n, k),
+p AS (SELECT vec_id, n, k, e / sum(e) OVER (PARTITION BY vec_id, n) AS p FROM e), q AS (SELECT vec_id, n, k, q / sum(q) OVER (PARTITION BY vec_id, n) AS q FROM (SELECT vec_id, n, k, CASE WHEN p < 1e-4 THEN 0 ELSE p END AS q FROM p)),
+s AS (SELECT vec_id, k, j, c, sum(q) / 8 AS s0, sum(q * x) / 8 AS s1, sum(q * x * x) / 8 AS s2 FROM q JOIN g USING (vec_id, n) JOIN c USING (k, j) GROUP BY vec_id, k, j, c)
+SELECT vec_id, CAST(k * 8 + j AS INT) AS i, round((s1 - c * s0) / (0.2::DOUBLE * sqrt(1.0::DOUBLE / 3)), 5) + 0 AS x FROM s
+UNION ALL SELECT vec_id, CAST(24 + k * 8 + j AS INT), round((s2 - 2 * c * s1 + (c * c - 0.04::DOUBLE) * s0) / (0.04::DOUBLE * sqrt(2.0::DOUBLE / 3)), 5) + 0 FROM s""")
+def c5_fisher_vectors(s, d):
+    m = decompose.Mixture(_centers(3)[:, :8] * 0.1, np.full((3, 8), 0.04), np.full(3, 1 / 3))
+    return flat(_cells(s, d), decompose.fisher_vectors(F.col("v"), m), digits=5)
+
+
+@query()
+def c6_c7_fisher_encoder_fit(s, d):
+    v = _cells(s, d)
+    m = decompose.fisher_encoder(v, F.col("v"), 8, 4, rounds=10, least_mass=1)
+    return flat(v, decompose.fisher_vectors(F.col("v"), m), digits=5)
+
+
+@query(f"{_FLAT} SELECT vec_id, CAST(i // 8 AS INT) AS n, CAST(k AS INT) AS i, round(sum(x * cos(CAST(i % 8 + k AS DOUBLE))), 5) + 0 AS x FROM f, (SELECT unnest(range(0, 3)) AS k) GROUP BY vec_id, i // 8, k")
+def r3_v14_project_columns(s, d):
+    """Every column of a matrix projected, the matrix flattened."""
+    p = decompose.project_columns(F.col("v"), np.cos(np.arange(8)[:, None] + np.arange(3) * 1.0))
+    x = _cells(s, d).select("vec_id", F.posexplode(vectors.vectorize_matrix(p)).alias("at", "x"))
+    return x.select("vec_id", F.floor(F.col("at") / 3).cast("int").alias("n"), (F.col("at") % 3).alias("i"), (F.round("x", 5) + 0.0).alias("x"))
 
 
 @query()
-def c3_c5_gmm_fit_fisher(s, d):
-    v = vecs(s, d).withColumn("v", F.slice("v", 1, 8))
-    m = decompose.gaussian_mixture(v, F.col("v"), 8, _centers(4)[:, :8] * 0.1, 20, 5)
-    return flat(v, batches.map_vectors(lambda x: np.stack([m.fisher(r[None]).T.ravel() for r in x]), F.col("v")))
+def r8_r9_r10_column_pca(s, d):
+    """Directions of the columns of all matrices, factorised where the rows are and on the driver: one row for each way."""
+    out = []
+    for how in ("local", "distributed"):
+        m = decompose.column_pca(_cells(s, d), F.col("v"), 8, 3, how)
+        out += [(how, i, j, float(round(m[i, j], 5))) for i in range(8) for j in range(3)]
+    return s.createDataFrame(out, "how string, i int, j int, x double")
+
+
+@query(f"{_FLAT}, g AS (SELECT DISTINCT vec_id, i // 8 AS n FROM f) SELECT vec_id, 5 AS drawn, true AS own FROM (SELECT DISTINCT vec_id FROM g)")
+def v17_column_sampler(s, d):
+    """Five columns of each matrix, drawn from its own."""
+    x = _cells(s, d).withColumn("s", decompose.column_sample(F.col("v"), 5, 3))
+    return x.select("vec_id", F.size("s").alias("drawn"), (F.size(F.array_except("s", "v")) == 0).alias("own"))
 
 
 @query()
@@ -481,7 +635,7 @@ norm AS (SELECT class, ln(sum(s) + (SELECT v FROM vocab)) AS norm FROM cs GROUP
 
 def _bayes(s, d):
     w = docs(s, d)
-    entries = sparse.term_frequency(w, "doc_id", F.col("w")).select(F.col("doc_id").alias("row"), "term", F.col("weight").alias("value"))
+    entries = cut(sparse.term_frequency(w, "doc_id", F.col("w")).select(F.col("doc_id").alias("row"), "term", F.col("weight").alias("value")))
     labels = w.select(F.col("doc_id").alias("row"), F.col("lang").alias("class"))
     return entries, labels, *learn.naive_bayes_fit(entries, labels)
 
@@ -511,34 +665,171 @@ def l22_naive_bayes_predict(s, d):
 
 
 @query(f"WITH {_PREDICT} SELECT lang AS actual, class AS predicted, count(*) AS n FROM best JOIN documents USING (doc_id) GROUP BY lang, class")
-def a2_text_classes_pipeline(s, d):
+def l22_naive_bayes_confusion(s, d):
     return _predicted(s, d).groupBy(F.col("class").alias("actual"), "predicted").agg(F.count("*").alias("n"))
 
 
 @query()
 def a3_review_pipeline(s, d):
     """Presence of common n-grams, logistic regression on the quality label, binary metrics."""
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    w = table(s, d, "documents").join(table(s, d, "labels"), "doc_id").select(F.col("doc_id").alias("id"), "text", F.col("quality").alias("label"))
+    p = apps.reviews(w, 2, 1000, 1e-3)(w).get()
+    return evaluate.binary_metrics(evaluate.contingency(p, F.col("class") == 1, F.col("label") == 1))
+
+
+def _samples(s, d) -> DataFrame:
+    return vecs(s, d).select(F.col("vec_id").alias("id"), F.col("v").alias("x"), "label")
+
 
-    w = docs(s, d).join(table(s, d, "labels"), "doc_id").withColumn("g", F.transform(text.ngrams(F.col("w"), 1, 2), lambda g: F.array_join(g, " ")))
-    space = sparse.common_features(w, "doc_id", F.col("g"), 1000)
-    entries = sparse.term_frequency(w, "doc_id", F.col("g"), lambda n: F.lit(1.0)).join(space, "term")
-    build = F.udf(lambda i: Vectors.sparse(1000, sorted(i or []), [1.0] * len(i or [])), VectorUDT())
-    rows = w.select("doc_id", F.col("quality").cast("double").alias("label")).join(entries.groupBy("doc_id").agg(F.collect_set("idx").alias("i")), "doc_id", "left").select("label", build("i").alias("features"))
-    p = learn.logistic_regression(rows, "features", "label", 1e-3, 20).transform(rows)
-    return evaluate.binary_metrics(evaluate.contingency(p, F.col("prediction") == 1, F.col("label") == 1))
+def _tally(p: DataFrame, rows: DataFrame, classes: int = 10) -> DataFrame:
+    return evaluate.confusion(p.select("id", "class").join(rows.select("id", "label"), "id"), F.col("class"), F.col("label"), classes)
 
 
 @query()
-def a1_a5_random_features_pipeline(s, d):
-    """Branches of random signs, padded FFT and rectifier, gathered; block least squares; confusion of the argmax."""
+def a1_random_fft_pipeline(s, d):
+    t = _samples(s, d)
+    return _tally(apps.random_fft(t, 10, 64, 4, 64)(t).get(), t)
+
+
+@query()
+def a5_cosine_speech_pipeline(s, d):
+    t = _samples(s, d)
+    return _tally(apps.cosine_speech(t, 10, 64, 128, 2, 0.5, "gaussian", 0.1, 2)(t).get(), t)
+
+
+@query()
+def a2_news_groups_pipeline(s, d):
+    """Documents by language: n-grams, presence, common features, naive Bayes."""
+    langs = ["de", "en", "es", "fr"]
+    t = table(s, d, "documents").where(F.col("lang").isin(langs)).select(F.col("doc_id").alias("id"), "text", (F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1).cast("int").alias("label"))
+    return _tally(apps.news_groups(t, 4, 2, 500)(t).get(), t, 4)
+
+
+def _scenes(s, d, x: int = 8, y: int = 8, c: int = 1) -> DataFrame:
+    return pictures(s, d, x, y, c).join(vecs(s, d).select("vec_id", "label"), "vec_id").select(F.col("vec_id").alias("id"), F.col("image").alias("x"), "label")
+
+
+@query()
+def a6_linear_pixels_pipeline(s, d):
+    t = _scenes(s, d)
+    return _tally(apps.linear_pixels(t, 10, 0.1)(t).get(), t)
+
+
+@query()
+def a7_random_filters_pipeline(s, d):
+    t = _scenes(s, d)
+    return _tally(apps.random_filters(t, 10, 8, 3, 1, 0.1, 3, 3, 1.0)(t).get(), t)
+
+
+@query()
+def a8_patch_filters_pipeline(s, d):
+    """Filters from sampled patches, whitened; convolution, rectifier, pools, block least squares."""
+    t = _scenes(s, d)
+    return _tally(apps.patch_classes(t, 10, 8, 3, 0.1, 3, 3, 1.0, sample=2000)(t).get(), t)
+
+
+@query()
+def a9_patch_kernel_pipeline(s, d):
+    t = _scenes(s, d)
+    return _tally(apps.patch_classes(t, 10, 8, 3, 0.1, 3, 3, 0.1, (0.01, 1024, 1), sample=2000)(t).get(), t)
+
+
+@query()
+def a10_a11_augmented_pipeline(s, d):
+    """Crops and flips to learn from; corners and center, as they are and flipped, averaged to decide."""
+    t = _scenes(s, d)
+    pipe = apps.patch_classes(apps.augmented_patches(t, 6, 2), 10, 8, 3, 0.1, 3, 3, 1.0, sample=2000)
+    return apps.augmented_classes(pipe, t, 6, 10).select(F.col("name").alias("vec_id"), "class")
+
+
+def _large(s, d) -> DataFrame:
+    """Pictures five times as large, of three channels."""
+    return nodes.computed(_scenes(s, d), "x", images.map_images(F.col("x"), lambda m: np.repeat(np.kron(m[:, :, 0], np.ones((5, 5)))[:, :, None], 3, 2)))
+
+
+@query()
+def a12_sift_fisher_pipeline(s, d):
+    t = _large(s, d)
+    p = apps.sift_fisher(t, 10, 8, 4, 0.5, 64, 4, (8, 4, 1, 1), least_mass=1, rounds=3)(t).get()
+    return evaluate.average_precision(p.select("id", "scores").join(t.select("id", "label"), "id"), "id", F.col("scores"), F.array("label"))
+
+
+@query()
+def a13_sift_lcs_fisher_pipeline(s, d):
+    t = _large(s, d)
+    p = apps.sift_lcs_fisher(t, 10, 8, 4, 0.1, 0.25, 64, 4, (8, 4, 1, 1), (8, 12, 4), least_mass=1, rounds=3)(t).get()
+    joined = p.select("id", "scores").join(t.select("id", "label"), "id")
+    return evaluate.top_k_error(joined, vectors.top_k(F.col("scores"), 5), F.col("label"))
+
+
+# ---- pipelines, sources and partitions
+
+
+@query(f"""{_FLAT}, n AS (SELECT vec_id, i, x / greatest(sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 2.2e-16) AS x FROM f)
+SELECT vec_id, CAST(i AS INT) AS i, round(x, 6) AS x FROM n UNION ALL SELECT vec_id, CAST(i + 64 AS INT), round(greatest(0, x - 0.01::DOUBLE), 6) FROM f""")
+def u8_gathered_branches(s, d):
+    both = P.Pipeline.gather("vec_id", a=nodes.steps("normalize", source="v", target="v"), b=nodes.steps(("rectify_vector", 0.0, 0.01), source="v", target="v"))
+    return flat(both.and_then(nodes.Combine(("a_v", "b_v"), "v"))(vecs(s, d)).get(), F.col("v"))
+
+
+@query(f"""{_FLAT}, g AS (SELECT vec_id, i, sign(x) * sqrt(abs(x)) AS x FROM f), m AS (SELECT i, avg(x) AS mean, stddev_samp(x) AS sd FROM g GROUP BY i)
+SELECT vec_id, CAST(i AS INT) AS i, round((x - mean) / CASE WHEN sd < 1e-12 THEN 1 ELSE sd END, 5) + 0 AS x FROM g JOIN m USING (i)""")
+def u3_u6_u10_fitted_pipeline(s, d):
+    """A step, then an estimator fitted behind it; the fitted pipeline is applied."""
     v = vecs(s, d)
-    rng = np.random.default_rng(0)
-    signs = [rng.integers(0, 2, 64) * 2.0 - 1 for _ in range(4)]
-    f = vectors.combine(*[vectors.linear_rectifier(batches.map_vectors(lambda m, z=z: padded_fft(m * z), F.col("v"))) for z in signs])
-    wide_v = v.select("vec_id", "label", f.alias("f")).persist()
-    m = learn.block_least_squares(wide_v, F.col("f"), _targets(F.col("label")), 128, 10, 64, 1, 1.0)
-    return evaluate.confusion(wide_v.withColumn("p", vectors.argmax(m.apply(F.col("f")))), F.col("p"), F.col("label"), 10)
+    fitted = nodes.steps("signed_hellinger", source="v", target="v").and_then(nodes.Scale(source="v"), v).fit(P.Environment())
+    return flat(fitted.transform(v), F.col("v"), digits=5)
+
+
+def _written(df: DataFrame) -> str:
+    """Folder of the table as lines of text, kept where checkpoints are."""
+    path = scratch_path(df.sparkSession, "lines")
+    df.write.text(path)
+    return path
+
+
+@query(f"{_FLAT} SELECT CAST(x AS DOUBLE) AS first, n FROM (SELECT vec_id, round(max(CASE WHEN i = 0 THEN x END), 6) AS x, count(*) AS n FROM f GROUP BY vec_id)")
+def s1_dense_csv(s, d):
+    """Vectors written as lines of numbers and read again."""
+    path = _written(vecs(s, d).select(F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("value")))
+    r = readers.dense_csv(s, path)
+    return r.select(F.round(F.get("features", F.lit(0)), 6).alias("first"), F.size("features").cast("long").alias("n"))
+
+
+@query("SELECT CAST(n_chars % 5 >= 3 AS INT) AS label, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1")
+def s2_reviews(s, d):
+    """Documents written as JSON reviews with a score and read again."""
+    path = _written(table(s, d, "documents").select(F.to_json(F.struct((F.col("n_chars") % 5).cast("double").alias("overall"), F.col("text").alias("reviewText"))).alias("value")))
+    return readers.reviews(s, path, 3).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT CAST(label AS INT) AS label, count(*) AS n FROM embeddings GROUP BY label")
+def s5_row_labelled(s, d):
+    """Features and, apart from them, lines of row and label."""
+    v = vecs(s, d).select((F.col("vec_id")).alias("row_id"), F.col("v").alias("features"), "label")
+    path = _written(v.select(F.concat_ws(" ", F.col("row_id") + 1, F.col("label") + 1).alias("value")))
+    return readers.row_labelled(v.select("row_id", "features"), s.read.text(path)).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM conversations)")
+def s10_text_lines(s, d):
+    path = _written(table(s, d, "conversations").select(F.coalesce("text", F.lit("")).alias("value")))
+    return readers.lines(s, path).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT count(*) AS n FROM events")
+def p5_e9_partition_indexes(s, d):
+    """Rows counted under the index of their partition, which agrees with the counts by partition."""
+    t = table(s, d, "events").select("event_id").repartition(4)
+    by = numbering.map_partitions_with_index(t, _count_under, "p int, n long").groupBy("p").agg(F.sum("n").alias("n"))
+    return by.agg(F.sum("n").alias("n"))
+
+
+def _count_under(index: int, batches):
+    import pyarrow as pa
+
+    n = sum(b.num_rows for b in batches)
+    yield pa.RecordBatch.from_arrays([pa.array([index], pa.int32()), pa.array([n], pa.int64())], names=["p", "n"])
 
 
 # ---- evaluation
@@ -652,24 +943,29 @@ def i20_augmenter(s, d):
     return images.augment(vecs(s, d), 3).select("vec_id", "copy", F.posexplode("v").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
-@query()
-def i11_a8_convolution_pipeline(s, d):
-    """Random filters, convolution, rectifier, pooling; no patches are sampled and no whitening is fitted, unlike A8 of the survey."""
+@query(f"""{_FLAT}, p AS (SELECT vec_id, x, i % 8 AS r, i // 8 AS c FROM f), k AS (SELECT unnest(range(0, 2)) AS k)
+SELECT vec_id, CAST((a + b * 6) * 2 + k AS INT) AS i, round(sum(x * cos(CAST(k + (r - a) + (c - b) * 3 AS DOUBLE))), 5) + 0 AS x
+FROM p, (SELECT unnest(range(0, 6)) AS a), (SELECT unnest(range(0, 6)) AS b), k WHERE r >= a AND r < a + 3 AND c >= b AND c < b + 3 GROUP BY vec_id, a, b, k""")
+def i11_convolver(s, d):
+    f = np.cos(np.arange(2)[:, None] + np.arange(9) * 1.0)
+    return flat(pictures(s, d), images.vectorize(images.map_images(F.col("image"), lambda m: images.convolve(m, f, 3, normalize=False))), digits=5)
+
+
+@query(f"""{_FLAT}, p AS (SELECT vec_id, x, i % 8 AS r, i // 8 AS c FROM f), w AS (SELECT * FROM (VALUES (0, 0, 0), (1, 4, 0), (2, 0, 4), (3, 4, 4), (4, 2, 2)) t(k, a, b))
+SELECT vec_id, CAST(2 * k + turned AS INT) AS k, CAST((r - a) + CASE WHEN turned = 1 THEN 3 - (c - b) ELSE c - b END * 4 AS INT) AS i, round(x, 6) AS x FROM p, w, (SELECT unnest([0, 1]) AS turned) WHERE r >= a AND r < a + 4 AND c >= b AND c < b + 4""")
+def i6_center_corner_patches(s, d):
     img = pictures(s, d)
-    rng = np.random.default_rng(7)
-    f = images.normalize_rows(rng.normal(size=(6, 9)))
-    conv = images.map_images(F.col("image"), lambda m: images.convolve(m, f, 3))
-    both = img.select("vec_id", conv.alias("c")).select("vec_id", images.rectify(F.col("c"), 0.0, 0.1).alias("r"))
-    pooled = both.select("vec_id", images.map_images(F.col("r"), lambda m: images.pool(m, 3, 3)).alias("image"))
-    return flat(pooled, images.vectorize(F.col("image")), digits=5)
+    five = images.map_images(F.col("image"), lambda m: images.center_corner_patches(m, 4, 4, True), many=True)
+    return img.select("vec_id", F.posexplode(five).alias("k", "p")).select("vec_id", "k", F.posexplode("p.data").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
 @query()
-def i6_i7_i8_patches(s, d):
-    """Corners and center with flips, and seeded random crops, counted by row."""
-    img = pictures(s, d)
-    five = images.map_images(F.col("image"), lambda m: images.center_corner_patches(m, 4, 4, True) + images.random_patches(m, 3, 4, 4, 12334), many=True)
-    return img.select("vec_id", F.posexplode(five).alias("k", "p")).select("vec_id", "k", F.round(F.aggregate("p.data", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+def i7_i8_random_patches(s, d):
+    """Crops and flips drawn by each row."""
+    img, seed = pictures(s, d), F.xxhash64("vec_id", F.lit(12334))
+    k = img.select("vec_id", F.posexplode(images.random_patches_of(F.col("image"), 3, 4, 4, seed)).alias("k", "p"))
+    k = k.withColumn("p", images.random_flips(F.col("p"), 0.5, F.xxhash64("vec_id", "k")))
+    return k.select("vec_id", "k", F.round(F.aggregate("p.data", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.get("p.data", F.lit(0)), 6).alias("first"))
 
 
 @query()
@@ -690,5 +986,5 @@ def i12_i13_i14_i16_descriptors(s, d):
 
 
 @query("SELECT event_type AS kind, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY event_type")
-def u1_u2_streamable_aggregate(s, d):
+def p10_event_totals(s, d):
     return table(s, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))

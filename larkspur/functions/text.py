@@ -38,6 +38,22 @@ def ngrams(tokens: Column, low: int, high: int) -> Column:
     return let(tokens, of)
 
 
+def ngram_strings(tokens: Column, low: int, high: int, between: str = " ") -> Column:
+    """For each length from low to high an array of the n-grams, joined to strings: shifted arrays side by side, no array for each n-gram.
+
+    tokens is used several times: let it be a plain column.
+    """
+    if low < 1 or high < low:
+        raise ValueError("orders must be consecutive and positive")
+    at, grams = tokens, [tokens]
+    for n in range(2, high + 1):
+        some = F.size(tokens) >= n
+        size = F.when(some, F.size(tokens) - n + 1).otherwise(0)
+        at = F.zip_with(F.slice(at, F.lit(1), size), F.slice(tokens, F.lit(n), size), lambda a, b: F.concat(a, F.lit(between), b))
+        grams.append(at)
+    return F.array(*grams[low - 1 :])
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, also where body uses it inside of a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -121,3 +121,16 @@ def row_statistics_normalize(v: Column, alpha: float = 1.0) -> Column:
         return let(F.sqrt(var + alpha), lambda d: F.transform(u, lambda x: (x - mean) / d))
 
     return let(v, lambda u: let(F.aggregate(u, F.lit(0.0), lambda s, x: s + x) / F.size(u), lambda mean: scaled(u, mean)))
+
+
+def about_equal(a, b, within: float = 1e-8) -> bool:
+    """Whether two numbers, vectors or matrices differ by less than within everywhere; differing shapes never do."""
+    import numpy as np
+
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    return a.shape == b.shape and bool((np.abs(a - b) < within).all())
+
+
+def vectorize_matrix(matrix: Column) -> Column:
+    """A matrix (array of its columns) as one vector, column after column."""
+    return F.flatten(matrix)

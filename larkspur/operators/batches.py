@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
-from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 
 def to_numpy(col: pa.Array) -> np.ndarray:
-    """Rows x width of equally long lists, or a vector of numbers."""
+    """Rows x width of equally long lists, an array of arrays of others, or a vector of numbers."""
     if pa.types.is_list(col.type) or pa.types.is_large_list(col.type):
+        size = np.diff(col.offsets.to_numpy())
+        if len(size) and (size != size[0]).any():
+            return np.array([*(x.values.to_numpy(zero_copy_only=False) for x in col), None], object)[:-1]
         return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(col), -1) if len(col) else np.zeros((0, 0))
     return col.to_numpy(zero_copy_only=False)
 
@@ -33,30 +36,48 @@ def map_vectors(fn: Callable[[np.ndarray], np.ndarray], *vectors: Column) -> Col
     return run(*vectors)
 
 
-def sum_batches(df: DataFrame, columns: list[Column], fn: Callable[..., np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
-    """Sum of fn(batch columns) over all batches; partial sums are merged in two levels, so the driver gets few."""
+#: Partial results that one task merges, and those that the driver does.
+FAN, LAST = 32, 8
+
+
+def reduce_batches(df: DataFrame, columns: list[Column], add: Callable[..., np.ndarray], merge: Callable[[np.ndarray, np.ndarray], np.ndarray], zero: np.ndarray) -> np.ndarray:
+    """Tree reduction: add(state, *batch columns) over the batches of a partition, then merge(state, state) in levels of FAN on executors.
+
+    All partitions of a level run side by side; LAST states at most reach the driver, whatever the number of partitions.
+    """
     if df.isStreaming:
         raise ValueError("fitting needs a bounded DataFrame")
 
+    def keep(state: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(state, protocol=5)], pa.binary())], names=["s"])
+
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
+        state, some = zero, False
         for b in batches:
             if b.num_rows:
-                total += fn(*[to_numpy(c) for c in b.columns])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
+                state, some = add(state, *[to_numpy(c) for c in b.columns]), True
+        if some:
+            yield keep(state)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, some = zero, False
         for b in batches:
             for s in b.column(0):
-                total += np.frombuffer(s.as_py()).reshape(shape)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
-
-    partial = df.select(*[c.alias(f"c{k}") for k, c in enumerate(columns)]).mapInArrow(part, "s binary")
-    n = partial.rdd.getNumPartitions()
-    if n > 64:
-        partial = partial.repartition(isqrt(n)).mapInArrow(merge, "s binary")
-    total = np.zeros(shape)
-    for row in partial.toLocalIterator():
-        total += np.frombuffer(bytes(row[0])).reshape(shape)
-    return total
+                state, some = merge(state, pickle.loads(s.as_buffer())), True
+        if some:
+            yield keep(state)
+
+    states = df.select(*[c.alias(f"c{k}") for k, c in enumerate(columns)]).mapInArrow(part, "s binary")
+    n = states.rdd.getNumPartitions()
+    while n > LAST:
+        n = -(-n // FAN)
+        states = states.repartition(n).mapInArrow(join, "s binary")
+    state = zero
+    for row in states.collect():
+        state = merge(state, pickle.loads(row[0]))
+    return state
+
+
+def sum_batches(df: DataFrame, columns: list[Column], fn: Callable[..., np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """Sum of fn(batch columns) over all batches."""
+    return reduce_batches(df, columns, lambda s, *c: s + fn(*c), np.add, np.zeros(shape))

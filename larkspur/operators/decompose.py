@@ -6,9 +6,11 @@ from dataclasses import dataclass
 from math import log2
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from larkspur.operators.batches import map_vectors, sum_batches
+from larkspur.operators.batches import map_vectors, reduce_batches, sum_batches, to_lists, to_numpy
 from larkspur.operators.learn import CPU, MEMORY, NETWORK, LinearMapper
 
 
@@ -37,23 +39,12 @@ def covariance(df: DataFrame, v: Column, d: int) -> tuple[np.ndarray, np.ndarray
 
 
 def pca_tall_skinny(df: DataFrame, v: Column, d: int, dims: int) -> np.ndarray:
-    """Leading directions by the QR of the centred rows: each batch's triangle, then the triangle of those."""
-    import pyarrow as pa
-
-    from larkspur.operators.batches import to_numpy
-
-    _, mean = covariance(df, v, d)
-
-    def part(batches):
-        r = np.zeros((0, d))
-        for b in batches:
-            if b.num_rows:
-                r = np.linalg.qr(np.vstack([r, to_numpy(b.column(0)) - mean]), mode="r")
-        yield pa.RecordBatch.from_arrays([pa.array([r.tobytes()], pa.binary())], names=["r"])
-
-    r = np.zeros((0, d))
-    for row in df.select(v.alias("v")).mapInArrow(part, "r binary").toLocalIterator():
-        r = np.linalg.qr(np.vstack([r, np.frombuffer(bytes(row[0])).reshape(-1, d)]), mode="r")
+    """Leading directions by a tree of QR factorisations of the centred rows: of each batch, then of pairs of triangles."""
+    s = sum_batches(df, [v], lambda x: np.append(x.sum(0), len(x)), (d + 1,))
+    mean = s[:-1] / max(s[-1], 1)
+    r = reduce_batches(
+        df, [v], lambda r, x: np.linalg.qr(np.vstack([r, x - mean]), mode="r"), lambda a, b: np.linalg.qr(np.vstack([a, b]), mode="r"), np.zeros((0, d))
+    )
     return sign_convention(np.linalg.svd(r)[2].T[:, :dims])
 
 
@@ -93,6 +84,60 @@ def zca(x: np.ndarray, eps: float = 0.1) -> Whitener:
     return Whitener(vt.T @ np.diag((s * s / max(len(x) - 1, 1) + eps) ** -0.5) @ vt, mean)
 
 
+def zca_of(df: DataFrame, v: Column, d: int, eps: float = 0.1) -> Whitener:
+    """The whitener of all rows, from their covariance."""
+    cov, mean = covariance(df, v, d)
+    values, vectors = np.linalg.eigh(cov)
+    return Whitener(vectors @ np.diag((np.maximum(values, 0) + eps) ** -0.5) @ vectors.T, mean)
+
+
+def pca_approximate_of(df: DataFrame, v: Column, d: int, dims: int, rounds: int = 10, extra: int = 5, seed: int = 0) -> np.ndarray:
+    """pca_approximate over all rows: each power iteration is a pass that sums x (x' q), d x (dims + extra)."""
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, min(dims + extra, d))))[0]
+    for _ in range(rounds + 1):
+        q = np.linalg.qr(sum_batches(df, [v], lambda x, q=q: x.T @ (x @ q), q.shape))[0]
+    values, vectors = np.linalg.eigh(sum_batches(df, [v], lambda x: (x @ q).T @ (x @ q), (q.shape[1], q.shape[1])))
+    return sign_convention(q @ vectors[:, np.argsort(-values)[:dims]])
+
+
+def columns_of(df: DataFrame, matrix: Column) -> DataFrame:
+    """Matrices (arrays of their columns) as rows of vectors v."""
+    return df.select(F.explode(matrix).alias("v"))
+
+
+def project_columns(matrix: Column, directions: np.ndarray) -> Column:
+    """Every column of each matrix projected: a batch of matrices is one product."""
+    return map_columns(lambda x: x @ directions, matrix)
+
+
+def map_columns(fn, matrix: Column) -> Column:
+    """fn of the columns of all matrices of a batch, as rows; the matrices are put together again."""
+
+    @F.arrow_udf("array<array<double>>")
+    def run(col: pa.Array) -> pa.Array:
+        inner = col.flatten()
+        rows = to_lists(fn(to_numpy(inner))) if len(inner) else pa.array([], pa.list_(pa.float64()))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.diff(col.offsets.to_numpy()))), pa.int32()), rows)
+
+    return run(matrix)
+
+
+def column_sample(matrix: Column, n: int, seed: int = 0) -> Column:
+    """n columns of each matrix, drawn with replacement by the matrix's content."""
+    size = F.size(matrix)
+    draw = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.get(matrix, F.pmod(F.xxhash64(F.to_json(F.array(F.get(matrix, F.lit(0)))), size, k, F.lit(seed)), F.greatest(size, F.lit(1))).cast("int")))
+    return F.when(size > 0, draw).otherwise(matrix)
+
+
+def column_pca(df: DataFrame, matrix: Column, d: int, dims: int, how: str | None = None, machines: int = 16) -> np.ndarray:
+    """Directions of the columns of all matrices; how: local (for few columns), distributed, or by cost."""
+    v = columns_of(df, matrix)
+    how = how or choose_pca(v.count(), d, machines)
+    if how == "distributed":
+        return pca_tall_skinny(v, F.col("v"), d, dims)
+    return pca_local(to_numpy(v.toArrow().column("v").combine_chunks()), dims)
+
+
 def discriminants(df: DataFrame, v: Column, label: Column, d: int, classes: int, dims: int) -> LinearMapper:
     """Linear discriminant analysis: leading eigenvectors of within^-1 between, from sums by class."""
 
@@ -131,6 +176,30 @@ def kmeans_local(x: np.ndarray, k: int, rounds: int, tolerance: float = 1e-3, se
     return centers
 
 
+def kmeans_seeds(df: DataFrame, v: Column, d: int, k: int, seed: int = 0) -> np.ndarray:
+    """k-means++ seeds over all rows: each is a row drawn in proportion to the squared distance to those before, in one pass.
+
+    The draw is a race: of the times -log(u) / distance, u being a number made from the row's, the least wins.
+    """
+    rows = df.select(v.alias("v"), F.xxhash64(v, F.monotonically_increasing_id(), F.lit(seed)).alias("h"))
+    centers = np.zeros((0, d))
+    for turn in range(k):
+
+        def race(best: np.ndarray, x: np.ndarray, h: np.ndarray, c: np.ndarray = centers, turn: int = turn) -> np.ndarray:
+            z = h.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (turn + 1) % (1 << 64))
+            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2**53
+            far = np.maximum(((x[:, None] - c) ** 2).sum(2).min(1), 1e-300) if len(c) else np.ones(len(x))
+            time = -np.log(np.maximum(u, 1e-300)) / far
+            at = time.argmin()
+            return best if best[0] <= time[at] else np.append(time[at], x[at])
+
+        best = reduce_batches(rows, [F.col("v"), F.col("h")], race, lambda a, b: a if a[0] <= b[0] else b, np.append(np.inf, np.zeros(d)))
+        centers = np.vstack([centers, best[1:]])
+    return centers
+
+
 def kmeans(df: DataFrame, v: Column, d: int, start: np.ndarray, rounds: int, tolerance: float = 1e-3) -> np.ndarray:
     """Lloyd's iterations over all rows, one pass each, from given centers."""
     centers, cost, k = start.copy(), None, len(start)
@@ -207,3 +276,28 @@ def gaussian_mixture(df: DataFrame, v: Column, d: int, start: np.ndarray, rounds
             break
         last = likelihood
     return model
+
+
+def mixture_of(df: DataFrame, v: Column, d: int, k: int, init: str = "kmeans", seed: int = 0, **em) -> Mixture:
+    """Expectation maximisation from k-means++ centers (one of Lloyd's rounds) or from random rows."""
+    if init == "kmeans":
+        start = kmeans(df, v, d, kmeans_seeds(df, v, d, k, seed), 1)
+    else:
+        t = df.select(v.alias("v")).orderBy(F.xxhash64("v", F.lit(seed)), "v").limit(k).toArrow()
+        start = to_numpy(t.column("v").combine_chunks())
+    return gaussian_mixture(df, v, d, start, **em)
+
+
+def fisher_vectors(matrix: Column, mixture: Mixture) -> Column:
+    """Fisher vector of each matrix (an array of descriptors): the d x 2k gradients, column by column."""
+
+    @F.arrow_udf("array<double>")
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([mixture.fisher(to_numpy(m.values)).T.ravel().tolist() if m.is_valid and len(m.values) else [0.0] * (2 * mixture.means.size) for m in col], pa.list_(pa.float64()))
+
+    return run(matrix)
+
+
+def fisher_encoder(df: DataFrame, matrix: Column, d: int, k: int, seed: int = 0, **em) -> Mixture:
+    """The mixture of the columns of all matrices, whose fisher_vectors encode them."""
+    return mixture_of(columns_of(df, matrix), F.col("v"), d, k, seed=seed, **em)

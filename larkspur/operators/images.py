@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.text import let
+
 SCHEMA = "struct<x_dim:int,y_dim:int,num_channels:int,data:array<double>>"
 
 
@@ -66,25 +68,32 @@ def vectorize(image: Column) -> Column:
 
 def grayscale(image: Column) -> Column:
     """Luminance of blue, green, red; of other channels the root of the mean square."""
-    d, c = image["data"], image["num_channels"]
-    pixels = F.sequence(F.lit(0), image["x_dim"] * image["y_dim"] - 1)
-    color = F.transform(pixels, lambda i: F.get(d, i * 3 + 2) * 0.2989 + F.get(d, i * 3 + 1) * 0.5870 + F.get(d, i * 3) * 0.1140)
-    other = F.transform(pixels, lambda i: F.sqrt(F.aggregate(F.slice(d, i * c + 1, c), F.lit(0.0), lambda s, x: s + x * x) / c))
-    return _with(image, F.lit(1), F.when(c == 3, color).otherwise(other))
+
+    def of(image: Column) -> Column:
+        d, c = image["data"], image["num_channels"]
+        pixels = F.sequence(F.lit(0), image["x_dim"] * image["y_dim"] - 1)
+        color = F.transform(pixels, lambda i: F.get(d, i * 3 + 2) * 0.2989 + F.get(d, i * 3 + 1) * 0.5870 + F.get(d, i * 3) * 0.1140)
+        other = F.transform(pixels, lambda i: F.sqrt(F.aggregate(F.slice(d, i * c + 1, c), F.lit(0.0), lambda s, x: s + x * x) / c))
+        return _with(image, F.lit(1), F.when(c == 3, color).otherwise(other))
+
+    return let(image, of)  # or the pixels would be computed anew for each pixel
 
 
 def rectify(image: Column, floor: float = 0.0, alpha: float = 0.0) -> Column:
     """Channels doubled: max(floor, x - alpha), then max(floor, -x - alpha)."""
-    c = image["num_channels"]
-    pixels = F.sequence(F.lit(0), image["x_dim"] * image["y_dim"] - 1)
-    both = F.transform(
-        pixels,
-        lambda i: F.concat(
-            F.transform(F.slice(image["data"], i * c + 1, c), lambda p: F.greatest(F.lit(floor), p - alpha)),
-            F.transform(F.slice(image["data"], i * c + 1, c), lambda p: F.greatest(F.lit(floor), -p - alpha)),
-        ),
-    )
-    return _with(image, c * 2, F.flatten(both))
+
+    def of(image: Column) -> Column:
+        d, c = image["data"], image["num_channels"]
+        pixels = F.sequence(F.lit(0), image["x_dim"] * image["y_dim"] - 1)
+        both = F.transform(
+            pixels,
+            lambda i: F.concat(
+                F.transform(F.slice(d, i * c + 1, c), lambda p: F.greatest(F.lit(floor), p - alpha)), F.transform(F.slice(d, i * c + 1, c), lambda p: F.greatest(F.lit(floor), -p - alpha))
+            ),
+        )
+        return _with(image, c * 2, F.flatten(both))
+
+    return let(image, of)
 
 
 def crop(image: np.ndarray, x0: int, y0: int, x1: int, y1: int) -> np.ndarray:
@@ -123,6 +132,27 @@ def random_patches(image: np.ndarray, n: int, px: int, py: int, seed: int) -> li
     return [image[i : i + px, j : j + py] for i, j in at]
 
 
+def random_patches_of(image: Column, n: int, px: int, py: int, seed: Column) -> Column:
+    """n crops of each image as an array, drawn by the row's seed."""
+
+    @F.pandas_udf(f"array<{SCHEMA}>")
+    def run(s: pd.DataFrame, seeds: pd.Series) -> pd.Series:
+        return pd.Series([[pack(i) for i in random_patches(unpack(*r), n, px, py, int(k) & (2**63 - 1))] for r, k in zip(s.itertuples(index=False), seeds)])
+
+    return run(image, seed)
+
+
+def random_flips(image: Column, chance: float, seed: Column, fn: Callable = flip_horizontal) -> Column:
+    """Each image, turned by fn with the given chance, by the row's seed."""
+
+    @F.pandas_udf(SCHEMA)
+    def run(s: pd.DataFrame, seeds: pd.Series) -> pd.DataFrame:
+        rows = [pack(random_transform(unpack(*r), chance, fn, int(k) & (2**63 - 1))) for r, k in zip(s.itertuples(index=False), seeds)]
+        return pd.DataFrame(rows, columns=["x_dim", "y_dim", "num_channels", "data"])
+
+    return run(image, seed)
+
+
 def random_transform(image: np.ndarray, chance: float, fn: Callable, seed: int) -> np.ndarray:
     return fn(image) if np.random.default_rng(seed).random() < chance else image
 
@@ -133,20 +163,14 @@ POOL = {"sum": np.sum, "max": np.max, "mean": np.mean}
 
 def pool(image: np.ndarray, stride: int, size: int, pixel="identity", how="sum") -> np.ndarray:
     """Pools of size x size around centers from size / 2 by stride; at the edge the missing pixels count as 0."""
-    x, y, c = image.shape
     pixel, how = PIXEL.get(pixel, pixel), POOL.get(how, how)
-    start, half = size // 2, size // 2
-    xs, ys = list(range(start, x, stride)), list(range(start, y, stride))
-    out = np.zeros((len(xs), len(ys), c))
-    for a, i in enumerate(xs):
-        for b, j in enumerate(ys):
-            part = pixel(image[max(i - half, 0) : min(i + half, x), max(j - half, 0) : min(j + half, y)])
-            for k in range(c):
-                flat = np.zeros(size * size)
-                values = part[:, :, k].T.ravel()
-                flat[: len(values)] = values
-                out[a, b, k] = how(flat)
-    return out
+    half = size // 2
+    padded = np.pad(pixel(image), ((half, half), (half, half), (0, 0)))
+    # Boxes of 2 half x 2 half; the zeros that fill them up to size x size count too.
+    box = np.lib.stride_tricks.sliding_window_view(padded, (max(2 * half, 1),) * 2, axis=(0, 1))[half : image.shape[0] : stride, half : image.shape[1] : stride]
+    flat = box.transpose(0, 1, 2, 4, 3).reshape(*box.shape[:3], -1)
+    flat = np.concatenate([flat, np.zeros((*flat.shape[:3], size * size - flat.shape[3]))], axis=3) if size * size > flat.shape[3] else flat
+    return how(flat, axis=3) if how in (np.sum, np.max, np.mean) else np.apply_along_axis(how, 3, flat)
 
 
 def normalize_rows(m: np.ndarray, alpha: float = 1.0) -> np.ndarray:
@@ -160,6 +184,12 @@ def patches_of(image: np.ndarray, size: int) -> np.ndarray:
     return v.transpose(1, 0, 4, 3, 2).reshape(-1, size * size * image.shape[2])
 
 
+def pack_filters(filters: list[np.ndarray], whitener=None, flipped: bool = False) -> np.ndarray:
+    """Filters (images of one size) as the rows that convolve() takes, whitened like the patches, and turned by 180 degrees if flipped."""
+    m = np.stack([pack(flip(f) if flipped else f)["data"] for f in filters])
+    return m if whitener is None else whitener.of(m) @ whitener.matrix.T
+
+
 def convolve(image: np.ndarray, filters: np.ndarray, size: int, whitener=None, normalize: bool = True, variance: float = 10.0) -> np.ndarray:
     """Filters (k x patch) at every place where they fit, on patches that may be normalised and centred."""
     p = patches_of(image, size)
@@ -179,7 +209,7 @@ def conv2d(image: np.ndarray, fx: np.ndarray, fy: np.ndarray) -> np.ndarray:
 
 def _same(v: np.ndarray, f: np.ndarray) -> np.ndarray:
     full = np.convolve(v, f)
-    lead = (len(f) - 1) // 2
+    lead = len(f) - 1 - (len(f) - 1) // 2
     return full[lead : lead + len(v)]
 
 
@@ -202,12 +232,10 @@ def local_color_statistics(image: np.ndarray, stride: int, start: int, sub: int)
     mean = conv2d(image, box, box)
     std = np.sqrt(np.maximum(conv2d(image * image, box, box) - mean**2, 0))
     grid = np.arange(-2 * sub + sub // 2 - 1, sub + sub // 2, sub)[:4]
-    out = []
-    for i in range(start, x - start, stride):
-        for j in range(start, y - start, stride):
-            at = np.ix_(np.clip(i + grid, 0, x - 1), np.clip(j + grid, 0, y - 1))
-            out.append(np.concatenate([np.stack([mean[at][..., k].ravel(), std[at][..., k].ravel()], 1).ravel() for k in range(c)]))
-    return np.array(out).T.astype(np.float32) if out else np.zeros((32 * c, 0), np.float32)
+    i, j = (np.clip(np.arange(start, n - start, stride)[:, None] + grid, 0, n - 1) for n in (x, y))
+    at = lambda m: m[i[:, None, :, None], j[None, :, None, :]].reshape(-1, 16, c)
+    both = np.stack([at(mean), at(std)], axis=2)  # keypoint, place, mean or deviation, channel
+    return both.transpose(3, 1, 2, 0).reshape(32 * c, -1).astype(np.float32)
 
 
 def _gradient(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,45 +265,46 @@ def hog(image: np.ndarray, size: int) -> np.ndarray:
             np.add.at(hist, (a[ok], b[ok], bins[ok]), (size_of * wx[:, None] * wy[None])[ok])
     hist = hist[:cx, :cy]
     energy = ((hist[:, :, :9] + hist[:, :, 9:]) ** 2).sum(2)
+    h = hist[1:-1, 1:-1]
     out = np.zeros((max(cx - 2, 0), max(cy - 2, 0), 32))
-    for i in range(out.shape[0]):
-        for j in range(out.shape[1]):
-            h, a, b = hist[i + 1, j + 1], i + 1, j + 1
-            n = [1 / np.sqrt(energy[p : p + 2, q : q + 2].sum() + 1e-4) for p in (a, a - 1) for q in (b, b - 1)]
-            cut = np.minimum(h[None] * np.array(n)[:, None], 0.2)
-            both = np.minimum((h[:9] + h[9:])[None] * np.array(n)[:, None], 0.2)
-            out[i, j, :18], out[i, j, 18:27], out[i, j, 27:31] = 0.5 * cut.sum(0), 0.5 * both.sum(0), 0.2357 * cut.sum(1)
+    if out.size:
+        block = 1 / np.sqrt(energy[:-1, :-1] + energy[1:, :-1] + energy[:-1, 1:] + energy[1:, 1:] + 1e-4)
+        n = np.stack([block[1:, 1:], block[1:, :-1], block[:-1, 1:], block[:-1, :-1]], axis=2)[..., None]
+        cut = np.minimum(h[:, :, None] * n, 0.2)
+        both = np.minimum((h[..., :9] + h[..., 9:])[:, :, None] * n, 0.2)
+        out[..., :18], out[..., 18:27], out[..., 27:31] = 0.5 * cut.sum(2), 0.5 * both.sum(2), 0.2357 * cut.sum(3)
     return out.reshape(-1, 32).T
 
 
-def daisy(image: np.ndarray, t: int = 8, q: int = 3, r: int = 7, h: int = 8, border: int = 16, stride: int = 4) -> np.ndarray:
-    """DAISY descriptors of a gray image: h * (t * q + 1) values by keypoint; very small histograms become 0."""
-    g = image[:, :, 0]
-    gx, gy = _gradient(image[:, :, :1])
-    maps = np.stack([np.maximum(np.cos(2 * np.pi * k / h) * gy + np.sin(2 * np.pi * k / h) * gx, 0) for k in range(h)], axis=2)
-    layers = []
+def daisy(image: np.ndarray, t: int = 8, q: int = 3, r: int = 7, h: int = 8, border: int = 16, stride: int = 4, least: float = 1e-8, tail: float = 1e-6) -> np.ndarray:
+    """DAISY descriptors of a gray image: h * (t * q + 1) values by keypoint; histograms shorter than least become 0.
+
+    Oriented gradients ([1, 0, -1] x [1, 2, 1], negative ones cut) are blurred layer upon layer, each by the variance that it has over
+    the one before. A descriptor is the histogram of the center, then for every angle those of the rings.
+    """
+    gray, d, m = image[:, :, :1], np.array([1.0, 0.0, -1.0]), np.array([1.0, 2.0, 1.0])
+    gx, gy = conv2d(gray, d, m), conv2d(gray, m, d)
+    angle = 2 * np.pi * np.arange(h) / h
+    maps, layers = np.maximum(np.cos(angle) * gx + np.sin(angle) * gy, 0), []
     for ring in range(q):
-        sigma = r * (ring + 1) / (2 * q)
-        n = int(np.ceil(3 * sigma))
-        f = np.exp(-0.5 * (np.arange(-n, n + 1) / sigma) ** 2)
-        maps = conv2d(maps, f / f.sum(), f / f.sum())
+        var = (r / (2 * q)) ** 2 * ((ring + 1) ** 2 - ring**2)
+        n = int(np.ceil(np.sqrt(-2 * var * np.log(tail) - var * np.log(2 * np.pi * var))))
+        f = np.exp(-(np.arange(-n, n + 1) ** 2) / (2 * var)) / np.sqrt(2 * np.pi * var)
+        maps = conv2d(maps, f, f)
         layers.append(maps)
+    xs, ys = (np.arange(border, size - border, stride) for size in image.shape[:2])
 
-    def unit(v: np.ndarray) -> np.ndarray:
-        n = np.linalg.norm(v)
-        return v / n if n > 1e-8 else np.zeros_like(v)
+    def unit(dx: int, dy: int, layer: np.ndarray) -> np.ndarray:
+        v = layer[np.clip(xs + dx, 0, image.shape[0] - 1)[:, None], np.clip(ys + dy, 0, image.shape[1] - 1)[None]].reshape(-1, h)
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        return np.where(size > least, v / np.maximum(size, least), 0)
 
-    out = []
-    for i in range(border, g.shape[0] - border, stride):
-        for j in range(border, g.shape[1] - border, stride):
-            parts = [unit(layers[0][i, j])]
-            for ring in range(q):
-                far = r * (ring + 1) / q
-                for k in range(t):
-                    a, b = round(i + far * np.sin(2 * np.pi * k / t)), round(j + far * np.cos(2 * np.pi * k / t))
-                    parts.append(unit(layers[ring][min(max(a, 0), g.shape[0] - 1), min(max(b, 0), g.shape[1] - 1)]))
-            out.append(np.concatenate(parts))
-    return np.array(out).T.astype(np.float32) if out else np.zeros((h * (t * q + 1), 0), np.float32)
+    parts = [unit(0, 0, layers[0])]
+    for k in range(t):
+        for ring in range(q):
+            far, turn = r * (1 + ring) / q, 2 * np.pi * (k - 1) / t
+            parts.append(unit(int(np.floor(far * np.sin(turn) + 0.5)), int(np.floor(far * np.cos(turn) + 0.5)), layers[ring]))
+    return np.hstack(parts).T.astype(np.float32)
 
 
 def dense_sift(image: np.ndarray, step: int = 3, bin_size: int = 4, scales: int = 4, scale_step: int = 1) -> np.ndarray:
@@ -295,14 +324,11 @@ def dense_sift(image: np.ndarray, step: int = 3, bin_size: int = 4, scales: int
             maps[:, :, k] = mag * ((low == k) * (1 - part) + ((low + 1) % 8 == k) * part)
         tri = 1 - np.abs(np.arange(-size + 1, size)) / size
         maps = conv2d(maps, tri, tri)
-        at = np.arange(4) * size
-        for i in range(0, mag.shape[0] - 3 * size, step + s * scale_step):
-            for j in range(0, mag.shape[1] - 3 * size, step + s * scale_step):
-                v = maps[np.ix_(i + at, j + at)].ravel()
-                v = v / max(np.linalg.norm(v), 1e-12)
-                v = np.minimum(v, 0.2)
-                out.append(np.minimum(512 * v / max(np.linalg.norm(v), 1e-12), 255).astype(np.int16))
-    return np.array(out).T if out else np.zeros((128, 0), np.int16)
+        places = [np.arange(0, n - 3 * size, step + s * scale_step)[:, None] + np.arange(4) * size for n in mag.shape]
+        v = maps[places[0][:, None, :, None], places[1][None, :, None, :]].reshape(-1, 128)
+        v = np.minimum(v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), 0.2)
+        out.append(np.minimum(512 * v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), 255).astype(np.int16))
+    return np.concatenate(out).T
 
 
 def descriptors(image: Column, fn: Callable[[np.ndarray], np.ndarray]) -> Column:
@@ -337,7 +363,7 @@ def decoded(df: DataFrame, least: int = 36) -> DataFrame:
 
 
 def portable_pixmap(image: np.ndarray, scale: bool = True) -> bytes:
-    """The image as a PPM file; scale maps its least value to 0 and its greatest to 255."""
-    a = (image - image.min()) / max(image.max() - image.min(), 1e-12) * 255 if scale else image
+    """The image as a PPM file; scale maps its greatest value to 255."""
+    a = image / max(image.max(), 1e-12) * 255 if scale else image
     a = np.repeat(a, 3, axis=2) if a.shape[2] == 1 else a[:, :, ::-1]
     return b"P6 %d %d 255\n" % (a.shape[1], a.shape[0]) + np.clip(np.rint(a), 0, 255).astype(np.uint8).tobytes()

@@ -10,10 +10,12 @@ from dataclasses import dataclass
 from math import log2
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators.batches import map_vectors, sum_batches
+from larkspur.operators.batches import map_vectors, reduce_batches, sum_batches, to_numpy
+from larkspur.operators.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -107,50 +109,119 @@ def local_least_squares(x: np.ndarray, y: np.ndarray, ridge: float) -> LinearMap
     return LinearMapper(a.T @ _solve(a @ a.T, y - my, ridge), my, Scaler(mx))
 
 
-def block_least_squares(df: DataFrame, x: Column, y: Column, d: int, k: int, block: int, passes: int, ridge: float = 0.0) -> LinearMapper:
+#: Bytes of a product of features that a task may hold.
+GRAM_BYTES = 256 << 20
+
+
+def means(df: DataFrame, x: Column, y: Column, d: int, k: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Rows, and means of x and y."""
+    s = sum_batches(df, [x, y], lambda a, b: np.concatenate([a.sum(0), b.reshape(len(b), -1).sum(0), [len(a)]]), (d + k + 1,))
+    return s[-1], s[:d] / max(s[-1], 1), s[d:-1] / max(s[-1], 1)
+
+
+def block_least_squares(df: DataFrame, x: Column, y: Column, d: int, k: int, block: int, passes: int, ridge: float = 0.0, gram_bytes: int = GRAM_BYTES) -> LinearMapper:
     """Block coordinate descent: in turn each block of features is solved against what the others leave.
 
-    Products with the residual follow from the Gram matrix, so the rows are read once for all passes.
+    While the product of all features fits into gram_bytes, the rows are read once for all passes. Beyond,
+    they are read for each block: a task then holds the product of one block, and the residual follows from
+    the row and the weights so far, so it is never stored. Products of blocks are kept on the driver for later passes.
     """
-    _, mx, my, xx, xy = gram(df, x, y, d, k)
-    w = np.zeros((d, k))
+    w, n_blocks = np.zeros((d, k)), -(-d // block)
+    if (d + 1) * (d + k + 1) * 8 <= gram_bytes:
+        _, mx, my, xx, xy = gram(df, x, y, d, k)
+        for _ in range(max(1, passes)):
+            for i in range(0, d, block):
+                b = slice(i, min(i + block, d))
+                left = xy[b] - xx[b] @ w + xx[b, b] @ w[b]
+                w[b] = _solve(xx[b, b], left, ridge)
+        return LinearMapper(w, my, Scaler(mx))
+    _, mx, my = means(df, x, y, d, k)
+    products: list[np.ndarray | None] = [None] * n_blocks
     for _ in range(max(1, passes)):
-        for i in range(0, d, block):
-            b = slice(i, min(i + block, d))
-            left = xy[b] - xx[b] @ w + xx[b, b] @ w[b]
-            w[b] = _solve(xx[b, b], left, ridge)
+        for j in range(n_blocks):
+            b = slice(j * block, min((j + 1) * block, d))
+            first, width = products[j] is None, min((j + 1) * block, d) - j * block
+
+            def part(a: np.ndarray, t: np.ndarray, b: slice = b, w: np.ndarray = w, first: bool = first) -> np.ndarray:
+                a = a - mx
+                residual = t.reshape(len(t), -1) - my - a @ w
+                return np.hstack([a[:, b].T @ a[:, b], a[:, b].T @ residual]) if first else a[:, b].T @ residual
+
+            s = sum_batches(df, [x, y], part, (width, width + k) if first else (width, k))
+            if first:
+                products[j], s = s[:, :width], s[:, width:]
+            w = w.copy()
+            w[b] = _solve(products[j], s + products[j] @ w[b], ridge)
     return LinearMapper(w, my, Scaler(mx))
 
 
-def class_weighted_least_squares(df: DataFrame, x: Column, label: Column, d: int, classes: int, ridge: float, mix: float, block: int | None = None, passes: int = 1) -> LinearMapper:
+def class_weighted_least_squares(
+    df: DataFrame, x: Column, label: Column, d: int, classes: int, ridge: float, mix: float, block: int | None = None, passes: int = 1, gram_bytes: int = GRAM_BYTES
+) -> LinearMapper:
     """A weighted ridge regression on +-1 for each class; a row weighs (1 - mix) / n, and mix / n_c more in the class.
 
-    Weighted products of every class come from those of the classes, gathered in one pass.
-    With block, each regression is by block coordinate descent.
+    Weighted products of every class come from those of the classes, as many of which are gathered in a pass over the rows as
+    fit into gram_bytes. With block, each regression is by block coordinate descent, which needs products of one
+    block only; the residual follows from the row and the weights so far.
     """
-
-    def part(a: np.ndarray, c: np.ndarray) -> np.ndarray:
-        m = np.hstack([np.ones((len(a), 1)), a])
-        return np.stack([m[c == k].T @ m[c == k] for k in range(classes)])
-
-    s = sum_batches(df, [x, label], part, (classes, d + 1, d + 1))
-    total, n = s.sum(0), s[:, 0, 0].sum()
-    w, b = np.zeros((d, classes)), np.zeros(classes)
-    for c in range(classes):
-        nc = max(s[c, 0, 0], 1)
-        g = (1 - mix) / n * total + mix / nc * s[c]
-        signed = (1 - mix) / n * (2 * s[c] - total)[0] + mix / nc * s[c][0]
-        mass, mean, ym = g[0, 0], g[0, 1:] / g[0, 0], signed[0] / g[0, 0]
-        xx, xy = g[1:, 1:] - mass * np.outer(mean, mean), signed[1:] - mass * ym * mean
-        if block is None:
-            w[:, c] = _solve(xx, xy, ridge)
-        else:
-            for _ in range(max(1, passes)):
-                for i in range(0, d, block):
-                    z = slice(i, min(i + block, d))
-                    w[z, c] = _solve(xx[z, z], xy[z] - xx[z] @ w[:, c] + xx[z, z] @ w[z, c], ridge)
-        b[c] = ym - mean @ w[:, c]
-    return LinearMapper(w, b)
+    sums = sum_batches(df, [x, label], lambda a, c: np.stack([np.append(a[c == k].sum(0), (c == k).sum()) for k in range(classes)]), (classes, d + 1))
+    count, n = sums[:, -1], max(sums[:, -1].sum(), 1)
+    own = np.divide(mix, count, out=np.zeros(classes), where=count > 0)
+    mass = (1 - mix) + own * count
+    mean = ((1 - mix) / n * sums[:, :-1].sum(0) + own[:, None] * sums[:, :-1]) / mass[:, None]
+    ym = ((1 - mix) / n * (2 * count - n) + own * count) / mass
+
+    def products(cols: slice, width: int) -> np.ndarray:
+        """Weighted centred products of the columns, a matrix for each class."""
+        at_once = max(1, gram_bytes // (8 * width * width))
+        each, total = [], None
+        for lo in range(0, classes, at_once):
+            these = range(lo, min(lo + at_once, classes))
+
+            def part(a: np.ndarray, c: np.ndarray, these: range = these, whole: bool = total is None) -> np.ndarray:
+                a = a[:, cols]
+                return np.stack([a[c == k].T @ a[c == k] for k in these] + ([a.T @ a] if whole else []))
+
+            s = sum_batches(df, [x, label], part, (len(these) + (total is None), width, width))
+            if total is None:
+                total, s = s[-1], s[:-1]
+            each.append(s)
+        g = np.concatenate(each) * own[:, None, None] + (1 - mix) / n * total
+        return g - mass[:, None, None] * mean[:, cols, None] * mean[:, None, cols]
+
+    def gradient(cols: slice, w: np.ndarray, width: int) -> np.ndarray:
+        """Weighted products of the columns with the residuals of each class."""
+
+        def part(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+            r = np.where(c[:, None] == np.arange(classes), 1.0, -1.0) - ym - (a @ w - (mean * w.T).sum(1))
+            out = (1 - mix) / n * a[:, cols].T @ r
+            for k in range(classes):
+                out[:, k] += own[k] * a[c == k][:, cols].T @ r[c == k, k]
+            return out
+
+        return sum_batches(df, [x, label], part, (width, classes))
+
+    w, size = np.zeros((d, classes)), block or d
+    if classes * d * d * 8 <= gram_bytes:  # all products at once: the rows are read once for all passes
+        xx, xy = products(slice(0, d), d), gradient(slice(0, d), w, d)
+        for _ in range(max(1, passes) if block else 1):
+            for i in range(0, d, size):
+                b = slice(i, min(i + size, d))
+                for c in range(classes):
+                    w[b, c] = _solve(xx[c][b, b], xy[b, c] - xx[c][b] @ w[:, c] + xx[c][b, b] @ w[b, c], ridge)
+        return LinearMapper(w, ym - (mean * w.T).sum(1))
+    kept: list[np.ndarray] = []
+    for turn in range(max(1, passes) if block else 1):
+        for j, i in enumerate(range(0, d, size)):
+            b = slice(i, min(i + size, d))
+            width = b.stop - i
+            if turn == 0:
+                kept.append(products(b, width))
+            s = gradient(b, w, width)
+            w = w.copy()
+            for c in range(classes):
+                w[b, c] = _solve(kept[j][c], s[:, c] + kept[j][c] @ w[b, c], ridge)
+    return LinearMapper(w, ym - (mean * w.T).sum(1))
 
 
 def lbfgs(value_and_gradient, start: np.ndarray, corrections: int = 10, tolerance: float = 1e-4, rounds: int = 100) -> np.ndarray:
@@ -190,8 +261,8 @@ def lbfgs(value_and_gradient, start: np.ndarray, corrections: int = 10, toleranc
 
 
 def lbfgs_least_squares(df: DataFrame, x: Column, y: Column, d: int, k: int, ridge: float = 0.0, rounds: int = 100, tolerance: float = 1e-4, intercept: bool = True) -> LinearMapper:
-    """Least squares by L-BFGS: half the mean squared error plus ridge / 2 |W|^2; one job for each evaluation."""
-    n, mx, my, _, _ = gram(df, x, y, d, k) if intercept else (df.count(), np.zeros(d), np.zeros(k), None, None)
+    """Least squares by L-BFGS: half the mean squared error plus ridge / 2 |W|^2; one job for each evaluation, no products of features."""
+    n, mx, my = means(df, x, y, d, k) if intercept else (df.count(), np.zeros(d), np.zeros(k))
 
     def of(flat: np.ndarray) -> tuple[float, np.ndarray]:
         w = flat.reshape(d, k)
@@ -215,20 +286,13 @@ def sparse_lbfgs_least_squares(entries: DataFrame, targets: DataFrame, d: int, r
     n = max(rows.count(), 1)
 
     def of(flat: np.ndarray) -> tuple[float, np.ndarray]:
-        def part(batches):
-            import pyarrow as pa
-
-            g, loss = np.zeros(d + 1), 0.0
-            for b in batches:
-                i, v, y = b.column(0), b.column(1).flatten().to_numpy(), b.column(2).to_numpy()
-                at, row = i.flatten().to_numpy(), np.repeat(np.arange(len(y)), np.diff(i.offsets.to_numpy()))
-                r = np.bincount(row, weights=v * flat[at], minlength=len(y)) + flat[d] - y
-                g[:d] += np.bincount(at, weights=v * r[row], minlength=d)
-                g[d] += r.sum()
-                loss += 0.5 * (r * r).sum()
-            yield pa.RecordBatch.from_arrays([pa.array([np.append(g, loss).tobytes()], pa.binary())], names=["s"])
-
-        s = sum((np.frombuffer(bytes(r[0])) for r in rows.mapInArrow(part, "s binary").toLocalIterator()), np.zeros(d + 2)) / n
+        def add(s: np.ndarray, i: np.ndarray, v: np.ndarray, many: np.ndarray, y: np.ndarray) -> np.ndarray:
+            i, v = np.concatenate(i).astype(np.int64), np.concatenate(v)
+            row = np.repeat(np.arange(len(y)), many)
+            r = np.bincount(row, weights=v * flat[i], minlength=len(y)) + flat[d] - y
+            return s + np.concatenate([np.bincount(i, weights=v * r[row], minlength=d), [r.sum(), 0.5 * (r * r).sum()]])
+
+        s = reduce_batches(rows, [F.col("i"), F.col("v"), F.size("i").alias("m"), F.col("y")], add, np.add, np.zeros(d + 2)) / n
         w = np.append(flat[:d], 0.0)
         return s[-1] + 0.5 * ridge * (w @ w), s[:-1] + ridge * w
 
@@ -264,34 +328,88 @@ def gaussian_kernel(x: np.ndarray, z: np.ndarray, gamma: float) -> np.ndarray:
 
 @dataclass(frozen=True)
 class KernelModel:
-    """Kernel of each row against the training rows, a block at a time, times the weights."""
+    """Training rows (block, x, w) with their weights; a row's scores are its kernel with all of them times the weights, a block at a time."""
 
-    train: np.ndarray
-    weights: np.ndarray
+    rows: DataFrame
+    blocks: int
+    width: int
+    classes: int
     gamma: float
-    block: int
-
-    def of(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), self.weights.shape[1]))
-        for i in range(0, len(self.train), self.block):
-            out += gaussian_kernel(x, self.train[i : i + self.block], self.gamma) @ self.weights[i : i + self.block]
+    every: int = 16
+
+    def scores(self, df: DataFrame, v: Column, name: str = "scores") -> DataFrame:
+        """df with a column of scores. A block of training rows at a time is in a task; after every blocks the plan is cut."""
+        out = df.withColumn(name, F.array_repeat(F.lit(0.0), self.classes))
+        for b in range(self.blocks):
+            x, w = _rows_of(self.rows.where(F.col("block") == b), "x", "w")
+            if len(x):
+                out = out.withColumn(name, map_vectors(lambda a, s, x=x, w=w, g=self.gamma: s + gaussian_kernel(a, x, g) @ w, v, F.col(name)))
+            if (b + 1) % self.every == 0 and b + 1 < self.blocks:
+                out = cut(out)
         return out
 
-    def apply(self, v: Column) -> Column:
-        return map_vectors(self.of, v)
 
+def _rows_of(df: DataFrame, *columns: str) -> tuple[np.ndarray, ...]:
+    """Vectors of a block's rows, in the order of their numbers."""
+    t = df.orderBy("id").select(*columns).toArrow()
+    return tuple(to_numpy(t.column(c).combine_chunks()) for c in columns)
+
+
+def kernel_ridge(df: DataFrame, x: Column, y: Column, d: int, k: int, gamma: float, ridge: float, block: int, epochs: int, seed: int | None = None, every: int = 16) -> KernelModel:
+    """(K + ridge I) W = Y over all rows of df by block Gauss-Seidel, a row's weights being a column beside it.
+
+    For each block its rows (block of them at most) reach the driver and every task; the rows' kernels with them are made,
+    multiplied by the weights and summed where the rows are, and never kept. Weights of the last blocks travel with the plan;
+    after every blocks they are written beside the rows.
+    """
+    flat = cut(df.select(x.alias("x"), y.alias("y"), F.array_repeat(F.lit(0.0), k).alias("w")).withColumn("id", F.monotonically_increasing_id()))
+    per_part = flat.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.min("id").alias("low")).orderBy("p").collect()
+    n, starts = 0, []
+    for r in per_part:  # a row for each partition
+        starts.append((r.low, n))
+        n += r.n
+    blocks = max(1, -(-n // block))
+    lows, offsets = np.array([a for a, _ in starts] or [0]), np.array([b for _, b in starts] or [0])
+
+    @F.arrow_udf("long")
+    def number(ids: pa.Array) -> pa.Array:
+        ids = ids.to_numpy()
+        at = np.searchsorted(lows, ids, side="right") - 1
+        return pa.array(offsets[at] + ids - lows[at])
+
+    # Rows of a block come from all over the table.
+    rows = cut(flat.withColumn("id", number("id")).withColumn("block", F.pmod("id", F.lit(blocks)).cast("int")).withColumn("pos", F.floor(F.col("id") / blocks)))
+    recent: dict[int, np.ndarray] = {}
+    rng, done = np.random.default_rng(seed), 0
+
+    def current(b: np.ndarray, pos: np.ndarray, w: np.ndarray, new: dict[int, np.ndarray]) -> np.ndarray:
+        w = w.copy()
+        for j, v in new.items():
+            w[b == j] = v[pos[b == j]]
+        return w
+
+    def written() -> DataFrame:
+        new = dict(recent)
+        return cut(rows.withColumn("w", map_vectors(lambda b, pos, w: current(b, pos, w, new), F.col("block"), F.col("pos"), F.col("w")))) if new else rows
 
-def kernel_ridge(x: np.ndarray, y: np.ndarray, gamma: float, ridge: float, block: int, epochs: int, seed: int | None = None) -> KernelModel:
-    """(K + ridge I) W = Y by block Gauss-Seidel; blocks of K are made when needed and never kept."""
-    n, w = len(x), np.zeros(y.shape)
-    starts = np.arange(0, n, block)
-    rng = np.random.default_rng(seed)
     for _ in range(epochs):
-        for i in starts if seed is None else rng.permutation(starts):
-            b = slice(i, min(i + block, n))
-            k = gaussian_kernel(x[b], x, gamma)
-            w[b] = _solve(k[:, b], y[b] - k @ w + k[:, b] @ w[b], ridge)
-    return KernelModel(x, w, gamma, block)
+        for b in range(blocks) if seed is None else rng.permutation(blocks).tolist():
+            a, t, w = _rows_of(rows.where(F.col("block") == b), "x", "y", "w")
+            if not len(a):
+                continue
+            w, new = recent.get(b, w), dict(recent)
+
+            def part(c: np.ndarray, j: np.ndarray, pos: np.ndarray, v: np.ndarray, a: np.ndarray = a, new: dict = new) -> np.ndarray:
+                return gaussian_kernel(a, c, gamma) @ current(j, pos, v, new)
+
+            product = sum_batches(rows, [F.col("x"), F.col("block"), F.col("pos"), F.col("w")], part, (len(a), k))
+            own = gaussian_kernel(a, a, gamma)
+            recent[b] = _solve(own, t - product + own @ w, ridge)
+            done += 1
+            if done % every == 0:
+                rows = written()
+                recent.clear()
+    return KernelModel(written().select("id", "block", "x", "w"), blocks, d, k, gamma, every)
 
 
 def logistic_regression(df: DataFrame, features: str, label: str, ridge: float = 0.0, rounds: int = 100, tolerance: float = 1e-4):

@@ -7,15 +7,51 @@ would compute the array, here whole tokenizations, once more. Null elements coun
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators.numbering import number
 
 
-def counts(df: DataFrame, grams: Column) -> DataFrame:
-    """(ngram, count) of an array of n-grams."""
-    return df.select(F.explode_outer(grams).alias("ngram")).where("ngram IS NOT NULL").groupBy("ngram").agg(F.count("*").alias("count"))
+def counts(df: DataFrame, grams: Column, add: bool = True) -> DataFrame:
+    """(ngram, count) of an array of n-grams; without add, those of each partition by itself, and nothing is shuffled."""
+    flat = df.select(F.explode_outer(grams).alias("ngram")).where("ngram IS NOT NULL")
+    if add:
+        return flat.groupBy("ngram").agg(F.count("*").alias("count"))
+
+    def part(batches):
+        seen: Counter = Counter()
+        for b in batches:
+            seen.update(map(tuple, b.column(0).to_pylist()))
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([list(g) for g in seen], kind), pa.array(list(seen.values()), pa.int64())], names=["ngram", "count"])
+
+    element = flat.schema["ngram"].dataType.elementType.simpleString()
+    kind = pa.list_({"string": pa.string(), "int": pa.int32()}.get(element, pa.int64()))
+    return flat.mapInArrow(part, f"ngram array<{element}>, count long")
+
+
+def initial_bigram_partition(ngram: Column, n: int) -> Column:
+    """Partition of an n-gram by its first two words, so that it lies with its contexts; 0 for fewer than two."""
+    two = F.xxhash64(F.get(ngram, F.lit(0)), F.get(ngram, F.lit(1)))
+    return F.when(F.size(ngram) > 1, F.pmod(two, F.lit(n))).otherwise(0).cast("int")
+
+
+def context(ngram: Column) -> Column:
+    """Without the last word."""
+    return F.slice(ngram, F.lit(1), F.greatest(F.size(ngram) - 1, F.lit(0)))
+
+
+def backoff(ngram: Column) -> Column:
+    """Without the first word."""
+    return F.slice(ngram, F.lit(2), F.greatest(F.size(ngram) - 1, F.lit(0)))
+
+
+def word_at(ngram: Column, k: int) -> Column:
+    return F.get(ngram, F.lit(k))
 
 
 def word_ranks(df: DataFrame, words: Column) -> DataFrame:
@@ -41,7 +77,7 @@ def backoff_scores(ngram_counts: DataFrame, unigrams: DataFrame) -> DataFrame:
     contexts = ngram_counts.union(unigrams.select(F.array("word"), "count")).select(F.col("ngram").alias("context"), F.col("count").alias("of"))
     n = F.size("ngram")
     return (
-        ngram_counts.where(n >= 2).withColumn("context", F.slice("ngram", F.lit(1), n - 1))
+        ngram_counts.where(n >= 2).withColumn("context", context(F.col("ngram")))
         .join(contexts, "context", "left").select("ngram", (F.col("count") / F.col("of")).alias("score"))
     )
 

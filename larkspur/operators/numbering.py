@@ -19,3 +19,20 @@ def number(df: DataFrame, buckets: list[Column], within: list[Column], name: str
     before = sizes.withColumn("before_", F.coalesce(F.sum("size_").over(W.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("size_")
     inside = flat.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*within)))
     return inside.join(before, keys).withColumn(name, (F.col("before_") + F.col(name) - 1).cast("int")).drop("before_", *keys)
+
+
+def per_partition(df: DataFrame) -> dict[int, int]:
+    """Rows of each partition that has some; a row for each partition reaches the driver."""
+    return {r.p: r.n for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
+
+
+def map_partitions_with_index(df: DataFrame, fn, schema: str) -> DataFrame:
+    """fn(index, batches) over the Arrow batches of each partition."""
+    from pyspark import TaskContext
+
+    return df.mapInArrow(lambda batches: fn(TaskContext.get().partitionId(), batches), schema)
+
+
+def partition_by(df: DataFrame, partition: Column, n: int) -> DataFrame:
+    """df in n partitions, rows of one number (0 to n - 1) together and numbers apart, in as far as they hash apart."""
+    return df.repartition(n, F.pmod(partition, F.lit(n)))

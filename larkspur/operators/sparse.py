@@ -6,9 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from larkspur.operators.lineage import cut
 from larkspur.operators.numbering import number
 
 
+def occurrences(df: DataFrame, key: str, terms: Column) -> DataFrame:
+    """(key, term, n, pos) of each row's distinct terms: how often, and where first. Written once, since spaces and vectors both need it."""
+    flat = df.select(key, F.posexplode_outer(terms).alias("pos", "term")).where("term IS NOT NULL")
+    return cut(flat.groupBy(key, "term").agg(F.count("*").alias("n"), F.min("pos").alias("pos")))
+
+
+def common_among(found: DataFrame, key: str, size: int) -> DataFrame:
+    """common_features from occurrences()."""
+    first = F.col("first").desc()
+    top = found.groupBy("term").agg(F.sum("n").alias("count"), F.min(F.struct(F.col(key).alias("row"), "pos")).alias("first")).orderBy(F.desc("count"), first, "term").limit(size)
+    return top.select("term", (F.row_number().over(W.orderBy(F.desc("count"), first, "term")) - 1).alias("idx"))
+
+
 def term_frequency(df: DataFrame, key: str, terms: Column, weight=lambda n: n) -> DataFrame:
     """(key, term, weight) of each row's distinct terms, the weight being a function of the count."""
     flat = df.select(key, F.explode_outer(terms).alias("term")).where("term IS NOT NULL").groupBy(key, "term").agg(F.count("*").alias("n"))
@@ -35,7 +49,16 @@ def common_features(df: DataFrame, key: str, terms: Column, size: int, tie: str
 def vectorize(df: DataFrame, key: str, weighted: Column, space: DataFrame) -> DataFrame:
     """(key, idx, value) of (term, weight) pairs; terms that the space lacks are dropped."""
     flat = df.select(key, F.explode(weighted).alias("t")).select(key, F.col("t.term").alias("term"), F.col("t.weight").alias("value"))
-    return flat.join(space, "term").select(key, "idx", "value")
+    return in_space(flat, space).select(key, "idx", "value")
+
+
+#: Terms of a space that are broadcast; a larger one is joined by shuffling.
+BROADCAST_TERMS = 1_000_000
+
+
+def in_space(entries: DataFrame, space: DataFrame, size: int | None = None) -> DataFrame:
+    """entries (term ...) whose term is in the space, with its idx; size: a bound of the space that is known."""
+    return entries.join(F.broadcast(space) if size is not None and size <= BROADCAST_TERMS else space, "term")
 
 
 def hashing_counts(df: DataFrame, key: str, buckets: Column) -> DataFrame:
