@@ -5,10 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larkspur.llm import exact_dedup, html_text, mixing, packing, quality, secrets, simhash, suffix_dedup, url_rules, wavelet
 
 
+#: Hosts whose MD5 digest is lower count as listed: one in four.
+LISTED = "4"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,7 +55,11 @@ def op9_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_rules.judge_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+    """The tables' labels say nothing about URLs, so a labelled page is bad too if its host is on a list: those whose digest is low."""
+    pages, labels = _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels")
+    host = F.regexp_extract(F.lower("url"), "^[a-z]+://([^/?#]*)", 1)
+    known = pages.select(F.col("page_id").alias("doc_id"), (F.md5(host) < LISTED).alias("listed")).join(labels, "doc_id")
+    return url_rules.judge_urls(pages, known.select("doc_id", F.when(F.col("listed"), 0).otherwise(F.col("quality")).alias("quality")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -169,7 +178,9 @@ WITH flat AS (
 ),
 known AS (
   SELECT row_number() OVER () AS rid, tokens, bad FROM flat
-  JOIN (SELECT doc_id, min(quality) = 0 AS bad FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) l ON l.doc_id = flat.page_id
+  JOIN (SELECT doc_id, min(CASE WHEN listed THEN 0 ELSE quality END) = 0 AS bad
+    FROM labels JOIN (SELECT page_id AS doc_id, md5(regexp_extract(lower(url), '^[a-z]+://([^/?#]*)', 1)) < '{LISTED}' AS listed FROM pages) USING (doc_id)
+    WHERE listed OR quality IS NOT NULL GROUP BY doc_id) l ON l.doc_id = flat.page_id
 ),
 bound AS (SELECT greatest(ceil({u.MIN_SUPPORT} * count(*)), {u.MIN_COUNT}) AS least FROM known),
 item AS (SELECT rid, bad, unnest(tokens) AS t FROM known),

@@ -4,12 +4,14 @@ A URL is the set of its tokens: host labels, path parts and names and values of
 query, in lower case, numbers all alike. FP-growth mines the token sets that
 are frequent among labelled pages; a set that comes with a bad label at least as often
 as the floor and with the confidence asked for is a rule, unless some of
-its tokens alone are a rule of no less confidence. Rules are filed under their rarest
+its tokens alone are a rule of no less confidence. Tokens that are bad too seldom are no items; those that
+occur in just the same labelled pages, as the parts of a template do, are one item while mining, whose rules then hold for each
+of them: sets with two of them are redundant, so nothing is lost and mining is not exponential in a template's length. Rules are filed under their rarest
 token, so a page is compared only with rules that it may match.
 
 Nulls: a null or empty URL has no tokens, matches nothing and stays; a null label
 is no label, a null id matches no label. Pages of one id share its label;
-repeated rows are judged each. Without rules nothing is dropped, and an empty table
+repeated rows are judged each; very long URLs are read whole. Without rules nothing is dropped, and an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -41,9 +43,17 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int =
     """(rule, seen, bad, confidence) from (tokens, bad): rules' tokens, labelled pages with them, bad ones, thousandths."""
     n = labelled.count()
     floor = max(ceil(min_support * n), min_count)
-    items = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    if n < floor:
-        return items.select(F.col("items").alias("rule"), F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("bad"), F.lit(0).cast("long").alias("confidence")).limit(0)
+    # At most (tokens of a page) / min_support tokens are bad so often.
+    each = labelled.withColumn("row", F.xxhash64(F.monotonically_increasing_id())).select("bad", "row", F.explode("tokens").alias("token"))
+    often = each.groupBy("token").agg(F.count("*").alias("seen"), F.sum(F.col("bad").cast("long")).alias("bad"), F.bit_xor("row").alias("rows")).where(F.col("bad") >= floor).collect()
+    if n < floor or not often:
+        return labelled.select(F.col("tokens").alias("rule"), *[F.lit(0).cast("long").alias(c) for c in ("seen", "bad", "confidence")]).limit(0)
+    alike: dict[tuple, list[str]] = {}
+    for r in sorted(often, key=lambda r: r.token):
+        alike.setdefault((r.seen, r.bad, r.rows), []).append(r.token)
+    members = {m[0]: m for m in alike.values()}
+    known = F.filter("tokens", lambda t: t.isin(list(members)))
+    items = labelled.select(F.when(F.col("bad"), F.concat(known, F.array(F.lit(BAD)))).otherwise(known).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=(floor - 0.5) / n, minConfidence=1.0).fit(items)
     # Sets with the label and without it; a rule's parts are all among those that are bad often enough.
     sets = model.freqItemsets.select(F.array_sort(F.array_remove("items", BAD)).alias("rule"), F.array_contains("items", BAD).alias("is_bad"), "freq").where(F.size("rule") > 0)
@@ -63,7 +73,14 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_count: int =
         parts = more.select("rule", F.explode(F.transform("rule", lambda t: F.array_remove("rule", t))).alias("part"))
         level = scratch.write(more.join(parts.join(known, "part").groupBy("rule").agg(F.max("upto").alias("best")), "rule"))
         rules = rules.unionByName(level)
-    return rules.where(F.col("is_rule") & (F.col("best") < F.col("confidence"))).select("rule", "seen", "bad", "confidence")
+    rules = rules.where(F.col("is_rule") & (F.col("best") < F.col("confidence"))).select("rule", "seen", "bad", "confidence")
+    several = {k: m for k, m in members.items() if len(m) > 1}
+    if not several:
+        return rules
+    table = F.create_map(*[x for k, m in several.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in m]))])
+    choices = F.transform("rule", lambda t: F.coalesce(F.try_element_at(table, t), F.array(t)))
+    every = F.aggregate(choices, F.array(F.array().cast("array<string>")), lambda sets, ts: F.flatten(F.transform(sets, lambda a: F.transform(ts, lambda t: F.concat(a, F.array(t))))))
+    return rules.select(F.explode(every).alias("rule"), "seen", "bad", "confidence").withColumn("rule", F.array_sort("rule"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality", **bounds) -> DataFrame:
