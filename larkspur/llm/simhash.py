@@ -8,9 +8,15 @@ Anchors: the codewords of the (31, 26) Hamming code in every block. The code
 is perfect: each block value is within the covering radius 1 of exactly one
 anchor, its home. Two fingerprints that differ in MAX_BITS = 31 bits or fewer
 differ in NEAR = 3 or fewer in some of the 8 blocks, and there the
-second lies within radius + NEAR = 4 of the home of the first. So every
-fingerprint visits all anchors within 4 (1136 or more of them) and meets those at home
-there, and all pairs up to MAX_BITS are found for certain.
+second lies within radius + NEAR = 4 of the home of the first. So
+fingerprints visit all anchors within 4 (1136 or more of them) and meet those at home
+there, and all pairs up to MAX_BITS are found for certain. Where a pair differs in 3 bits of the block, one of the two has an
+even number of ones there, and that one's visit is enough; pairs that differ in 2 are within 3 of each other's
+homes. So those with an odd number visit only the anchors within 3 (156 or so).
+
+Of those that meet, most are far apart. Of the four columns of two blocks, one has MAX_BITS // 4 = 7 differing bits or fewer, and
+one of its blocks 3 or fewer; so pairs are compared whole only where the block has 3 or fewer and its column 7 or fewer,
+which one 64-bit number of each tells. Other pairs that meet there are near only if they also meet elsewhere.
 
 Anchors whose numbers end in the same bits make a cell; there are as many cells as keep the homes of one
 below TILE. A fingerprint is sent to its home's cell and to the cells that it visits, at most to all of them and never to more than it
@@ -49,10 +55,14 @@ BLOCKS = 8
 MAX_BITS = 31
 #: Differing bits at most, in the block that has the fewest, of a pair with MAX_BITS.
 NEAR = MAX_BITS // BLOCKS
+#: The same of a column of two blocks; NEAR is half of it, so that such a column has a block with NEAR.
+NEAR_COLUMN = MAX_BITS // (BLOCKS // 2)
 #: Fingerprints on either side of a task that compares them.
 TILE = 2_000_000
 #: Rounds of stars in a task.
 STARS = 4
+#: Anchors looked up at once, and pairs made of them at once.
+LOOKUPS, PAIRS = 1 << 17, 1 << 19
 COLUMNS = [f"f{k}" for k in range(BLOCKS // 2)]
 _LOW = (1 << 31) - 1
 
@@ -136,6 +146,8 @@ def _block(prints: np.ndarray, k: int) -> np.ndarray:
 _HOME = np.array([x[0] for x in OFFSETS])
 #: By syndrome, the way to the home in the data bits of anchors, and from there to every anchor within NEAR + 1.
 _MOVES = [_data_bits(np.array(x) ^ x[0]) for x in OFFSETS]
+#: Those of a fingerprint with an even, and with an odd number of ones in the block.
+_VISITS = [_MOVES, [m[np.bitwise_count(np.array(x)) <= NEAR] for x, m in zip(OFFSETS, _MOVES)]]
 
 
 def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -150,7 +162,7 @@ class Classes:
 
     def roots(self, nodes: np.ndarray) -> np.ndarray:
         up = self.parent[nodes]
-        while len(up) and (more := self.parent[up]).tolist() != up.tolist():
+        while not np.array_equal(more := self.parent[up], up):
             up = more
         self.parent[nodes] = up
         return up
@@ -195,7 +207,9 @@ def _expand(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def close_links(left: np.ndarray, right: np.ndarray | None, k: int, mask: int = 0, cell: int = 0, stars: tuple[bool, bool] = (True, True)) -> tuple[np.ndarray, np.ndarray]:
-    """Links (rows i, j of left, then right) that join all rows of left and right which differ in MAX_BITS or fewer, NEAR or fewer of them in block k.
+    """Links (rows i, j of left, then right) that join all rows of left and right which differ in MAX_BITS or fewer, NEAR or fewer of them in block k and NEAR_COLUMN or fewer in its column.
+
+    Of two that differ in an odd number of bits in block k, the one with an even number of ones must be among the visitors (right, or left if None).
 
     right None: left against itself. Only anchors whose bits under mask are cell are looked at; homes of left are such.
     stars: whether links within left, and within right, that are found before the two meet are told.
@@ -215,55 +229,71 @@ def close_links(left: np.ndarray, right: np.ndarray | None, k: int, mask: int =
     # Stars are the same wherever their members go together, so they are told in their home's cell alone, and there once.
     own = np.flatnonzero((center != np.arange(n)) & (home & mask == cell) & np.array(stars)[side])
     found = [(own, center[own])]
-    # Homes by the low bits of their anchor; in a bucket, runs of one anchor and center.
-    m = len(left)
-    low, wide = ((1 << min(26, m.bit_length() + x)) - 1 for x in (1, 5))
-    order = np.lexsort((center[:m], home[:m], home[:m] & low))
-    h, c = home[order], center[order]
-    lead = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1]))))
-    size, h, c = np.diff(np.append(lead, m)), h[lead], c[lead]
-    begin = np.searchsorted(h & low, np.arange(low + 2)).astype(np.int64)
+    # Homes by the low bits of their anchor; in a bucket, runs of one anchor, column and center.
+    m, column, half = len(left), prints[:, k // 2], _LOW << 31 * (k % 2)
+    low, wide = (1 << min(24, m.bit_length() + 2)) - 1, (1 << min(26, m.bit_length() + 8)) - 1
+    order = np.lexsort((center[:m], column[:m], home[:m], home[:m] & low))
+    h, w, c = home[order], column[order], center[order]
+    lead = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (c[1:] != c[:-1]))))
+    size, h, w, c = np.diff(np.append(lead, m)), h[lead], w[lead], c[lead]
+    begin = np.concatenate(([0], np.cumsum(np.bincount(h & low, minlength=low + 1)))).astype(np.int32)
     taken = np.zeros(wide + 1, bool)
     taken[h & wide] = True
-    # Visitors of one value and center go together.
+    # Visitors of one column and center go together; in the order of their homes, so that lookups that follow each other are close.
     seen = np.arange(n) if right is None else np.arange(m, n)
-    seen = seen[np.lexsort((center[seen], value[seen]))]
-    visit = np.flatnonzero(np.concatenate(([True], (value[seen][1:] != value[seen][:-1]) | (center[seen][1:] != center[seen][:-1]))))
+    seen = seen[np.lexsort((center[seen], column[seen], home[seen]))]
+    visit = np.flatnonzero(np.concatenate(([True], (column[seen][1:] != column[seen][:-1]) | (center[seen][1:] != center[seen][:-1]))))
     many, head = np.diff(np.append(visit, len(seen))), seen[visit]
-    turn = (home[head] ^ cell) & mask
-    for s, t in sorted(set(zip(kind[head].tolist(), turn.tolist()))):
-        rows, moves = np.flatnonzero((kind[head] == s) & (turn == t)), _MOVES[s][(_MOVES[s] & mask) == t]
-        if not len(moves):
-            continue
-        for i in range(0, len(rows), 128):
-            part = home[head[rows[i : i + 128]]]
-            hit = np.flatnonzero(taken[((part & wide).astype(np.int32)[:, None] ^ (moves & wide).astype(np.int32)).ravel()])
-            at = part[hit // len(moves)] ^ moves[hit % len(moves)]
-            row, run = _expand(begin[at & low], begin[(at & low) + 1] - begin[at & low])
-            good = h[run] == at[row]
-            row, run = rows[i + hit[row[good]] // len(moves)], run[good]
-            a, b = center[head[row]], c[run]
-            good = a < b if right is None else a != b
-            a, b, row, run = a[good], b[good], row[good], run[good]
-            d = _far(prints[a], prints[b])
-            near = d <= MAX_BITS
-            used = classes.link(a[near], b[near])
-            found.append((a[near][used], b[near][used]))
-            # Centers that are farther: members may be near as long as the triangle allows it.
-            open_ = ~near & (d <= MAX_BITS + reach[a] + reach[b])
-            row, run = row[open_], run[open_]
-            for x, y in slices(np.concatenate(([0], np.cumsum(many[row] * size[run]))), 1 << 20, 1 << 20):
-                r, q = row[x:y], run[x:y]
-                apart = classes.roots(center[head[r]]) != classes.roots(c[q])
-                r, q = r[apart], q[apart]
-                of, member = _expand(visit[r], many[r])
-                # A run that is long is gone through in parts too.
-                for u, v in slices(np.concatenate(([0], np.cumsum(size[q][of]))), 1 << 20, 1 << 20):
-                    pair, other = _expand(lead[q[of[u:v]]], size[q[of[u:v]]])
-                    one, two = seen[member[u:v]][pair], order[other]
-                    near = _far(prints[one], prints[two]) <= MAX_BITS
-                    used = classes.link(one[near], two[near])
-                    found.append((one[near][used], two[near][used]))
+    # By parity, syndrome and the bits that lead to the cell.
+    group = (np.bitwise_count(value[head]).astype(np.int64) & 1) << 31 | kind[head] << 26 | (home[head] ^ cell) & mask
+
+    def meetings() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Visitors and runs that meet and are near in the block and in its column."""
+        by = np.argsort(group, kind="stable")
+        for rows in np.split(by, np.flatnonzero(np.diff(group[by])) + 1) if len(by) else []:
+            moves = _VISITS[group[rows[0]] >> 31][group[rows[0]] >> 26 & 31]
+            moves = np.sort(moves[moves & mask == group[rows[0]] & mask])
+            step = max(1, LOOKUPS // max(1, len(moves)))
+            for i in range(0, len(rows) if len(moves) else 0, step):
+                own = rows[i : i + step]
+                at = (moves[:, None] ^ home[head[own]]).ravel()
+                hit = np.flatnonzero(taken[at & wide])
+                at, who = at[hit], own[hit % len(own)]
+                first, count = begin[at & low], begin[(at & low) + 1] - begin[at & low]
+                for x, y in slices(np.concatenate(([0], np.cumsum(count))), PAIRS, PAIRS):
+                    ends = np.cumsum(count[x:y])
+                    run = np.arange(ends[-1]) + np.repeat(first[x:y] - ends + count[x:y], count[x:y])
+                    apart = w[run] ^ np.repeat(column[head[who[x:y]]], count[x:y])
+                    good = np.flatnonzero(np.bitwise_count(apart) <= NEAR_COLUMN)
+                    good = good[np.bitwise_count(apart[good] & half) <= NEAR]
+                    to = x + np.searchsorted(ends, good, "right")
+                    # Other anchors may share the bucket; their runs have their own turn.
+                    same = h[run[good]] == at[to]
+                    yield who[to[same]], run[good[same]]
+
+    for row, run in meetings():
+        a, b = center[head[row]], c[run]
+        good = a != b
+        a, b, row, run = a[good], b[good], row[good], run[good]
+        d = _far(prints[a], prints[b])
+        near = d <= MAX_BITS
+        used = classes.link(a[near], b[near])
+        found.append((a[near][used], b[near][used]))
+        # Centers that are farther: members may be near as long as the triangle allows it.
+        open_ = ~near & (d <= MAX_BITS + reach[a] + reach[b])
+        row, run = row[open_], run[open_]
+        for x, y in slices(np.concatenate(([0], np.cumsum(many[row] * size[run]))), 1 << 20, 1 << 20):
+            r, q = row[x:y], run[x:y]
+            apart = classes.roots(center[head[r]]) != classes.roots(c[q])
+            r, q = r[apart], q[apart]
+            of, member = _expand(visit[r], many[r])
+            # A run that is long is gone through in parts too.
+            for u, v in slices(np.concatenate(([0], np.cumsum(size[q][of]))), 1 << 20, 1 << 20):
+                pair, other = _expand(lead[q[of[u:v]]], size[q[of[u:v]]])
+                one, two = seen[member[u:v]][pair], order[other]
+                near = _far(prints[one], prints[two]) <= MAX_BITS
+                used = classes.link(one[near], two[near])
+                found.append((one[near][used], two[near][used]))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -314,7 +344,8 @@ def near_links(nodes: DataFrame, tile: int = TILE) -> DataFrame:
 
     if not bits:
         spread = slim.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn("cell", F.lit(0).cast("long"))
-        return spread.repartition(4 * BLOCKS, "k").groupBy("k", "cell").applyInArrow(compare, "a long, b long")
+        # Among 5 * BLOCKS partitions every block has one of its own; among 4 * BLOCKS two blocks share one.
+        return spread.repartition(5 * BLOCKS, "k").groupBy("k", "cell").applyInArrow(compare, "a long, b long")
     spread = slim.mapInArrow(_spread(mask), "k int, cell long, visits boolean, fid long, " + ", ".join(f"{c} long" for c in COLUMNS))
     # A row for each block and cell.
     full = spread.groupBy("k", "cell").agg(F.ceil(F.sum((~F.col("visits")).cast("long")) / tile).cast("int").alias("homes"), F.ceil(F.sum(F.col("visits").cast("long")) / tile).cast("int").alias("guests")).where("homes > 0 and guests > 0")

@@ -361,6 +361,37 @@ def test_pairs_are_found_at_every_distance(spark):
         assert len(got) <= (1 if not bounds else 4) * simhash.BLOCKS * len(want)
 
 
+def test_texts_of_one_language_are_seldom_compared_whole(monkeypatch):
+    # Every bit has a likely value, as in texts of one language, so that many unrelated fingerprints meet at anchors.
+    rng, width, n = np.random.default_rng(29), 31 * simhash.BLOCKS, 8000
+    bits = rng.random((n, width)) < 0.2
+    for i in range(0, 800, 2):  # 31 differing bits, as evenly as can be over the blocks
+        order = np.argsort(rng.random((31, simhash.BLOCKS)).argsort(0) * simhash.BLOCKS + rng.permutation(simhash.BLOCKS), axis=None)
+        at = 31 * (order % simhash.BLOCKS) + order // simhash.BLOCKS
+        bits[i + 1] = bits[i]
+        bits[i + 1, at[: simhash.MAX_BITS]] ^= True
+    prints = np.stack([sum(bits[:, 62 * c + i].astype(np.int64) << i for i in range(62)) for c in range(simhash.BLOCKS // 2)], axis=1)
+    compared, far = [], simhash._far
+    monkeypatch.setattr(simhash, "_far", lambda a, b: compared.append(len(a)) or far(a, b))
+    whole, cells = simhash.Classes(np.arange(n)), simhash.Classes(np.arange(n))
+    for k in range(simhash.BLOCKS):
+        compared.clear()
+        whole.link(*simhash.close_links(prints, None, k))
+        assert sum(compared) < 3 * n
+        value = simhash._block(prints, k)
+        home = simhash._data_bits(value ^ simhash._HOME[simhash._syndrome(value)])
+        for cell in range(2):
+            rows = np.append(np.flatnonzero(home & 1 == cell), np.arange(n))
+            compared.clear()
+            i, j = simhash.close_links(prints[home & 1 == cell], prints, k, 1, cell)
+            cells.link(rows[i], rows[j])
+            assert sum(compared) < 3 * len(rows)
+    pairs = np.arange(0, 800, 2)
+    assert (far(prints[pairs], prints[pairs + 1]) == simhash.MAX_BITS).all()
+    for classes in (whole, cells):
+        assert (classes.roots(pairs) == classes.roots(pairs + 1)).all()
+
+
 def test_classes_of_large_groups_equal_brute_force(spark):
     rng, width = np.random.default_rng(18), 31 * simhash.BLOCKS
     bits = []
