@@ -57,8 +57,8 @@ MAX_BITS = 31
 NEAR = MAX_BITS // BLOCKS
 #: The same of a column of two blocks; NEAR is half of it, so that such a column has a block with NEAR.
 NEAR_COLUMN = MAX_BITS // (BLOCKS // 2)
-#: Fingerprints on either side of a task that compares them.
-TILE = 2_000_000
+#: Fingerprints on either side of a task that compares them; a task of two such sides holds 580 MB of Python at 2.83 million fingerprints.
+TILE = 1_000_000
 #: Rounds of stars in a task.
 STARS = 4
 #: Anchors looked up at once, and pairs made of them at once.
@@ -331,14 +331,15 @@ def near_links(nodes: DataFrame, tile: int = TILE) -> DataFrame:
     def compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         k, cell = key[0].as_py(), key[1].as_py()
         fid = rows.column("fid").to_numpy()
-        prints = np.stack([rows.column(c).to_numpy() for c in COLUMNS], axis=1)
         if bits:
             visits = rows.column("visits").to_numpy()
-            order = np.argsort(visits, kind="stable")
-            fid, prints, m = fid[order], prints[order], int((~visits).sum())
-            i, j = close_links(prints[:m], prints[m:], k, mask, cell, (key[3].as_py() == 0, key[2].as_py() == 0))
+            own, guests = np.flatnonzero(~visits), np.flatnonzero(visits)
+            fid = fid[np.concatenate((own, guests))]
+            left, right = (np.stack([rows.column(c).to_numpy()[at] for c in COLUMNS], axis=1) for at in (own, guests))
+            del own, guests, visits
+            i, j = close_links(left, right, k, mask, cell, (key[3].as_py() == 0, key[2].as_py() == 0))
         else:
-            i, j = close_links(prints, None, k)
+            i, j = close_links(np.stack([rows.column(c).to_numpy() for c in COLUMNS], axis=1), None, k)
         a, b = np.minimum(fid[i], fid[j]), np.maximum(fid[i], fid[j])
         return pa.table({"a": a[a != b], "b": b[a != b]})
 

@@ -707,3 +707,16 @@ def test_text_buffers_of_slices():
 
     raw, off = raw_text(pa.array(["ab", None, "", "çd"]).slice(1))
     assert raw.tobytes().decode() == "çd" and off.tolist() == [0, 0, 0, 3]
+
+
+def test_simhash_memory_of_a_task():
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    prints = rng.integers(0, 1 << 62, (200_000, 4), dtype=np.int64)
+    tracemalloc.start()
+    simhash.close_links(prints[:100_000], prints[100_000:], 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Arrays of its fingerprints, at the size of a full task; those of its lookups, which don't grow, count too.
+    assert peak / len(prints) * 2 * simhash.TILE < 1.2e9
