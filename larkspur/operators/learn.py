@@ -323,29 +323,55 @@ def choose_solver(n: int, d: int, k: int, sparsity: float, machines: int, **weig
 
 
 def gaussian_kernel(x: np.ndarray, z: np.ndarray, gamma: float) -> np.ndarray:
-    return np.exp(-gamma * np.maximum((x * x).sum(1)[:, None] + (z * z).sum(1) - 2 * x @ z.T, 0))
+    k = x @ z.T
+    k *= 2
+    k -= (x * x).sum(1)[:, None]
+    k -= (z * z).sum(1)
+    np.minimum(k, 0, out=k)
+    k *= gamma
+    return np.exp(k, out=k)
+
+
+#: Rows on either side of a piece of a kernel matrix.
+KERNEL_ROWS = 512, 1024
+
+
+def kernel_product(x: np.ndarray, z: np.ndarray, w: np.ndarray, gamma: float) -> np.ndarray:
+    """The kernels of x with z, times w; only a piece of them is held at a time, and rows without weight are left out."""
+    some = (w != 0).any(1)
+    if not some.all():
+        z, w = z[some], w[some]
+    out = np.zeros((len(x), w.shape[1]))
+    for i in range(0, len(x), KERNEL_ROWS[0]):
+        for j in range(0, len(z), KERNEL_ROWS[1]):
+            out[i : i + KERNEL_ROWS[0]] += gaussian_kernel(x[i : i + KERNEL_ROWS[0]], z[j : j + KERNEL_ROWS[1]], gamma) @ w[j : j + KERNEL_ROWS[1]]
+    return out
+
+
+#: Training rows that a task holds at a time to score others.
+MODEL_ROWS = 1 << 16
 
 
 @dataclass(frozen=True)
 class KernelModel:
-    """Training rows (block, x, w) with their weights; a row's scores are its kernel with all of them times the weights, a block at a time."""
+    """Training rows (block, x, w) with their weights; a row's scores are its kernel with all of them times the weights, some blocks at a time."""
 
     rows: DataFrame
     blocks: int
     width: int
     classes: int
     gamma: float
-    every: int = 16
+    at_once: int = 1
 
     def scores(self, df: DataFrame, v: Column, name: str = "scores") -> DataFrame:
-        """df with a column of scores. A block of training rows at a time is in a task; after every blocks the plan is cut."""
+        """df with a column of scores. at_once blocks of training rows are in a task at a time; after them the plan is cut."""
         out = df.withColumn(name, F.array_repeat(F.lit(0.0), self.classes))
-        for b in range(self.blocks):
-            x, w = _rows_of(self.rows.where(F.col("block") == b), "x", "w")
-            if len(x):
-                out = out.withColumn(name, map_vectors(lambda a, s, x=x, w=w, g=self.gamma: s + gaussian_kernel(a, x, g) @ w, v, F.col(name)))
-            if (b + 1) % self.every == 0 and b + 1 < self.blocks:
+        for b in range(0, self.blocks, self.at_once):
+            if b:
                 out = cut(out)
+            x, w = _rows_of(self.rows.where(F.col("block").between(b, b + self.at_once - 1)), "x", "w")
+            if len(x):
+                out = out.withColumn(name, map_vectors(lambda a, s, x=x, w=w, g=self.gamma: s + kernel_product(a, x, w, g), v, F.col(name)))
         return out
 
 
@@ -355,12 +381,17 @@ def _rows_of(df: DataFrame, *columns: str) -> tuple[np.ndarray, ...]:
     return tuple(to_numpy(t.column(c).combine_chunks()) for c in columns)
 
 
-def kernel_ridge(df: DataFrame, x: Column, y: Column, d: int, k: int, gamma: float, ridge: float, block: int, epochs: int, seed: int | None = None, every: int = 16) -> KernelModel:
+#: Bytes of new weights that travel with a plan.
+WEIGHT_BYTES = 16 << 20
+
+
+def kernel_ridge(df: DataFrame, x: Column, y: Column, d: int, k: int, gamma: float, ridge: float, block: int, epochs: int, seed: int | None = None, every: int = 32) -> KernelModel:
     """(K + ridge I) W = Y over all rows of df by block Gauss-Seidel, a row's weights being a column beside it.
 
-    For each block its rows (block of them at most) reach the driver and every task; the rows' kernels with them are made,
-    multiplied by the weights and summed where the rows are, and never kept. Weights of the last blocks travel with the plan;
-    after every blocks they are written beside the rows.
+    For every blocks at a time their rows (block of them at most in each) reach the driver and every task, where their kernels with the
+    rows of other blocks are made, multiplied by the weights and summed, and never kept; those among themselves follow
+    on the driver, block after block. So there is one pass over the rows for every blocks, with the weights that a pass for each block
+    would find. New weights travel with the plan; when they come to WEIGHT_BYTES they are written beside the rows.
     """
     flat = cut(df.select(x.alias("x"), y.alias("y"), F.array_repeat(F.lit(0.0), k).alias("w")).withColumn("id", F.monotonically_increasing_id()))
     per_part = flat.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"), F.min("id").alias("low")).orderBy("p").collect()
@@ -380,36 +411,54 @@ def kernel_ridge(df: DataFrame, x: Column, y: Column, d: int, k: int, gamma: flo
     # Rows of a block come from all over the table.
     rows = cut(flat.withColumn("id", number("id")).withColumn("block", F.pmod("id", F.lit(blocks)).cast("int")).withColumn("pos", F.floor(F.col("id") / blocks)))
     recent: dict[int, np.ndarray] = {}
-    rng, done = np.random.default_rng(seed), 0
+    rng = np.random.default_rng(seed)
 
-    def current(b: np.ndarray, pos: np.ndarray, w: np.ndarray, new: dict[int, np.ndarray]) -> np.ndarray:
-        w = w.copy()
+    def packed(new: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of several blocks one after another, and where those of each block begin (-1: not there)."""
+        begin, size = np.full(blocks, -1), 0
         for j, v in new.items():
-            w[b == j] = v[pos[b == j]]
-        return w
+            begin[j], size = size, size + len(v)
+        return begin, np.concatenate([*new.values(), np.zeros((0, k))])
+
+    def current(b: np.ndarray, pos: np.ndarray, w: np.ndarray, begin: np.ndarray, new: np.ndarray) -> np.ndarray:
+        at = begin[b]
+        return np.where((at >= 0)[:, None], new[(at + pos) * (at >= 0)], w) if len(new) else w
 
     def written() -> DataFrame:
-        new = dict(recent)
-        return cut(rows.withColumn("w", map_vectors(lambda b, pos, w: current(b, pos, w, new), F.col("block"), F.col("pos"), F.col("w")))) if new else rows
+        begin, new = packed(recent)
+        return cut(rows.withColumn("w", map_vectors(lambda b, pos, w: current(b, pos, w, begin, new), F.col("block"), F.col("pos"), F.col("w")))) if recent else rows
 
     for _ in range(epochs):
-        for b in range(blocks) if seed is None else rng.permutation(blocks).tolist():
-            a, t, w = _rows_of(rows.where(F.col("block") == b), "x", "y", "w")
+        order = list(range(blocks)) if seed is None else rng.permutation(blocks).tolist()
+        for lo in range(0, blocks, every):
+            turn = order[lo : lo + every]
+            a, t, w, of = _rows_of(rows.where(F.col("block").isin(turn)), "x", "y", "w", "block")
             if not len(a):
                 continue
-            w, new = recent.get(b, w), dict(recent)
+            where = {b: np.flatnonzero(of == b) for b in turn}
+            w = w.copy()
+            for b in turn:
+                if b in recent:
+                    w[where[b]] = recent[b]
+            begin, new = packed(recent)
+            mine = np.isin(np.arange(blocks), turn)
 
-            def part(c: np.ndarray, j: np.ndarray, pos: np.ndarray, v: np.ndarray, a: np.ndarray = a, new: dict = new) -> np.ndarray:
-                return gaussian_kernel(a, c, gamma) @ current(j, pos, v, new)
+            def part(c: np.ndarray, j: np.ndarray, pos: np.ndarray, v: np.ndarray, a: np.ndarray = a, begin: np.ndarray = begin, new: np.ndarray = new, mine: np.ndarray = mine) -> np.ndarray:
+                other = ~mine[j]
+                return kernel_product(a, c[other], current(j[other], pos[other], v[other], begin, new), gamma)
 
             product = sum_batches(rows, [F.col("x"), F.col("block"), F.col("pos"), F.col("w")], part, (len(a), k))
-            own = gaussian_kernel(a, a, gamma)
-            recent[b] = _solve(own, t - product + own @ w, ridge)
-            done += 1
-            if done % every == 0:
+            for b in turn:
+                at = where[b]
+                if len(at):
+                    own = gaussian_kernel(a[at], a[at], gamma)
+                    rest = kernel_product(a[at], a, w, gamma)
+                    w[at] = _solve(own, t[at] - product[at] - rest + own @ w[at], ridge)
+                    recent[b] = w[at]
+            if sum(v.nbytes for v in recent.values()) > WEIGHT_BYTES:
                 rows = written()
                 recent.clear()
-    return KernelModel(written().select("id", "block", "x", "w"), blocks, d, k, gamma, every)
+    return KernelModel(written().select("id", "block", "x", "w"), blocks, d, k, gamma, max(1, MODEL_ROWS // block))
 
 
 def logistic_regression(df: DataFrame, features: str, label: str, ridge: float = 0.0, rounds: int = 100, tolerance: float = 1e-4):
