@@ -38,6 +38,21 @@ def ngram_hashes(terms: np.ndarray, low: int, high: int) -> np.ndarray:
     return np.concatenate(out).astype(np.int32) if out else np.zeros(0, np.int32)
 
 
+def ngram_hashes_of(terms: np.ndarray, row: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and signed hashes of the n-grams of many rows' term hashes, which lie one row after another."""
+    t, h, rows, out = terms.astype(np.uint32), np.full(len(terms), SEED, np.uint32), [], []
+    start = np.arange(len(t))
+    for n in range(1, high + 1):
+        some = start + n - 1 < len(t)
+        some[some] = row[start[some]] == row[start[some] + n - 1]
+        start, h = start[some], h[some]
+        h = mix(h, t[start + n - 1])
+        if n >= low:
+            rows.append(row[start])
+            out.append(finish(h, n).view(np.int32).astype(np.int64))
+    return np.concatenate(rows), np.concatenate(out)
+
+
 def ngram_buckets(hashes: Column, low: int, high: int, buckets: int) -> Column:
     """Bucket numbers of all n-grams of an array of term hashes."""
 

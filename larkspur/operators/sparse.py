@@ -6,23 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.operators.lineage import cut
 from larkspur.operators.numbering import number
 
 
-def occurrences(df: DataFrame, key: str, terms: Column) -> DataFrame:
-    """(key, term, n, pos) of each row's distinct terms: how often, and where first. Written once, since spaces and vectors both need it."""
-    flat = df.select(key, F.posexplode_outer(terms).alias("pos", "term")).where("term IS NOT NULL")
-    return cut(flat.groupBy(key, "term").agg(F.count("*").alias("n"), F.min("pos").alias("pos")))
-
-
-def common_among(found: DataFrame, key: str, size: int) -> DataFrame:
-    """common_features from occurrences()."""
-    first = F.col("first").desc()
-    top = found.groupBy("term").agg(F.sum("n").alias("count"), F.min(F.struct(F.col(key).alias("row"), "pos")).alias("first")).orderBy(F.desc("count"), first, "term").limit(size)
-    return top.select("term", (F.row_number().over(W.orderBy(F.desc("count"), first, "term")) - 1).alias("idx"))
-
-
 def term_frequency(df: DataFrame, key: str, terms: Column, weight=lambda n: n) -> DataFrame:
     """(key, term, weight) of each row's distinct terms, the weight being a function of the count."""
     flat = df.select(key, F.explode_outer(terms).alias("term")).where("term IS NOT NULL").groupBy(key, "term").agg(F.count("*").alias("n"))
@@ -36,13 +22,23 @@ def _seen(df: DataFrame, key: str, terms: Column) -> DataFrame:
 
 def all_features(df: DataFrame, key: str, terms: Column) -> DataFrame:
     """(term, idx) of every term, in the order of first appearance."""
-    return number(_seen(df, key, terms), [F.floor(F.col("first.row") / 4096)], [F.col("first"), F.col("term")]).select("term", "idx")
+    return in_order(_seen(df, key, terms))
+
+
+def in_order(seen: DataFrame) -> DataFrame:
+    """all_features() from (term, count, first)."""
+    return number(seen, [F.floor(F.col("first.row") / 4096)], [F.col("first"), F.col("term")]).select("term", "idx")
 
 
 def common_features(df: DataFrame, key: str, terms: Column, size: int, tie: str = "latest") -> DataFrame:
     """(term, idx) of the size terms that occur most; of equally frequent ones the latest (or earliest) to appear first."""
+    return most_common(_seen(df, key, terms), size, tie)
+
+
+def most_common(seen: DataFrame, size: int, tie: str = "latest") -> DataFrame:
+    """common_features() from (term, count, first)."""
     first = F.col("first").desc() if tie == "latest" else F.col("first").asc()
-    top = _seen(df, key, terms).orderBy(F.desc("count"), first, "term").limit(size)
+    top = seen.orderBy(F.desc("count"), first, "term").limit(size)
     return top.select("term", (F.row_number().over(W.orderBy(F.desc("count"), first, "term")) - 1).alias("idx"))
 
 
