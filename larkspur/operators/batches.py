@@ -81,3 +81,26 @@ def reduce_batches(df: DataFrame, columns: list[Column], add: Callable[..., np.n
 def sum_batches(df: DataFrame, columns: list[Column], fn: Callable[..., np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
     """Sum of fn(batch columns) over all batches."""
     return reduce_batches(df, columns, lambda s, *c: s + fn(*c), np.add, np.zeros(shape))
+
+
+#: Bytes of rows in a block of packed().
+PACKED = 1 << 16
+
+
+def packed(df: DataFrame, *columns: Column) -> DataFrame:
+    """Vectors or numbers of rows side by side as blocks of bytes (m, and the number of rows n), for passes that would unpack and convert row by row again."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                m = np.hstack([to_numpy(c).reshape(b.num_rows, -1) for c in b.columns]).astype(np.float64)
+                step = max(1, PACKED // max(1, m.shape[1] * 8))
+                parts = [m[i : i + step] for i in range(0, len(m), step)]
+                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([len(p) for p in parts], pa.int32())], names=["m", "n"])
+
+    return df.select(*[c.alias(f"c{k}") for k, c in enumerate(columns)]).mapInArrow(pack, "m binary, n int")
+
+
+def sum_packed(blocks: DataFrame, fn: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    """Sum of fn(rows) over the blocks of packed()."""
+    return sum_batches(blocks, [F.col("m"), F.col("n")], lambda m, n: sum(fn(np.frombuffer(x).reshape(k, -1)) for x, k in zip(m, n)), shape)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators.batches import map_vectors, reduce_batches, sum_batches, to_numpy
+from larkspur.operators.batches import map_vectors, packed, reduce_batches, sum_batches, sum_packed, to_numpy
 from larkspur.operators.lineage import cut
 
 
@@ -135,19 +135,21 @@ def block_least_squares(df: DataFrame, x: Column, y: Column, d: int, k: int, blo
                 left = xy[b] - xx[b] @ w + xx[b, b] @ w[b]
                 w[b] = _solve(xx[b, b], left, ridge)
         return LinearMapper(w, my, Scaler(mx))
-    _, mx, my = means(df, x, y, d, k)
+    blocks = cut(packed(df, x, y))  # read once more for every block and pass
+    s = sum_packed(blocks, lambda m: np.append(m.sum(0), len(m)), (d + k + 1,))
+    mx, my = s[:d] / max(s[-1], 1), s[d:-1] / max(s[-1], 1)
     products: list[np.ndarray | None] = [None] * n_blocks
     for _ in range(max(1, passes)):
         for j in range(n_blocks):
             b = slice(j * block, min((j + 1) * block, d))
             first, width = products[j] is None, min((j + 1) * block, d) - j * block
 
-            def part(a: np.ndarray, t: np.ndarray, b: slice = b, w: np.ndarray = w, first: bool = first) -> np.ndarray:
-                a = a - mx
-                residual = t.reshape(len(t), -1) - my - a @ w
+            def part(m: np.ndarray, b: slice = b, w: np.ndarray = w, first: bool = first) -> np.ndarray:
+                a = m[:, :d] - mx
+                residual = m[:, d:] - my - a @ w
                 return np.hstack([a[:, b].T @ a[:, b], a[:, b].T @ residual]) if first else a[:, b].T @ residual
 
-            s = sum_batches(df, [x, y], part, (width, width + k) if first else (width, k))
+            s = sum_packed(blocks, part, (width, width + k) if first else (width, k))
             if first:
                 products[j], s = s[:, :width], s[:, width:]
             w = w.copy()
@@ -282,7 +284,13 @@ def sparse_lbfgs_least_squares(entries: DataFrame, targets: DataFrame, d: int, r
     """(weights, intercept) from (row, idx, value) and (row, y): a row's entries are gathered once; the intercept is not penalised."""
     rows = entries.groupBy("row").agg(F.collect_list(F.struct("idx", "value")).alias("e")).join(targets, "row", "right").select(
         F.coalesce(F.col("e.idx"), F.array().cast("array<int>")).alias("i"), F.coalesce(F.col("e.value"), F.array().cast("array<double>")).alias("v"), F.col("y").cast("double").alias("y")
-    ).persist()
+    )
+    return sparse_lbfgs_of_rows(rows, d, ridge, rounds, tolerance)
+
+
+def sparse_lbfgs_of_rows(rows: DataFrame, d: int, ridge: float = 0.0, rounds: int = 50, tolerance: float = 1e-4) -> tuple[np.ndarray, float]:
+    """sparse_lbfgs_least_squares() of rows (i, v, y): arrays of indices and values, and the target."""
+    rows = rows.select("i", "v", "y").persist()
     n = max(rows.count(), 1)
 
     def of(flat: np.ndarray) -> tuple[float, np.ndarray]:
