@@ -7,7 +7,7 @@ would compute the array, here whole tokenizations, once more. Null elements coun
 
 from __future__ import annotations
 
-from collections import Counter
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,21 +17,36 @@ from larkspur.operators.numbering import number
 
 
 def counts(df: DataFrame, grams: Column, add: bool = True) -> DataFrame:
-    """(ngram, count) of an array of n-grams; without add, those of each partition by itself, and nothing is shuffled."""
+    """(ngram, count) of an array of n-grams; without add, those of each partition by itself, and nothing is shuffled.
+
+    A partition's n-grams are sorted for that by Spark, which spills what it can't hold, and their runs counted.
+    """
     flat = df.select(F.explode_outer(grams).alias("ngram")).where("ngram IS NOT NULL")
     if add:
         return flat.groupBy("ngram").agg(F.count("*").alias("count"))
 
     def part(batches):
-        seen: Counter = Counter()
+        """Runs of equal n-grams; the last one may go on in the next batch."""
+        last, n = None, 0
         for b in batches:
-            seen.update(map(tuple, b.column(0).to_pylist()))
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([list(g) for g in seen], kind), pa.array(list(seen.values()), pa.int64())], names=["ngram", "count"])
+            grams, many = [], []
+            for g, run in groupby(b.column(0).to_pylist()):
+                size = sum(1 for _ in run)
+                if n and g == last:
+                    n += size
+                    continue
+                if n:
+                    grams.append(last)
+                    many.append(n)
+                last, n = g, size
+            if grams:
+                yield pa.RecordBatch.from_arrays([pa.array(grams, kind), pa.array(many, pa.int64())], names=["ngram", "count"])
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([last], kind), pa.array([n], pa.int64())], names=["ngram", "count"])
 
     element = flat.schema["ngram"].dataType.elementType.simpleString()
     kind = pa.list_({"string": pa.string(), "int": pa.int32()}.get(element, pa.int64()))
-    return flat.mapInArrow(part, f"ngram array<{element}>, count long")
+    return flat.sortWithinPartitions("ngram").mapInArrow(part, f"ngram array<{element}>, count long")
 
 
 def initial_bigram_partition(ngram: Column, n: int) -> Column:
@@ -54,13 +69,18 @@ def word_at(ngram: Column, k: int) -> Column:
     return F.get(ngram, F.lit(k))
 
 
+def ranked(counts: DataFrame) -> DataFrame:
+    """(word, idx, count) from (word, count), numbered as by word_ranks()."""
+    return number(counts, [-F.col("count"), F.substring("word", 1, 2)], [F.col("word")]).select("word", "idx", "count")
+
+
 def word_ranks(df: DataFrame, words: Column) -> DataFrame:
     """(word, idx, count): rank by descending count, ties by word; 0 is the most frequent.
 
     Words are numbered by buckets of equal count and initial letters.
     """
     count = df.select(F.explode_outer(words).alias("word")).where("word IS NOT NULL").groupBy("word").agg(F.count("*").alias("count"))
-    return number(count, [-F.col("count"), F.substring("word", 1, 2)], [F.col("word")]).select("word", "idx", "count")
+    return ranked(count)
 
 
 def encode(df: DataFrame, key: str, words: Column, ranks: DataFrame) -> DataFrame:
