@@ -124,13 +124,13 @@ class Grams(P.Transformer):
 
 def news_groups(train: DataFrame, classes: int, grams: int = 2, size: int = 1000) -> P.Pipeline:
     """Texts by class: n-grams up to grams, their presence, the commonest features, naive Bayes. train: id, text, label."""
-    features = TERMS.and_then(Grams(1, grams)).and_then(N.CommonFeatures(size), train)
+    features = N.CommonTexts(size, 1, grams).with_data(train)
     return features.and_then(Bayes(classes), train).and_then(CLASS)
 
 
 def reviews(train: DataFrame, grams: int = 2, size: int = 1000, ridge: float = 0.0, rounds: int = 20) -> P.Pipeline:
     """Good or bad reviews: n-grams, presence, common features, logistic regression. train: id, text, label."""
-    features = TERMS.and_then(Grams(1, grams)).and_then(N.CommonFeatures(size), train)
+    features = N.CommonTexts(size, 1, grams).with_data(train)
     return features.and_then(Logistic(ridge, rounds), train).and_then(CLASS)
 
 

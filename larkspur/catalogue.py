@@ -126,8 +126,11 @@ _RANKS = "r AS (SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) -
 @query(f"""WITH {_DOCS}, e AS ({_EACH}), {_RANKS.format("(SELECT term FROM e WHERE lang = 'en')")}
 SELECT doc_id, CAST(pos AS INT) AS pos, CAST(coalesce(idx, -1) AS INT) AS idx FROM e LEFT JOIN r USING (term)""")
 def n10_word_frequency_encode(s, d):
-    w = docs(s, d)
-    return ngrams.encode(w, "doc_id", F.col("w"), ngrams.word_ranks(w.where("lang = 'en'"), F.col("w")))
+    t = table(s, d, "documents").withColumn("own", F.coalesce(F.col("lang") == "en", F.lit(False)))
+    counts = cut(terms.word_counts(t, "own", "text"))
+    ranks = cut(ngrams.ranked(counts.where("count > 0").select("word", "count")).select("word", "idx"))
+    most = counts.orderBy(F.desc("all")).limit(terms.COMMON).join(ranks, "word", "left").select("word", F.coalesce("idx", F.lit(-1)).alias("idx"))
+    return terms.encode(t, "doc_id", "text", [tuple(r) for r in most.collect()], ranks)
 
 
 _LM = f"""{_TALK}, uni AS (SELECT term, count(*) AS c FROM (SELECT unnest(w) AS term FROM tok) GROUP BY term),
@@ -504,11 +507,9 @@ def l4_l6_l7_l8_l10_l14_solvers(s, d):
 
 @query()
 def l11_sparse_lbfgs(s, d):
-    w = docs(s, d).join(table(s, d, "labels"), "doc_id")
-    space = sparse.common_features(w, "doc_id", F.col("w"), 500).persist()
-    entries = sparse.term_frequency(w, "doc_id", F.col("w"), lambda n: F.lit(1.0)).join(space, "term").select(F.col("doc_id").alias("row"), "idx", F.col("weight").alias("value"))
-    targets = w.select(F.col("doc_id").alias("row"), (F.col("quality") * 2.0 - 1).alias("y"))
-    weights, b = learn.sparse_lbfgs_least_squares(entries, targets, 500, 1e-3, 20)
+    w = cut(table(s, d, "documents").select("doc_id", "text").join(table(s, d, "labels"), "doc_id").select("doc_id", "text", (F.col("quality") * 2.0 - 1).alias("y")))
+    space = [(r.term, r.idx) for r in sparse.most_common(terms.seen(w, "doc_id", "text"), 500).collect()]
+    weights, b = learn.sparse_lbfgs_of_rows(terms.vectors(w, ["y"], "text", space, dense=False), 500, 1e-3, 20)
     return s.createDataFrame([(int(i), float(round(x, 6))) for i, x in enumerate([*weights, b])], "idx int, weight double")
 
 
@@ -632,15 +633,21 @@ norm AS (SELECT class, ln(sum(s) + (SELECT v FROM vocab)) AS norm FROM cs GROUP
 
 
 def _bayes(s, d):
-    w = docs(s, d)
-    entries = cut(sparse.term_frequency(w, "doc_id", F.col("w")).select(F.col("doc_id").alias("row"), "term", F.col("weight").alias("value")))
-    labels = w.select(F.col("doc_id").alias("row"), F.col("lang").alias("class"))
-    return entries, labels, *learn.naive_bayes_fit(entries, labels)
+    """(term, s0 ...) counts by class, the classes' documents and the logarithms of their smoothed totals."""
+    t = table(s, d, "documents")
+    classes = [(r["lang"], r["n"]) for r in t.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()]
+    counts = cut(terms.class_counts(t, "lang", [c for c, _ in classes], "text"))
+    norm = counts.agg(*[F.log(F.coalesce(F.sum(f"s{k}"), F.lit(0.0)) + F.count("*")).alias(f"n{k}") for k in range(len(classes))]).first() if classes else ()
+    return counts, classes, list(norm)
 
 
 @query(f"WITH {_BAYES} SELECT class, term, round(ln(s + 1) - norm, 6) AS theta FROM cs JOIN norm USING (class) UNION ALL SELECT class, NULL, round(-norm, 6) FROM norm")
 def l22_naive_bayes_fit(s, d):
-    return _bayes(s, d)[3].select("class", "term", F.round("theta", 6).alias("theta"))
+    counts, classes, norm = _bayes(s, d)
+    each = counts.select("term", F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.col(f"s{k}").alias("s"), F.lit(norm[k]).alias("norm")) for k, (c, _) in enumerate(classes)])).alias("e"))
+    theta = each.where("e.s IS NOT NULL").select("e.class", "term", F.round(F.log(F.col("e.s") + 1) - F.col("e.norm"), 6).alias("theta"))
+    rest = s.createDataFrame([(c, None, float(-norm[k])) for k, (c, _) in enumerate(classes)], "class string, term string, theta double")
+    return theta.unionByName(rest.withColumn("theta", F.round("theta", 6)))
 
 
 _PREDICT = f"""{_BAYES}, sc AS (
@@ -651,20 +658,25 @@ best AS (SELECT doc_id, arg_max(class, (score, class)) AS class FROM sc GROUP BY
 
 
 def _predicted(s, d):
-    entries, labels, pi, theta = _bayes(s, d)
-    scores = learn.naive_bayes_scores(entries, labels, pi, theta)
-    best = scores.groupBy("row").agg(F.max(F.struct("score", "class")).getField("class").alias("predicted"))
-    return best.join(labels, "row")
+    """(doc_id, class) of the best class of every document."""
+    counts, classes, norm = _bayes(s, d)
+    names, total = [f"s{k}" for k in range(len(classes))], sum(n for _, n in classes) + len(classes)
+    some = [F.coalesce(c, F.lit(0.0)) for c in names]
+    theta = counts.select("term", *[(F.log(x + 1) - norm[k]).alias(f"s{k}") for k, x in enumerate(some)], sum(some, F.lit(0.0)).alias("n_all"))
+    sums = terms.weighted_sums(table(s, d, "documents"), "doc_id", "text", theta, names, F.col("n_all"))
+    scores = [F.struct((F.col(f"s{k}") + float(np.log(n + 1) - np.log(total))).alias("score"), F.lit(c).alias("class")) for k, (c, n) in enumerate(classes)]
+    return sums.select("doc_id", F.array_max(F.array(*scores))["class"].alias("class"))
 
 
 @query(f"WITH {_PREDICT} SELECT doc_id, class FROM best")
 def l22_naive_bayes_predict(s, d):
-    return _predicted(s, d).select(F.col("row").alias("doc_id"), F.col("predicted").alias("class"))
+    return _predicted(s, d)
 
 
 @query(f"WITH {_PREDICT} SELECT lang AS actual, class AS predicted, count(*) AS n FROM best JOIN documents USING (doc_id) GROUP BY lang, class")
 def l22_naive_bayes_confusion(s, d):
-    return _predicted(s, d).groupBy(F.col("class").alias("actual"), "predicted").agg(F.count("*").alias("n"))
+    rows = table(s, d, "documents").select("doc_id", F.col("lang").alias("actual"))
+    return _predicted(s, d).withColumnRenamed("class", "predicted").join(rows, "doc_id").groupBy("actual", "predicted").agg(F.count("*").alias("n"))
 
 
 @query()

@@ -267,3 +267,90 @@ def vectors(df: DataFrame, columns: list[str], text: str, space: list[tuple[str,
 
     made = f"{name} array<double>" if dense else "i array<int>, v array<double>"
     return by_rows(df, columns, text, fn, ", ".join([*_kinds(df, columns), made]))
+
+
+def class_counts(df: DataFrame, label: str, classes: list, text: str) -> DataFrame:
+    """(term, s0, s1 ...): how often each term occurs in the texts of each of a few classes, null where it doesn't. Terms of other classes are kept."""
+
+    def fn(t: Tokens, columns):
+        known = columns[0].dictionary_encode()
+        own = known.indices.fill_null(len(known.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+        of, code, cnt = t.counted(row=own[t.row])
+        yield None, known.dictionary.take(pa.array(of, mask=of == len(known.dictionary))), t.terms.take(pa.array(code)), pa.array(cnt.astype(np.float64))
+
+    flat = by_rows(df, [label], text, fn, f"class {df.schema[label].dataType.simpleString()}, term string, n double")
+    return flat.groupBy("term").agg(*[F.sum(F.when(F.col("class") == c, F.col("n"))).alias(f"s{k}") for k, c in enumerate(classes)])
+
+
+def _weights(names: pa.Array) -> Callable[[Tokens], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of tokens: rows, codes, counts, and the place of the code's term among names, or -1."""
+
+    def of(t: Tokens):
+        row, code, cnt = t.counted()
+        return row, code, cnt, pc.index_in(t.terms, value_set=names).fill_null(-1).to_numpy(zero_copy_only=False)[code]
+
+    return of
+
+
+#: Commonest terms whose weights or numbers are in every task; the others are joined.
+COMMON = 1 << 16
+
+
+def weighted_sums(df: DataFrame, key: str, text: str, weights: DataFrame, names: list[str], by: Column, common: int | None = None) -> DataFrame:
+    """(key, names ...): for every key, the weights (term, names ...) of its terms times their counts. Terms without weights count for nothing.
+
+    Only the terms that aren't among the common ones, those with the largest by, are shuffled.
+    """
+    known = weights.orderBy(by.desc()).limit(COMMON if common is None else common).select("term", *names).toArrow().combine_chunks()
+    held = known.column("term").combine_chunks().cast(pa.string())
+    w = np.stack([known.column(c).to_numpy() for c in names], axis=1)
+    find = _weights(held)
+
+    def near(t: Tokens, _):
+        row, _, cnt, at = find(t)
+        some = at >= 0
+        row, part = row[some], w[at[some]] * cnt[some, None]
+        yield np.arange(t.rows), *[pa.array(np.bincount(row, part[:, c], t.rows)) for c in range(len(names))]
+
+    def far(t: Tokens, _):
+        row, code, cnt, at = find(t)
+        yield row[at < 0], t.terms.take(pa.array(code[at < 0])), pa.array(cnt[at < 0])
+
+    kinds = _kinds(df, [key])
+    some = by_rows(df, [key], text, near, ", ".join([*kinds, *[f"{c} double" for c in names]]))
+    rest = by_rows(df, [key], text, far, ", ".join([*kinds, "term string, n bigint"])).join(weights.select("term", *names), "term")
+    both = some.unionByName(rest.select(key, *[(F.col("n") * F.col(c)).alias(c) for c in names]))
+    return both.groupBy(key).agg(*[F.sum(c).alias(c) for c in names])
+
+
+def word_counts(df: DataFrame, own: str, text: str) -> DataFrame:
+    """(word, all, count): how often each word occurs, and how often in the rows of which own holds."""
+
+    def fn(t: Tokens, columns):
+        mine = columns[0].fill_null(False).to_numpy(zero_copy_only=False)[t.row]
+        size = len(t.terms)
+        yield None, t.terms, pa.array(np.bincount(t.code, minlength=size)), pa.array(np.bincount(t.code[mine], minlength=size))
+
+    return by_rows(df, [own], text, fn, "word string, all bigint, count bigint").groupBy("word").agg(F.sum("all").alias("all"), F.sum("count").alias("count"))
+
+
+def encode(df: DataFrame, key: str, text: str, known: list[tuple[str, int]], ranks: DataFrame) -> DataFrame:
+    """(key, pos, idx) of every word: those of known, a small list of (word, idx), at once, the others by a join with ranks (word, idx), -1 where they have none."""
+    names, idx = pa.array([t for t, _ in known], pa.string()), np.array([i for _, i in known], np.int32)
+
+    def parts(t: Tokens):
+        at = pc.index_in(t.terms, value_set=names).fill_null(-1).to_numpy(zero_copy_only=False)[t.code]
+        return at, at >= 0
+
+    def near(t: Tokens, _):
+        at, some = parts(t)
+        yield t.row[some], pa.array(t.pos[some].astype(np.int32)), pa.array(idx[at[some]])
+
+    def far(t: Tokens, _):
+        _, some = parts(t)
+        yield t.row[~some], pa.array(t.pos[~some].astype(np.int32)), t.terms.take(pa.array(t.code[~some]))
+
+    kinds = _kinds(df, [key])
+    found = by_rows(df, [key], text, near, ", ".join([*kinds, "pos int, idx int"]))
+    rest = by_rows(df, [key], text, far, ", ".join([*kinds, "pos int, word string"])).join(ranks.select("word", "idx"), "word", "left")
+    return found.unionByName(rest.select(key, "pos", F.coalesce("idx", F.lit(-1)).alias("idx")))

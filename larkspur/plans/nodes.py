@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import text, vectors
-from larkspur.operators import decompose, images, learn, sparse
+from larkspur.operators import decompose, images, learn, sparse, terms
 from larkspur.operators.batches import map_vectors
 from larkspur.operators.lineage import cut
 from larkspur.plans import pipeline as P
@@ -377,3 +377,35 @@ class CommonFeatures(P.Estimator):
     def fit(self, df: DataFrame) -> P.Transformer:
         space = sparse.common_features(df, self.key, F.col(self.source), self.size)
         return Vectorize(tuple((r.term, r.idx) for r in space.collect()), self.presence, self.source)
+
+
+@dataclass(frozen=True, eq=False)
+class TextVectors(P.Transformer):
+    """Texts as vectors over a space of the n-grams of their tokens; the texts themselves go no further."""
+
+    space: tuple[tuple[str, int], ...] = field(repr=False)
+    low: int
+    high: int
+    presence: bool
+    source: str = "text"
+    target: str = "x"
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        keep = [c for c in df.columns if c not in (self.source, self.target)]
+        return terms.vectors(df, keep, self.source, list(self.space), self.low, self.high, self.presence, name=self.target)
+
+
+@dataclass(frozen=True)
+class CommonTexts(P.Estimator):
+    """CommonFeatures of the n-grams of texts, which are cut and counted without leaving Python."""
+
+    size: int
+    low: int = 1
+    high: int = 1
+    presence: bool = True
+    key: str = "id"
+    source: str = "text"
+
+    def fit(self, df: DataFrame) -> P.Transformer:
+        space = sparse.most_common(terms.seen(df, self.key, self.source, self.low, self.high), self.size)
+        return TextVectors(tuple((r.term, r.idx) for r in space.collect()), self.low, self.high, self.presence, self.source)
