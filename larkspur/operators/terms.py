@@ -48,7 +48,9 @@ class Tokens:
                 some = start[start + n - 1 < len(self.row)]
                 some = some[self.row[some] == self.row[some + n - 1]]
                 before = np.searchsorted(start, some)
-                both, code = np.unique(code[before] * len(self.terms) + self.code[some + n - 1], return_inverse=True)
+                key = code[before] * len(self.terms) + self.code[some + n - 1]
+                both = _distinct(key)[0]
+                code = np.searchsorted(both, key)
                 names = pc.binary_join_element_wise(names.take(pa.array(both // len(self.terms))), self.terms.take(pa.array(both % len(self.terms))), " ") if len(both) else names[:0]
                 start, row = some, self.row[some]
             if n >= low:
@@ -68,6 +70,64 @@ class Tokens:
         return key // size, key % size, n
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct whole numbers from 0, where each is first, and how often it is there: a plain sort of numbers with their place."""
+    if not len(key):
+        return key, key, key
+    bits = len(key).bit_length()
+    if int(key.max()) >> (62 - bits):
+        return np.unique(key, return_index=True, return_counts=True)
+    both = np.sort(key << bits | np.arange(len(key)))
+    value = both >> bits
+    begin = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+    return value[begin], both[begin] & ((1 << bits) - 1), np.diff(np.append(begin, len(key)))
+
+
+def _orders(t: Tokens, low: int, high: int) -> Iterator[tuple[Tokens, np.ndarray]]:
+    """Tokens of the n-grams of each length, and for every row the number of shorter ones that stand before them."""
+    before = np.zeros(t.rows, np.int64)
+    for n in range(low, high + 1):
+        g = t if n == 1 else t.grams(n, n)
+        yield g, before
+        before = before + np.bincount(g.row, minlength=t.rows)
+
+
+class _Space:
+    """Places of a space's n-grams, found among tokens without making strings of theirs."""
+
+    def __init__(self, space: list[tuple[str, int]], low: int, high: int):
+        self.low, self.high = low, high
+        self.parts = [([g.split(" ") for g, _ in space if g.count(" ") == n - 1], np.array([i for g, i in space if g.count(" ") == n - 1], np.int64)) for n in range(1, high + 1)]
+        self.words = [pa.array([w for g in grams for w in g], pa.string()) for grams, _ in self.parts]
+
+    def find(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and places of all tokens' n-grams that are in the space."""
+        rows, places = [], []
+        for n in range(self.low, self.high + 1):
+            grams, idx = self.parts[n - 1]
+            at = pc.index_in(self.words[n - 1], value_set=t.terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, n)
+            at, to = at[(at >= 0).all(1)], idx[(at >= 0).all(1)] if len(grams) else idx
+            start = np.arange(len(t.row))
+            # Of n-grams whose beginnings are wanted, those whose next term is.
+            key, want = t.code.astype(np.int64), at[:, 0] if len(at) else np.zeros(0, np.int64)
+            for k in range(n):
+                if k:
+                    start = start[start + k < len(t.row)] if len(start) else start
+                    key = key[: len(start)]
+                    same = t.row[start] == t.row[start + k]
+                    start, key = start[same], key[same] * len(t.terms) + t.code[start[same] + k]
+                    want = want * len(t.terms) + at[:, k]
+                known = np.unique(want)
+                held = np.searchsorted(known, key)
+                hit = np.flatnonzero(known[np.minimum(held, max(len(known) - 1, 0))] == key) if len(known) else np.zeros(0, np.int64)
+                start, key, want = start[hit], held[hit], np.searchsorted(known, want)
+            place = np.zeros(len(known), np.int64)
+            place[want] = to
+            rows.append(t.row[start])
+            places.append(place[key])
+        return np.concatenate(rows), np.concatenate(places)
+
+
 def split(raw: np.ndarray, offsets: np.ndarray, null: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Row, place and text of every token of lower-case texts, rows of raw[offsets]."""
     n, start, end = len(offsets) - 1, offsets[:-1], offsets[1:]
@@ -221,12 +281,13 @@ def seen(df: DataFrame, key: str, text: str, low: int = 1, high: int = 1) -> Dat
     """(term, count, first) of every n-gram of low to high terms; first: (row, pos) where it appears first."""
 
     def fn(t: Tokens, columns):
-        g = t if (low, high) == (1, 1) else t.grams(low, high)
         rank = np.empty(t.rows, np.int64)
         rank[pc.sort_indices(pa.table({"k": columns[0]}), sort_keys=[("k", "ascending")], null_placement="at_start").to_numpy()] = np.arange(t.rows)
-        at = np.argsort(rank[g.row], kind="stable") if (np.diff(rank) < 0).any() else np.arange(len(g.row))
-        code, first, cnt = np.unique(g.code[at], return_index=True, return_counts=True)
-        yield g.row[at[first]], g.terms.take(pa.array(code)), pa.array(g.pos[at[first]].astype(np.int32)), pa.array(cnt)
+        for g, before in _orders(t, low, high):
+            at = np.argsort(rank[g.row], kind="stable") if (np.diff(rank) < 0).any() else np.arange(len(g.row))
+            code, first, cnt = _distinct(g.code[at].astype(np.int64))
+            first = at[first]
+            yield g.row[first], g.terms.take(pa.array(code)), pa.array((g.pos[first] + before[g.row[first]]).astype(np.int32)), pa.array(cnt)
 
     flat = by_rows(df, [key], text, fn, f"row {df.schema[key].dataType.simpleString()}, term string, pos int, n bigint")
     return flat.groupBy("term").agg(F.sum("n").alias("count"), F.min(F.struct("row", "pos")).alias("first"))
@@ -247,14 +308,11 @@ def in_space(df: DataFrame, key: str, text: str, space: list[tuple[str, int]]) -
 
 def vectors(df: DataFrame, columns: list[str], text: str, space: list[tuple[str, int]], low: int = 1, high: int = 1, presence: bool = True, dense: bool = True, name: str = "x") -> DataFrame:
     """columns of every row and its counts (or presence) over the space of n-grams: as a vector, or else as (i, v) of those that are not zero."""
-    names, idx = pa.array([t for t, _ in space], pa.string()), np.array([i for _, i in space], np.int64)
-    size = len(space)
+    size, places = max((i for _, i in space), default=-1) + 1, _Space(space, low, high)
 
     def fn(t: Tokens, _):
-        g = t if (low, high) == (1, 1) else t.grams(low, high)
-        row, code, cnt = g.counted()
-        at = pc.index_in(g.terms, value_set=names).fill_null(-1).to_numpy(zero_copy_only=False)[code]
-        row, to, cnt = row[at >= 0], idx[at[at >= 0]], cnt[at >= 0]
+        row, to = places.find(t)
+        row, to, cnt = t.counted(to, row)
         value = np.ones(len(cnt)) if presence else cnt.astype(np.float64)
         rows = np.arange(t.rows)
         if dense:
