@@ -412,3 +412,37 @@ def encode(df: DataFrame, key: str, text: str, known: list[tuple[str, int]], ran
     found = by_rows(df, [key], text, near, ", ".join([*kinds, "pos int, idx int"]))
     rest = by_rows(df, [key], text, far, ", ".join([*kinds, "pos int, word string"])).join(ranks.select("word", "idx"), "word", "left")
     return found.unionByName(rest.select(key, "pos", F.coalesce("idx", F.lit(-1)).alias("idx")))
+
+
+#: Ties beyond the size of a space that are looked at on the driver.
+TIES = 10_000
+
+
+def most_common(df: DataFrame, key: str, text: str, size: int, low: int = 1, high: int = 1) -> list[tuple[str, int]]:
+    """(term, idx) of the size n-grams that occur most, of equally frequent ones the latest to appear first, as sparse.most_common() of seen().
+
+    Terms are added up by numbers alone, which takes no sort; where in its row a term appears first is found for the candidates, in their rows.
+    """
+
+    def fn(t: Tokens, columns):
+        rank = np.empty(t.rows, np.int64)
+        rank[pc.sort_indices(pa.table({"k": columns[0]}), sort_keys=[("k", "ascending")], null_placement="at_end").to_numpy()] = np.arange(t.rows)
+        for g, _ in _orders(t, low, high):
+            at = np.argsort(rank[g.row], kind="stable") if (np.diff(rank) < 0).any() else np.arange(len(g.row))
+            code, first, cnt = _distinct(g.code[at].astype(np.int64))
+            yield g.row[at[first]], g.terms.take(pa.array(code)), pa.array(cnt)
+
+    flat = by_rows(df, [key], text, fn, f"row {df.schema[key].dataType.simpleString()}, term string, n bigint")
+    counts = flat.groupBy("term").agg(F.sum("n").alias("n"), F.min("row").alias("row"))
+    top = counts.orderBy(F.desc("n"), F.desc_nulls_last("row")).limit(size + TIES).collect() if size else []
+    at = lambda r: (r.n, r.row is not None, r.row if r.row is not None else 0)
+    if len(top) == size + TIES and at(top[-1]) == at(top[size - 1]):
+        first = seen(df, key, text, low, high).orderBy(F.desc("count"), F.desc("first"), "term").limit(size).collect()
+        return [(r.term, i) for i, r in enumerate(first)]
+    some = [r for r in top if at(r) >= at(top[min(size, len(top)) - 1])]
+    rows = {r.row for r in some}
+    held = F.col(key).isin([r for r in rows if r is not None])
+    found = seen(df.where(held | F.col(key).isNull() if None in rows else held), key, text, low, high).where(F.col("term").isin([r.term for r in some])).collect() if some else []
+    pos = {r.term: r.first.pos for r in found}
+    best = sorted(sorted(some, key=lambda r: r.term), key=lambda r: (*at(r), pos[r.term]), reverse=True)
+    return [(r.term, i) for i, r in enumerate(best[:size])]
